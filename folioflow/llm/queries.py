@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, url_rules
+from . import chat, exact_dedup, mixing, packing, quality, url_rules
 from .common import table
 
 #: Fixed by the contract of op4: host, path, verdict.
@@ -40,12 +40,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.judge_rows(slim).select("row.doc_id", *[F.col(f"counts.{c}") for c in quality.COUNTS], "base_failed", "host_rejected", "kept")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filter": op4_url_filter,
         "op5_chat_format": op5_chat_format,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_mixing": op8_mixing,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_packing": op10_packing,
     }
 
 
@@ -134,5 +145,52 @@ FROM e
 """
 
 
+_OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS id FROM documents),
+w AS (
+  SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (
+  SELECT id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
+t AS (SELECT id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM p),
+again AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS n FROM t),
+rep AS (
+  SELECT id, count(DISTINCT i + j) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY id),
+l AS (
+  SELECT id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (
+  SELECT id, sum(n - 1) AS n_dup_lines
+  FROM (SELECT id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id, line) GROUP BY id),
+c AS (
+  SELECT d.doc_id, d.source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (id) LEFT JOIN rep USING (id) LEFT JOIN dup USING (id)),
+f AS (
+  SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 10 * n_symbols > n_words AS f3,
+    20 * n_dup_lines > n_words AS f4, word_chars < 2 * n_words OR word_chars > 15 * n_words AS f5
+  FROM c),
+h AS (
+  SELECT source, rule, count(*) AS n, sum(CAST(hit AS INT)) AS k
+  FROM (SELECT source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS hit FROM f) GROUP BY source, rule),
+m AS (
+  SELECT rule, sum(k)::DOUBLE / sum(n) AS mean, var_samp(k::DOUBLE / n) AS v FROM h GROUP BY rule),
+pr AS (
+  SELECT rule, mean, least(greatest(coalesce(mean * (1 - mean) / CASE WHEN v > 0 THEN v END - 1, 1000), 1), 1000) AS s FROM m),
+bad AS (
+  SELECT source, max((k + mean * s) / (n + s)) > 0.8 AS rejected FROM h JOIN pr USING (rule) GROUP BY source)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
+  rejected AS host_rejected, NOT (f1 OR f2) AND NOT rejected AS kept
+FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _OP4, "op5_chat_format": _OP5, "op7_exact_dedup": _OP7, "op8_mixing": _OP8}
+    return {
+        "op4_url_filter": _OP4,
+        "op5_chat_format": _OP5,
+        "op7_exact_dedup": _OP7,
+        "op8_mixing": _OP8,
+        "op9_quality_rules": _OP9,
+    }
