@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, url_rules
+from . import chat, exact_dedup, langid, mixing, packing, quality, url_rules
 from .common import table
 
 #: Fixed by the contract of op4: host, path, verdict.
@@ -31,6 +31,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("mask", spans)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filter": op4_url_filter,
         "op5_chat_format": op5_chat_format,
+        "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
