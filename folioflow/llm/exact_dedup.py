@@ -30,32 +30,30 @@ def _normalised(df: DataFrame, text: str) -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
-    """One row per distinct text: digest, keep_id, group_size, and the text only where a digest has several."""
+def _combined(docs: DataFrame, id_col: str, text_col: str, salts: int | None) -> DataFrame:
+    """One row per distinct text: _digest, _text, keep_id, group_size."""
     salts = salts or 2 * partitions(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("_id"), _normalised(docs, text_col).alias("_text"))
     keyed = slim.withColumn("_digest", F.unhex(F.sha2(F.col("_text"), 256)))
     salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
     local = salted.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
-    merged = local.groupBy("_digest", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
-    # A digest with one text needs no text any more; only the least and greatest text are compared here.
-    alike = merged.groupBy("_digest").agg(
-        F.min("_text").alias("_least"),
-        F.max("_text").alias("_most"),
-        F.collect_list(F.struct("_text", "keep_id", "group_size")).alias("_all"),
-    )
-    one = F.col("_least") == F.col("_most")
-    return alike.select("_digest", F.explode("_all").alias("_g"), one.alias("_one")).select(
-        "_digest",
-        F.col("_g.keep_id").alias("keep_id"),
-        F.col("_g.group_size").alias("group_size"),
-        F.when(~F.col("_one"), F.col("_g._text")).alias("_only"),
-    )
+    return local.groupBy("_digest", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
+    """One row per distinct text: _digest, keep_id, group_size, and _only, the text, where a digest has several."""
+    combined = _combined(docs, id_col, text_col, salts)
+    told = materialise(combined.drop("_text"), "exact-verdicts").withColumn("_only", F.lit(None).cast("string"))
+    several = told.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_digest")
+    if several.isEmpty():
+        return told
+    by_text = materialise(combined.join(several, "_digest", "left_semi").withColumnRenamed("_text", "_only"), "exact-clashes")
+    return told.join(several, "_digest", "left_anti").unionByName(by_text)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept, text_sha256."""
-    told = materialise(verdicts(docs, id_col, text_col, salts), "exact-verdicts")
+    told = verdicts(docs, id_col, text_col, salts)
     return _joined(docs, told, id_col, text_col).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256")
     )
@@ -63,7 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: one for each distinct text, that of the largest id."""
-    told = materialise(verdicts(docs, id_col, text_col, salts), "exact-verdicts")
+    told = verdicts(docs, id_col, text_col, salts)
     text = _normalised(docs, text_col)
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_digest"))
     same = F.col("_only").isNull() | (F.col("_only") == F.col("_text"))
