@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, lm_scoring, mixing, near_dedup, packing, quality, url_rules
+from . import chat, exact_dedup, langid, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, url_rules
 from .common import table
 
 #: Fixed by the contract of op4: host, path, verdict.
@@ -20,6 +20,11 @@ URL_RULES = [
 ]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_near_dedup": op2_near_dedup,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_url_filter": op4_url_filter,
