@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise
 
 
 def n_words(text: Column) -> Column:
@@ -82,9 +82,9 @@ def mix(
         docs[id_col].alias("_id"),
         _hash32(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("_h"),
     )
-    slim = sized.select("_source", "size", "_h")
+    slim = materialise(sized.select("_source", "size", "_h"), "mixing-sizes")
     by_size = slim.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("_n"))
-    slices = max(1, int(docs.count() ** 0.5))
+    slices = max(1, int(slim.count() ** 0.5))
     sliced = F.pmod(F.col("_h"), F.lit(slices))
     blocks = slim.withColumn("_slice", sliced).groupBy("_source", "size", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     # Starts: of a size within its source (as many rows as sizes), of a slice within its size.
