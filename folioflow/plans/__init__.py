@@ -1,6 +1,6 @@
 """Whole queries: the model's tables, the operators applied to them, and their SQL."""
 
-from . import listening
+from . import library, listening, positions
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "listening"]
+__all__ = ["ORACLES", "QUERIES", "library", "listening", "positions"]

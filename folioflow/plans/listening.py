@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -11,7 +11,11 @@ from .model import TICKS_SQL, table, ticks
 from .registry import query
 
 TODAY = "2024-01-20"
-_today = F.lit(TODAY).cast("date")
+
+
+def _today() -> Column:
+    return F.lit(TODAY).cast("date")
+
 
 DAYS_SQL = f"""{TICKS_SQL},
 days AS (
@@ -125,7 +129,7 @@ s AS (
 SELECT account, CAST(coalesce(current, 0) AS BIGINT) AS current, coalesce(longest, 0) AS longest, coalesce(today, false) AS today
 FROM (SELECT DISTINCT account FROM days) LEFT JOIN s USING (account)""")
 def streak_current_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.streaks(_days(spark, sf_dir), _today)
+    return L.streaks(_days(spark, sf_dir), _today())
 
 
 _HISTORY = """history AS (
@@ -169,7 +173,7 @@ SELECT account, coalesce(n, 0) > 0 AS first_book, coalesce(longest, 0) >= 7 AS w
   listen >= 36000 AS ten_hours, listen >= 180000 AS fifty_hours, greatest(0, 36000 - listen) AS to_ten_hours
 FROM t LEFT JOIN l USING (account) LEFT JOIN f USING (account)""")
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.milestones(_days(spark, sf_dir), _books(spark, sf_dir).where("finished_at is not null"), _today)
+    return L.milestones(_days(spark, sf_dir), _books(spark, sf_dir).where("finished_at is not null"), _today())
 
 
 @query(f"""WITH {DEVICE_BOOKS_SQL}
@@ -277,8 +281,8 @@ def goal_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("day")
     return _days(spark, sf_dir).select(
-        "account", "day", N.relative_day(day, _today).alias("label"), N.month_key(day).alias("month_key"), N.days_in_month(day).alias("days_in_month"),
-        N.monday_first(day).cast("int").alias("weekday"), N.shifted_month(day, 1, _today).alias("next_month"),
+        "account", "day", N.relative_day(day, _today()).alias("label"), N.month_key(day).alias("month_key"), N.days_in_month(day).alias("days_in_month"),
+        N.monday_first(day).cast("int").alias("weekday"), N.shifted_month(day, 1, _today()).alias("next_month"),
     )
 
 
