@@ -90,6 +90,10 @@ def _share(text: Column, ranges: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{ranges}]", ""))
 
 
+def _stops(words: Column, stops: str) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*stops.split())))
+
+
 def detect_language(c: Column | str, sample: int = 300_000) -> Column:
     """By script, else the language with most stop words, earlier languages winning ties."""
     text = F.substring(_s(c), 1, sample)
@@ -99,7 +103,7 @@ def detect_language(c: Column | str, sample: int = 300_000) -> Column:
     letters = cjk + arabic + cyrillic + latin
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
     votes = F.array(*[
-        F.struct(F.size(F.filter(words, lambda w, s=stops: w.isin(s.split()))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang"))
+        F.struct(_stops(words, stops).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang"))
         for i, (lang, stops) in enumerate(STOP_WORDS.items())
     ])
     best = F.array_max(votes)

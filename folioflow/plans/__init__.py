@@ -1,6 +1,6 @@
 """Whole queries: the model's tables, the operators applied to them, and their SQL."""
 
-from . import library, listening, positions
+from . import library, listening, positions, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "library", "listening", "positions"]
+__all__ = ["ORACLES", "QUERIES", "library", "listening", "positions", "texts"]
