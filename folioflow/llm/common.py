@@ -30,15 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage durably: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage durably: a lost executor costs a re-read, not a recomputation. Shuffle
+    files that only the written rows needed are let go, which Spark does when its driver collects
+    garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bound the bytes of an Arrow batch, so that very long texts don't gather in one."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 

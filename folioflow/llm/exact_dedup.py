@@ -20,7 +20,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions
@@ -62,11 +62,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: one for each distinct text, that of the largest id."""
     told = verdicts(docs, id_col, text_col, salts)
-    text = _normalised(docs, text_col)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_digest"))
-    same = F.col("_only").isNull() | (F.col("_only") == F.col("_text"))
-    stay = whole.join(told, "_digest").where(same & F.col("_id").eqNullSafe(F.col("keep_id")))
-    return stay.dropDuplicates(["_digest", "_text"]).select("_row.*")
+    digest = F.unhex(F.sha2(_normalised(docs, text_col), 256))
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)
+    keys = ["_i", "_none", "_digest"]
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(docs[id_col], zero).alias("_i"), docs[id_col].isNull().alias("_none"), digest.alias("_digest"))
+    winner = told.select("_digest", F.coalesce("keep_id", zero).alias("_i"), F.col("keep_id").isNull().alias("_none"), "_only")
+    text = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
+    stay = whole.join(winner, keys).where(F.col("_only").isNull() | (F.col("_only") == text))
+    # Repeated rows share id and text, and stand together by the join's keys.
+    first = F.row_number().over(Window.partitionBy(*keys, "_only").orderBy("_i"))
+    return stay.withColumn("_first", first).where("_first = 1").select("_row.*")
 
 
 def _joined(docs: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:

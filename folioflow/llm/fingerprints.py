@@ -10,7 +10,7 @@ _P_INVERSE = pow(_P, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def mixed_hash(h: np.ndarray) -> np.ndarray:

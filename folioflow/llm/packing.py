@@ -52,6 +52,17 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@cache
+def stored_as(path: str) -> str:
+    """The type in which ids are stored on the way: two bytes where they fit, else four."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+    with open(path, "rb") as f:
+        return "<u2" if max(int(line.split()[1]) for line in f) < 1 << 16 else "<u4"
+
+
 def default_tokenizer() -> str:
     """The ranks of byte_bpe_50k.json, whose ids are the same and come several times faster."""
     import public_tokenizers
@@ -59,15 +70,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int) -> DataFrame:
-    """_part, _id, _source, _n, _ids (little-endian unsigned 32-bit), of each document with its end."""
+def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int, kept_as: str) -> DataFrame:
+    """_part, _id, _source, _n, _ids (little-endian), of each document with its end."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), F.spark_partition_id().alias("_part"))
     kind = f"_part int, _id {slim.schema['_id'].dataType.simpleString()}, _source string, _n long, _ids binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for b in batches:
-            ids = [np.array([*encode(t or ""), end_id], "<u4") for t in b["_text"]]
+            ids = [np.array([*encode(t or ""), end_id], kept_as) for t in b["_text"]]
             yield b[["_part", "_id", "_source"]].assign(_n=[len(x) for x in ids], _ids=[x.tobytes() for x in ids])
 
     return slim.mapInPandas(run, kind)
@@ -111,7 +122,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bounded_batches(docs.sparkSession)
-    tokens = materialise(tokenised(docs, id_col, text_col, source_col, tokenizer or default_tokenizer(), end_id), "packing-ids")
+    path = tokenizer or default_tokenizer()
+    kept_as = stored_as(path)
+    tokens = materialise(tokenised(docs, id_col, text_col, source_col, path, end_id, kept_as), "packing-ids")
     sums = tokens.groupBy("_part", "_source").agg(F.sum("_n").alias("_n"))
     parts = sums.groupBy("_part").agg(F.sum("_n").alias("_n"), F.collect_list(F.struct("_source", "_n")).alias("_by"))
     # Running sums over partitions: a number for each, and one for each source.
@@ -145,7 +158,7 @@ def pack(
         counts, ids, names = own["_n"].tolist(), own["_ids"].tolist(), own["_id"].tolist()
         out = []
         for i in round_robin(list(zip(sources, counts)), owed, rates):
-            at, n, raw = 0, counts[i], memoryview(ids[i])
+            at, n, raw = 0, counts[i], memoryview(np.frombuffer(ids[i], kept_as).astype("<u4").tobytes())
             while at < n:
                 inside = offset % window
                 size = min(n - at, window - inside)

@@ -95,11 +95,18 @@ def host_rates(counted: DataFrame, most_prior: float = 1000.0) -> DataFrame:
     return joined.select("_host", "n", *rates)
 
 
-def judge_rows(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.8, broadcast_rows: int = 50_000) -> DataFrame:
-    """One row per row of ``docs``: row, counts, base_failed, host_rejected, kept."""
+def judge_rows(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.8, broadcast_rows: int = 50_000, keep: list[str] | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: row (the columns ``keep``, or all), counts, base_failed, host_rejected, kept.
+
+    Counts are stored between their two uses if the rows are kept without their text; with it they
+    are taken again, as that moves less.
+    """
     bounded_batches(docs.sparkSession)
-    counted = docs.select(F.struct(*docs.columns).alias("row"), docs[host_col].cast("string").alias("_host"), text_counts(docs[text_col].cast("string")).alias("_c"))
-    counted = materialise(counted, "quality-counts")
+    counted = docs.select(F.struct(*(keep or docs.columns)).alias("row"), docs[host_col].cast("string").alias("_host"), text_counts(docs[text_col].cast("string")).alias("_c"))
+    if text_col not in (keep or docs.columns):
+        counted = materialise(counted, "quality-counts")
     worst = F.greatest(*[F.col(k) for k in rules(F.col("_c"))])
     rejected = materialise(host_rates(counted).where(worst > host_limit).select(F.col("_host").alias("_bad")), "quality-hosts")
     if rejected.count() <= broadcast_rows:  # checked; else Spark joins by shuffle, and splits frequent hosts

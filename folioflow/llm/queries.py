@@ -58,8 +58,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.judge_rows(slim).select("row.doc_id", *[F.col(f"counts.{c}") for c in quality.COUNTS], "base_failed", "host_rejected", "kept")
+    told = quality.judge_rows(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return told.select("row.doc_id", *[F.col(f"counts.{c}") for c in quality.COUNTS], "base_failed", "host_rejected", "kept")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,8 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
 
     marks = materialise(slim.mapInPandas(anchors, "_a long, _id long, _k long, _p int"), "substring-anchors")
     shared = marks.groupBy("_a").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_a")
-    held = marks.join(shared, "_a").groupBy("_k").agg(F.collect_set("_p").alias("_at"))
+    shared = materialise(shared, "substring-shared")  # a table of its own, so that Spark can split frequent anchors in the join
+    held = materialise(marks.join(shared, "_a").groupBy("_k").agg(F.collect_set("_p").alias("_at")), "substring-held")
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -231,11 +232,12 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
 
     seen = region.mapInPandas(hashed, "_w long, _id long, _s long")
     firsts = seen.groupBy("_w").agg(F.min(F.struct("_id", "_s")).alias("_f"), F.max("_id").alias("_hi")).where("_f._id < _hi")
-    firsts = firsts.select("_w", F.col("_f._id").alias("_first"), F.floor(F.col("_f._s") / PIECE).alias("_g"))
+    firsts = materialise(firsts.select("_w", F.col("_f._id").alias("_first"), F.floor(F.col("_f._s") / PIECE).alias("_g")), "substring-firsts")
     # A block streams about 1 MB of regions, so that its automaton stays small.
     blocks = max(partitions(spark), -(-(region.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]) // (1 << 20)))
     block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     wanted = seen.join(firsts, "_w").where("_first < _id").select(block.alias("_b"), "_first", "_g").distinct()
+    wanted = materialise(wanted, "substring-wanted")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pieces of regions on a grid of window positions, each with all words of its windows."""
@@ -249,7 +251,7 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
                     rows.append((doc, g, " ".join(words[lo - s : hi - s + length])))
             yield pd.DataFrame(rows, columns=["_d", "_g", "_text"]).astype({"_d": "int64", "_g": "int64"})
 
-    leading = region.join(firsts.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi")
+    leading = region.join(wanted.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi")
     piece = leading.select("_id", "_s", "_text").mapInPandas(pieces, "_d long, _g long, _text string").withColumnRenamed("_g", "_pg")
     shard = wanted.join(piece, (F.col("_first") == F.col("_d")) & (F.col("_g") == F.col("_pg"))).select(F.col("_b").alias("_sb"), "_d", "_text")
 
@@ -275,7 +277,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     slim = docs.select(docs[id_col].alias("_own"), order.alias("_id"), F.xxhash64(order, docs[text_col]).alias("_k"), docs[text_col].cast("string").alias("_text"))
     spans = materialise(removed_spans(slim.drop("_own"), length, anchor), "substring-spans")
-    told = slim.join(spans, "_k", "left").select("_own", "_text", "_spans")
+    # Joined by shuffle at every size: how many documents have spans grows with the input.
+    told = slim.join(spans.hint("merge"), "_k", "left").select("_own", "_text", "_spans")
     id_kind = told.schema["_own"].dataType.simpleString()
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
