@@ -1,6 +1,6 @@
 """Whole queries: the model's tables, the operators applied to them, and their SQL."""
 
-from . import library, listening, positions, structure, texts
+from . import library, listening, positions, streams, structure, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "library", "listening", "positions", "structure", "texts"]
+__all__ = ["ORACLES", "QUERIES", "library", "listening", "positions", "streams", "structure", "texts"]
