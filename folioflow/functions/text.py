@@ -94,28 +94,35 @@ def _stops(words: Column, stops: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*stops.split())))
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def detect_language(c: Column | str, sample: int = 300_000) -> Column:
     """By script, else the language with most stop words, earlier languages winning ties."""
     text = F.substring(_s(c), 1, sample)
-    cjk, kana = _share(text, CJK), _share(text, "぀-ヿ")
-    arabic, cyrillic = _share(text, "؀-ۿݐ-ݿ"), _share(text, "Ѐ-ӿ")
-    latin, hindi = _share(text, "A-Za-zÀ-ɏ"), _share(text, "ऀ-ॿ")
-    letters = cjk + arabic + cyrillic + latin
+    shares = F.struct(
+        _share(text, CJK).alias("cjk"), _share(text, "぀-ヿ").alias("kana"), _share(text, "؀-ۿݐ-ݿ").alias("arabic"),
+        _share(text, "Ѐ-ӿ").alias("cyrillic"), _share(text, "A-Za-zÀ-ɏ").alias("latin"), _share(text, "ऀ-ॿ").alias("hindi"),
+    )
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
-    votes = F.array(*[
-        F.struct(_stops(words, stops).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang"))
-        for i, (lang, stops) in enumerate(STOP_WORDS.items())
-    ])
-    best = F.array_max(votes)
-    return (
-        F.when(hindi > 0.3 * (letters + hindi), "hi")
-        .when(letters == 0, "other")
-        .when(cjk > 0.2 * letters, F.when(kana > 0.1 * cjk, "ja").otherwise("zh"))
-        .when(arabic > 0.3 * letters, "ar")
-        .when(cyrillic > 0.3 * letters, "ru")
-        .when(F.size(words) == 0, "other")
-        .otherwise(F.when(best["n"] > 0, best["lang"]).otherwise("en"))
-    )
+
+    def voted(ws: Column) -> Column:
+        votes = [F.struct(_stops(ws, stops).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stops) in enumerate(STOP_WORDS.items())]
+        return F.when(F.size(ws) == 0, "other").otherwise(_once(F.array_max(F.array(*votes)), lambda best: F.when(best["n"] > 0, best["lang"]).otherwise("en")))
+
+    def told(s: Column) -> Column:
+        letters = s["cjk"] + s["arabic"] + s["cyrillic"] + s["latin"]
+        return (
+            F.when(s["hindi"] > 0.3 * (letters + s["hindi"]), "hi")
+            .when(letters == 0, "other")
+            .when(s["cjk"] > 0.2 * letters, F.when(s["kana"] > 0.1 * s["cjk"], "ja").otherwise("zh"))
+            .when(s["arabic"] > 0.3 * letters, "ar")
+            .when(s["cyrillic"] > 0.3 * letters, "ru")
+        )
+
+    return F.coalesce(_once(shares, told), _once(words, voted))
 
 
 def language_name(c: Column | str) -> Column:
