@@ -60,11 +60,10 @@ class Model:
         self.parts = [table[:0]]
         for n in range(1, LONGEST + 1):
             rows: dict[str, int] = {}
-            pairs = [(rows.setdefault(g, len(rows)), i) for w, i in self.words.items() for g in grams(w, n)]
+            at = np.fromiter((rows.setdefault(g, len(rows)) for w in vocabulary for g in grams(w, n)), dtype=np.int64)
+            of = np.repeat(np.arange(len(vocabulary)), [max(0, len(w) + 3 - n) for w in vocabulary])
             summed = np.zeros((len(rows), len(self.langs)))
-            if pairs:
-                at, of = np.array(pairs).T
-                np.add.at(summed, at, table[of])
+            np.add.at(summed, at, table[of])
             self.rows.append(rows)
             self.parts.append(self._logs(summed))
         self.unseen: dict[str, np.ndarray] = {}
@@ -123,10 +122,9 @@ def train(labelled: DataFrame, max_words: int = 200_000) -> dict[str, dict[str,
             yield pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"})
 
     counted = labelled.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    out: dict[str, dict[str, int]] = {}
-    for r in counted.orderBy(F.desc("n"), "word", "lang").limit(max_words).collect():
-        out.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    return out
+    most = counted.orderBy(F.desc("n"), "word", "lang").limit(max_words)
+    lists = most.groupBy("lang").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+    return {r["lang"]: dict(zip(r["words"], r["ns"])) for r in lists.toLocalIterator()}
 
 
 def identify(
