@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stored_in(paths: list[str]) -> Iterator[None]:
+    """What is materialised inside is noted in ``paths``, so that it can be discarded later."""
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -37,6 +60,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for noted in _SCOPES[-1:]:
+        noted.append(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

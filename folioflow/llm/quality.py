@@ -79,20 +79,18 @@ def rules(c: Column) -> dict[str, Column]:
 def host_rates(counted: DataFrame, most_prior: float = 1000.0) -> DataFrame:
     """One row per host: _host, n, and each rule's shrunken failure rate. ``counted`` has _host, _c."""
     fails = {k: F.sum(v.cast("long")).alias(k) for k, v in rules(F.col("_c")).items()}
-    hosts = counted.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *fails.values())
+    hosts = materialise(counted.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *fails.values()), "quality-hosts")
     over = hosts.agg(
-        F.sum("n").alias("_all"),
-        *[F.sum(k).alias(f"_{k}_all") for k in fails],
-        *[F.coalesce(F.var_samp(F.col(k) / F.col("n")), F.lit(0.0)).alias(f"_{k}_var") for k in fails],
-    )
-    joined = hosts.crossJoin(F.broadcast(over))  # one row
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in fails],
+        *[F.coalesce(F.var_samp(F.col(k) / F.col("n")), F.lit(0.0)).alias(f"{k}_var") for k in fails],
+    ).first()
     rates = []
     for k in fails:
-        mean = F.col(f"_{k}_all") / F.col("_all")
-        fitted = mean * (1 - mean) / F.when(F.col(f"_{k}_var") > 0, F.col(f"_{k}_var")) - 1
-        prior = F.least(F.greatest(F.coalesce(fitted, F.lit(most_prior)), F.lit(1.0)), F.lit(most_prior))
+        mean, spread = over[k] / max(1, over["n"]), over[f"{k}_var"]
+        prior = min(max(mean * (1 - mean) / spread - 1, 1.0), most_prior) if spread > 0 else most_prior
         rates.append(((F.col(k) + mean * prior) / (F.col("n") + prior)).alias(k))
-    return joined.select("_host", "n", *rates)
+    return hosts.select("_host", "n", *rates)
 
 
 def judge_rows(
@@ -108,7 +106,7 @@ def judge_rows(
     if text_col not in (keep or docs.columns):
         counted = materialise(counted, "quality-counts")
     worst = F.greatest(*[F.col(k) for k in rules(F.col("_c"))])
-    rejected = materialise(host_rates(counted).where(worst > host_limit).select(F.col("_host").alias("_bad")), "quality-hosts")
+    rejected = materialise(host_rates(counted).where(worst > host_limit).select(F.col("_host").alias("_bad")), "quality-rejected")
     if rejected.count() <= broadcast_rows:  # checked; else Spark joins by shuffle, and splits frequent hosts
         rejected = F.broadcast(rejected)
     failed = rules(F.col("_c"))
