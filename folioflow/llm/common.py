@@ -71,8 +71,9 @@ def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def text_of(df: DataFrame, name: str = "text") -> Column:
-    return F.coalesce(df[name].cast("string"), F.lit(""))
+def blocks_of_rows() -> Column:
+    """A number for every 8192 neighbouring rows of a task, rising with the rows; to be stored before it is used twice."""
+    return F.shiftright(F.monotonically_increasing_id(), 13)
 
 
 def partitions(spark: SparkSession) -> int:
