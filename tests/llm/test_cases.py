@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import chat, exact_dedup, langid, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, url_rules
-from folioflow.llm.lm_scoring import Model, TREES
+from folioflow.llm.lm_scoring import Model
 from .test_contracts import brute_substrings, check_pieces
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, _text string, kept boolean, size int, _id string"
@@ -147,19 +147,15 @@ def test_sampling_follows_similarity():
 
 def test_probabilities_add_up():
     """All bytes after a context have probability one together."""
-    import numpy as np
-
     text = b"the cat sat on the mat \n"
-    of_class, of_byte = np.zeros(TREES[0][0][-1] * 32, dtype=np.int64), np.zeros(TREES[1][0][-1] * 256, dtype=np.int64)
-    lm_scoring.add_counts([text] * 5, of_class, of_byte)
-    parts = [(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in (of_class, of_byte)]
-    model = Model(*parts)
+    counts = lm_scoring.Counts()
+    counts.add([text] * 5)
+    model = Model(*counts.tables())
     before = model.score([b"the c"])[0]
     one = model.score([b"the c" + bytes([c]) for c in range(256)])
     assert sum(10 ** (x - before) for x in one) == pytest.approx(1.0, abs=1e-4)
     assert model.score([text])[0] > model.score([text[::-1]])[0]
-    nothing = np.zeros(0, dtype=np.int64)
-    assert Model((nothing, nothing), (nothing, nothing)).score([b"\n"])[0] == pytest.approx(5 * -0.30103, abs=1e-4)
+    assert Model(*lm_scoring.Counts().tables()).score([b"\n"])[0] == pytest.approx(5 * -0.30103, abs=1e-4)
 
 
 def test_language(odd, empty):
