@@ -211,7 +211,11 @@ def visible_voices(voices: DataFrame, asked: DataFrame) -> DataFrame:
     """The voices of a language or the chosen one; all of them where the language has none. ``asked`` has ask_id, language, chosen."""
     has = voices.select(F.col("language").alias("_l")).distinct().withColumn("_has", F.lit(True))
     wanted = asked.join(has, F.col("language") == F.col("_l"), "left").select("ask_id", F.col("language").alias("_want"), "chosen", F.coalesce("_has", F.lit(False)).alias("_any"))
-    return voices.join(wanted, (~F.col("_any")) | (F.col("language") == F.col("_want")) | (F.col("voice_id") == F.col("chosen"))).select("ask_id", "voice_id")
+    ids = voices.select("voice_id", "language")
+    some = ids.join(wanted.where("_any"), F.col("language") == F.col("_want")).select("ask_id", "voice_id")
+    chosen = ids.join(wanted, F.col("voice_id") == F.col("chosen")).select("ask_id", "voice_id")
+    every = wanted.where("not _any").groupBy("ask_id").agg(F.lit(1).alias("_k")).join(ids.withColumn("_k", F.lit(1)), "_k").select("ask_id", "voice_id")
+    return some.unionByName(chosen).unionByName(every).distinct()
 
 
 def new_voice(name: Column, description: Column, gender: Column, languages: Sequence[str], language: Column) -> Column:

@@ -44,14 +44,14 @@ def listened(ticks: DataFrame) -> DataFrame:
     """Seconds listened at each tick. ``ticks`` has device, event_id, ts, media_time, rate, reset; state is the last media time."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last = state.get[0] if state.exists and state.get[0] >= 0 else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for e, t, rate, reset in zip(rows["event_id"], rows["media_time"], rows["rate"], rows["reset"]):
             step = None if last is None or reset else t - last
             out.append((key[0], e, step / (rate or 1.0) if step is not None and 0 < step < LONGEST else 0.0))
             last = None if reset else float(t)
-        state.update((last,))
+        state.update((-1.0 if last is None else last,))  # -1: nothing to count from
         yield pd.DataFrame(out, columns=["device", "event_id", "listened"])
 
     return ticks.groupBy("device").applyInPandasWithState(run, "device long, event_id long, listened double", "last double", "append", GroupStateTimeout.NoTimeout)
@@ -94,14 +94,14 @@ def app_time(ticks: DataFrame, longest: float = 10.0) -> DataFrame:
     """Seconds in the app at each visible tick, gaps capped. ``ticks`` has device, event_id, ts, visible."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last = state.get[0] if state.exists and state.get[0] >= 0 else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for e, ts, visible in zip(rows["event_id"], rows["ts"], rows["visible"]):
             now = ts.timestamp()
             out.append((key[0], e, min(longest, now - last) if visible and last is not None else 0.0))
             last = now if visible else None
-        state.update((last,))
+        state.update((-1.0 if last is None else last,))
         yield pd.DataFrame(out, columns=["device", "event_id", "in_app"])
 
     return ticks.groupBy("device").applyInPandasWithState(run, "device long, event_id long, in_app double", "last double", "append", GroupStateTimeout.NoTimeout)
