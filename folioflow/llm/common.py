@@ -71,9 +71,9 @@ def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def blocks_of_rows() -> Column:
-    """A number for every 8192 neighbouring rows of a task, rising with the rows; to be stored before it is used twice."""
-    return F.shiftright(F.monotonically_increasing_id(), 13)
+def blocks_of_rows(bits: int = 13) -> Column:
+    """A number for every ``2**bits`` neighbouring rows of a task, rising with the rows; to be stored before it is used twice."""
+    return F.shiftright(F.monotonically_increasing_id(), bits)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of_rows, bounded_batches, materialise
 
+#: Partitions of so many documents (a power of two) are packed in one go each, in a task's memory.
+BLOCK_BITS = 11
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -72,7 +74,7 @@ def default_tokenizer() -> str:
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int, kept_as: str) -> DataFrame:
     """_part, _id, _source, _n, _ids (little-endian), of each document with its end."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), blocks_of_rows().alias("_part"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), blocks_of_rows(BLOCK_BITS).alias("_part"))
     kind = f"_part long, _id {slim.schema['_id'].dataType.simpleString()}, _source string, _n long, _ids binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
