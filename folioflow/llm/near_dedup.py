@@ -13,6 +13,10 @@ that a large group of near copies, whose shared text is frequent, still counts a
    members, not with their square.
 3. Pairs are verified: weighted Jaccard similarity of whole texts of ``threshold`` or more.
 4. Verified links make classes, by contraction to smaller labels until nothing changes.
+5. Buckets whose members are of several classes have pairs that no centre has settled. Their members
+   are keyed anew by the shingles at the rare end of each text, so that every pair that is similar
+   enough has a key in common and passes the bounds of its lengths (prefix filtering, which loses
+   none). Pairs of different classes with a common key are verified, and classes are made again.
 
 Defined cases: a null text is empty; texts are cut into words at ASCII white space and compared
 without A-Z case; a text of fewer than five words is one shingle; identical texts are always one
@@ -167,9 +171,13 @@ def near_classes(
 
     signed = slim.select("_id", F.unhex(F.sha2("_text", 256)).alias("_digest"), "_text").mapInPandas(sign, "_id long, _digest binary, _keys array<long>")
     reps = materialise(signed.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys")), "near-reps")
-    links = verified(slim, candidates(reps), weights, threshold)
-    links = materialise(links, "near-links")
+    pairs, member = candidates(reps)
+    links = materialise(verified(slim, pairs, weights, threshold), "near-links")
     labels = components(links)
+    more = materialise(verified(slim, unsettled(slim, reps, member, labels, weights, df_bits, threshold), weights, threshold), "near-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("_links"))
     known = reps.select("_digest", "_rep").join(labels.withColumnRenamed("id", "_rep"), "_rep", "left").join(degree.withColumnRenamed("a", "_rep"), "_rep", "left")
     told = slim.select("_own", "_id", F.unhex(F.sha2("_text", 256)).alias("_digest")).join(known, "_digest")
@@ -200,8 +208,8 @@ def _bands(samples: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a, b: in each bucket, and in each bucket of two neighbouring bands, all members with the centre."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a, b: in each bucket, and in each bucket of two neighbouring bands, all members with the centre. And who is in which bucket of several."""
     n = F.size("_keys")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get("_keys", i), F.get("_keys", (i + 1) % n)))
     member = reps.where(n > 0).select("_rep", F.explode(F.concat("_keys", pairs)).alias("_key"))
@@ -214,7 +222,63 @@ def candidates(reps: DataFrame) -> DataFrame:
     met = materialise(met.select("_rep", "_key").join(popular.hint("merge"), "_rep"), "near-members")
     centres = materialise(met.groupBy("_key").agg(F.max_by("_rep", F.struct("_p", -F.col("_rep"))).alias("_centre")), "near-centres")
     linked = met.join(centres.hint("merge"), "_key").where("_rep != _centre")
-    return linked.select(F.least("_rep", "_centre").alias("a"), F.greatest("_rep", "_centre").alias("b"), F.col("_centre").alias("c")).groupBy("a", "b").agg(F.min("c").alias("c"))
+    return linked.select(F.least("_rep", "_centre").alias("a"), F.greatest("_rep", "_centre").alias("b"), F.col("_centre").alias("c")).groupBy("a", "b").agg(F.min("c").alias("c")), met.select("_key", "_rep")
+
+
+def labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """``df`` with the _label of each _rep, which is its own where it has no link."""
+    return df.join(labels.select(F.col("id").alias("_rep"), "label"), "_rep", "left").withColumn("_label", F.coalesce("label", "_rep")).drop("label")
+
+
+def unsettled(slim: DataFrame, reps: DataFrame, member: DataFrame, labels: DataFrame, weights, df_bits: int, threshold: float) -> DataFrame:
+    """Pairs a, b (and c, which is b) of different classes that may be similar enough, among members of buckets of several classes.
+
+    Let a text's shingles be in one order for all texts, rare ones first. What a pair has in common
+    is at most what either text weighs from the first common shingle on, and must be
+    threshold / (1 + threshold) of both weights. So that shingle lies where a text has ``threshold``
+    of its weight still to come, and, in the lighter text, 2 * threshold / (1 + threshold) of it.
+    """
+    least = 2 * threshold / (1 + threshold)
+    told = labelled(member, labels)
+    mixed = told.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).where("_lo != _hi").select("_key")
+    rest = told.join(mixed.hint("merge"), "_key").select("_rep", "_label").distinct()
+    rest = materialise(rest.join(reps.select("_rep", "_digest"), "_rep"), "near-rest")
+    texts = slim.select(F.col("_id").alias("_rep"), "_text").join(rest, "_rep").where(F.unhex(F.sha2("_text", 256)) == F.col("_digest"))
+    texts = materialise(texts.dropDuplicates(["_rep", "_digest"]).select("_rep", "_label", "_text"), "near-rest-texts")
+    df = slim.sparkSession.sparkContext.broadcast(document_frequencies(texts, df_bits))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hashes, n = shingles(b["_text"].tolist())
+            h, w, n = weighted(hashes, n, weights.value)
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, df.value[bucket(h, len(df.value))], of))
+            h, w = h[order], w[order]
+            total = np.bincount(of, w, minlength=len(n))
+            before = np.cumsum(w) - w
+            before -= np.repeat(before[np.cumsum(n) - n], n)
+            left = total[of] - before
+            at = np.flatnonzero(left >= threshold * total[of] * (1 - 1e-9))
+            yield pd.DataFrame({"_shingle": h[at].view(np.int64), "_rep": b["_rep"].to_numpy()[of[at]], "_label": b["_label"].to_numpy()[of[at]], "_all": total[of[at]], "_left": left[at]})
+
+    keys = materialise(texts.mapInPandas(keyed, "_shingle long, _rep long, _label long, _all double, _left double"), "near-keys")
+    # Of a shingle's classes the largest is met by the others, and not by itself.
+    early = F.col("_left") >= F.lit(least * (1 - 1e-9)) * F.col("_all")
+    by_class = keys.groupBy("_shingle", "_label").agg(F.count(F.lit(1)).alias("_n"), F.max(early).alias("_e"))
+    shared = by_class.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_classes"), F.max("_e").alias("_e"), F.max_by("_label", F.struct("_n", "_label")).alias("_most"))
+    met = materialise(keys.join(shared.where("_classes > 1 and _e").select("_shingle", "_most").hint("merge"), "_shingle").withColumn("_early", early), "near-met")
+    x = met.where("_label != _most").select("_shingle", *[F.col(c).alias(c + "_x") for c in ("_rep", "_label", "_all", "_left", "_early")])
+    y = met
+    close = (
+        (F.col("_label") != F.col("_label_x"))
+        & ((F.col("_label") == F.col("_most")) | (F.col("_rep") < F.col("_rep_x")))
+        & (F.least("_left", "_left_x") >= F.lit(least / 2 * (1 - 1e-9)) * (F.col("_all") + F.col("_all_x")))
+    )
+    # One of the two is early, so shingles that come late in all texts pair none.
+    first = x.where("_early_x").join(y.hint("merge"), "_shingle").where(close)
+    second = x.where("not _early_x").join(y.where("_early").hint("merge"), "_shingle").where(close)
+    a, b = F.least("_rep", "_rep_x").alias("a"), F.greatest("_rep", "_rep_x").alias("b")
+    return first.select(a, b).unionByName(second.select(a, b)).distinct().withColumn("c", F.col("b"))
 
 
 def verified(slim: DataFrame, pairs: DataFrame, weights, threshold: float) -> DataFrame:

@@ -126,6 +126,50 @@ def test_near(spark):
     assert [i for i in range(30) if found[i].kept] == [0]
 
 
+@pytest.fixture(scope="module")
+def template_heavy():
+    """Texts of one template and words of their own, near copies of 40 of them, and the pairs of weighted Jaccard similarity 0.8 or more."""
+    import numpy as np
+
+    g = random.Random(5)
+    template = [f"t{g.randrange(10**6)}" for _ in range(260)]
+    words = [template + [f"o{i}x{k}" for k in range(45)] for i in range(600)]
+    for i in range(40):
+        words.append(list(words[i]))
+        for k in g.sample(range(260), 6):
+            words[-1][k] = f"c{i}x{k}"
+    texts = [" ".join(w) for w in words]
+    hashes, n = near_dedup.shingles(texts)
+    of, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    df = np.bincount(np.concatenate([np.unique(near_dedup.bucket(hashes[e - k : e], 1 << 18)) for e, k in zip(ends, n)]), minlength=1 << 18)
+    weights = 1 + 0.25 * np.log(len(n) / np.clip(df, 1, len(n))) / np.log(len(n))
+    found, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    has = np.zeros((len(n), len(found)))
+    has[of, column] = 1.0
+    weight = weights[near_dedup.bucket(found, 1 << 18)]
+    total, both = has @ weight, (has * weight)[:, times > 1] @ has[:, times > 1].T
+    like = both / (total[:, None] + total[None, :] - both)
+    pairs = {(int(a), int(b)) for a, b in np.argwhere(like >= 0.8) if a < b}
+    assert pairs == {(i, 600 + i) for i in range(40)}
+    return list(enumerate(texts)), pairs
+
+
+def test_near_copies_under_a_template(spark, template_heavy):
+    """Pairs of which neither is the centre of a bucket that others of the template fill."""
+    rows, pairs = template_heavy
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i for i, _ in rows} | {b: a for a, b in pairs}
+
+
+def test_near_copies_under_a_template_in_the_pipeline(spark, data, template_heavy):
+    import corpus_pipeline as P
+
+    rows, pairs = template_heavy
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(P.STAGES)["near dedup"](spark, docs, data).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({i for i, _ in rows} - {b for _, b in pairs})
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1, 1.0) for k in range(20)] + [(50, 60, 1.0), (55, 60, 1.0)], "a long, b long, similarity double")
     found = {r.id: r.label for r in near_dedup.components(links).collect()}
