@@ -80,30 +80,37 @@ def bucket(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Sampler:
-    """Improved consistent weighted sampling, with its random variables drawn into fixed tables."""
+    """Improved consistent weighted sampling, with its random variables drawn from a hash of (shingle, sample)."""
 
-    def __init__(self, samples: int, seed: int = 11, bits: int = 16):
-        g = np.random.default_rng(seed)
-        self.r = g.gamma(2.0, 1.0, 1 << bits)
-        self.log_c = np.log(g.gamma(2.0, 1.0, 1 << bits))
-        self.beta = g.random(1 << bits)
-        self.keys = g.integers(0, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = np.uint64(64 - bits)
+    def __init__(self, samples: int, seed: int = 11):
+        self.keys = np.random.default_rng(seed).integers(0, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """One row per text, one column per sample. The least value stands for its shingle and step."""
-        logs = np.log(weights)
+        """One row per text, one column per sample: the least value (upper half), a hash of its shingle and step (lower half)."""
+        logs = np.log(weights).astype(np.float32)
         starts = np.cumsum(n) - n
-        out = np.empty((len(n), len(self.keys)))
+        out = np.empty((len(n), len(self.keys)), dtype=np.int64)
         with np.errstate(over="ignore"):
             for j, key in enumerate(self.keys):
-                at = ((hashes ^ (hashes >> np.uint64(29))) * key >> self.shift).astype(np.int64)
-                r, beta = self.r[at], self.beta[at]
+                h = mixed_hash(hashes * key + key)
+                g = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                # Gamma(2, 1) is the sum of two exponentials.
+                r = -np.log(_uniform(h, 40) * _uniform(h, 16))
+                log_c = np.log(-np.log(_uniform(g, 40) * _uniform(g, 16)))
+                beta = _uniform((h ^ g) * np.uint64(0xC4CEB9FE1A85EC53), 40)
                 steps = np.floor(logs / r + beta)
-                out[:, j] = np.minimum.reduceat(self.log_c[at] - r * (steps - beta + 1.0), starts)
+                least = (log_c - r * (steps - beta + np.float32(1))).view(np.int32)
+                least = (least ^ (least >> 31 & 0x7FFFFFFF)).astype(np.int64)  # in the order of the values
+                step = steps.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                out[:, j] = np.minimum.reduceat(least << 32 | ((h + step) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).view(np.int64), starts)
         return out.view(np.uint64)
 
 
+def _uniform(h: np.ndarray, shift: int) -> np.ndarray:
+    """24 bits of the hash, as a number above 0 and below 1."""
+    return ((h >> np.uint64(shift) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)).clip(0.5, 2**24 - 1) * np.float32(2**-24)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two sorted sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)

@@ -189,6 +189,16 @@ def test_sampling_follows_similarity():
     assert abs((out[0] == out[1]).mean() - expected) < 0.05 and 0.3 < expected < 0.5
 
 
+def test_samples_of_very_long_texts_differ():
+    """Unrelated texts of more shingles than any table of random variables has, and a near copy."""
+    import numpy as np
+
+    h = np.random.default_rng(4).integers(0, 2**63, 600_000, dtype=np.uint64)
+    a, b, c = h[:300_000], h[300_000:], h[15_000:315_000]
+    s = near_dedup.Sampler(30)(np.concatenate([a, b, c]), np.ones(900_000), np.full(3, 300_000))
+    assert (s[0] == s[1]).sum() == 0 and (s[0] == s[2]).mean() > 0.7
+
+
 def test_probabilities_add_up():
     """All bytes after a context have probability one together."""
     text = b"the cat sat on the mat \n"
