@@ -9,7 +9,8 @@ and the deficits with which it goes on. Partitions are so packed at the same tim
 after the other, and only the last window of all has padding.
 
 Target proportions default to the sources' shares of all tokens; given ones hold for as long as the
-queues last, as every id is packed.
+queues last, as every id is packed. Partitions are dealt by a hash of the row's position, so each
+holds every source in about its proportion, however the rows are sorted.
 
 Defined cases: a null text is empty and has the end id alone; a null source is a source of its own;
 a null id and repeated rows are documents like others; further columns are ignored; an empty table
@@ -28,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of_rows, bounded_batches, materialise
+from .common import bounded_batches, materialise
 
-#: Partitions of so many documents (a power of two) are packed in one go each, in a task's memory.
+#: Partitions of about so many documents (a power of two) are packed in one go each, in a task's memory.
 BLOCK_BITS = 11
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -73,15 +74,15 @@ def default_tokenizer() -> str:
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int, kept_as: str) -> DataFrame:
-    """_part, _id, _source, _n, _ids (little-endian), of each document with its end."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), blocks_of_rows(BLOCK_BITS).alias("_part"))
-    kind = f"_part long, _id {slim.schema['_id'].dataType.simpleString()}, _source string, _n long, _ids binary"
+    """_at (the row's position), _id, _source, _n, _ids (little-endian), of each document with its end."""
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_at"))
+    kind = f"_at long, _id {slim.schema['_id'].dataType.simpleString()}, _source string, _n long, _ids binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for b in batches:
             ids = [np.array([*encode(t or ""), end_id], kept_as) for t in b["_text"]]
-            yield b[["_part", "_id", "_source"]].assign(_n=[len(x) for x in ids], _ids=[x.tobytes() for x in ids])
+            yield b[["_at", "_id", "_source"]].assign(_n=[len(x) for x in ids], _ids=[x.tobytes() for x in ids])
 
     return slim.mapInPandas(run, kind)
 
@@ -127,6 +128,8 @@ def pack(
     path = tokenizer or default_tokenizer()
     kept_as = stored_as(path)
     tokens = materialise(tokenised(docs, id_col, text_col, source_col, path, end_id, kept_as), "packing-ids")
+    blocks = max(1, -(-tokens.count() // (1 << BLOCK_BITS)))
+    tokens = tokens.withColumn("_part", F.pmod(F.xxhash64("_at"), F.lit(blocks).cast("long"))).drop("_at")
     sums = tokens.groupBy("_part", "_source").agg(F.sum("_n").alias("_n"))
     parts = sums.groupBy("_part").agg(F.sum("_n").alias("_n"), F.collect_list(F.struct("_source", "_n")).alias("_by"))
     # Running sums over partitions: a number for each, and one for each source.

@@ -307,6 +307,16 @@ def test_packing(spark, odd, empty):
     assert packing.pack(odd).count() >= len(ROWS) and packing.pack(empty).count() == 0
 
 
+def test_windows_of_rows_sorted_by_source(spark):
+    """Every source has its share of the windows, though neighbouring rows are of one source."""
+    rows = [(i, "some words of a text " * (2 + i % 7), f"s{i // 600:02}") for i in range(12_000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    found["source"] = found.doc_id // 600
+    shares = found.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0) / 1024
+    shares = shares[shares.sum(axis=1) == 1]
+    assert shares.shape[1] == 20 and (abs(shares - 0.05).sum(axis=1) / 2).mean() < 0.3
+
+
 def test_round_robin_keeps_to_targets():
     g = random.Random(2)
     docs = [("ab"[k % 2], g.randrange(1, 100)) for k in range(400)]
