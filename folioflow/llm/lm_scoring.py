@@ -1,22 +1,31 @@
 """Language-model scoring by context-tree weighting.
 
 A text is coded as its words, A-Z lower-cased, each followed by a space, and an end byte. Every byte
-is coded by binary decisions: five bits tell its class (a letter each, space, digits, other ASCII,
-UTF-8 lead and continuation bytes, the end), and in classes of several bytes eight more bits tell
-which. The decisions of a class are weighted over contexts of 0 to 5 preceding classes, those of a
-byte over contexts of 0 to 2 preceding bytes. The deepest contexts of classes share 2**20 slots by
-hash; a slot speaks for the one context that it notes, and others go by their four classes. Each context node has a Krichevsky-Trofimov estimate,
-and a tree's node mixes its own estimate with its children's, half and half, which after training
-amounts to a posterior weight for every depth. A child without data has no say.
-
-Training counts are gathered by every task and added up by slot; they have at most 2**25 entries for
-each of two depths, and 2**21 for bytes, so the model has a bound that doesn't depend on the corpus. Word counts, for the
-base score, have none, and are never gathered in one place: every block of documents asks for the
-words it holds, and the totals are joined to these requests.
-
-Defined cases: a null text is empty, and has the end alone; a null id hashes like an empty one;
-repeated rows are rows like others, and are learned from as often; further columns are ignored; an
-empty table gives an empty result. With nothing to learn from, every decision has probability 1/2.
+is eight binary decisions; each decision (255 of them, by the bits before it) has a context tree over
+the ``DEPTH`` bytes before, nearest first. Each node has a Krichevsky-Trofimov estimate, and weighs
+it half against the product of its children, which after training amounts to a posterior weight for
+every depth; a node at ``DEPTH`` has its estimate alone. A text's probability is the product of what
+the weighted trees, as training left them, predict for its decisions.
+
+Counts are of whole contexts with the byte that follows (a gram, ``DEPTH + 1`` bytes in a long) and
+are exact; contexts never share a count, and what is kept grows with the corpus:
+
+1. Documents are dealt into blocks of bounded bytes. Every block asks for its own distinct grams,
+   with the counts of its training documents; asks are packed arrays, dealt by a hash of the gram.
+2. Asks are added up by gram, then dealt by the nearest three bytes, whose trees are whole there:
+   from depth ``DEPTH`` up to 3, each adds its part to the nodes of depth 2.
+3. These are added up and gathered; there are 2**16 contexts at most, whatever the corpus. The top of
+   the trees is broadcast, and every shard predicts its grams, down from it.
+4. Predictions go back by the gram's hash to the blocks that asked.
+
+Word counts, for the base score, go the same way: every block asks for the words it holds, and the
+totals are joined to these requests. No step gathers a frequent gram's or word's occurrences: a block
+asks once for each.
+
+Defined cases: a null text is empty, and has the end alone; a text of any length is read in whole; a
+null id hashes like an empty one; repeated rows are rows like others, and are learned from as often;
+further columns are ignored; an empty table gives an empty result. With nothing to learn from, every
+decision has probability 1/2.
 """
 
 from __future__ import annotations
@@ -26,24 +35,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .common import blocks_of_rows, bounded_batches, discard, materialise, stored_in
+from .common import bounded_batches, materialise, partitions, scratch
+from .fingerprints import mixed_hash
 
 _AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = b"\n"
 DEPTH = 5
-CLASSES = 32
-SLOT_BITS = 20
-_CLASS = np.full(256, 28, dtype=np.int32)
-_CLASS[97:123] = np.arange(26)
-_CLASS[32], _CLASS[48:58], _CLASS[128:192], _CLASS[192:], _CLASS[10] = 26, 27, 30, 29, 31
-_SEVERAL = np.isin(_CLASS, (27, 28, 29, 30))
-#: For the tree of classes (without its slots) and the tree of bytes: how many contexts each depth has, bits of a symbol.
-TREES = (([CLASSES**d for d in range(DEPTH)], 5), ([1, 256, 256 * CLASSES], 8))
+#: Bytes of text in a block, and asked for by a shard.
+BLOCK_BYTES = 16 << 20
 _CHUNK = 1 << 20
+_8 = np.uint64(8)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -66,72 +74,50 @@ def chunked(streams: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def coded(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, their class context, their byte context, where streams begin, and which positions count."""
+def grams(streams: list[bytes]) -> np.ndarray:
+    """The gram of each byte of the streams: its context, nearest byte first, then the byte; before a stream stand ends."""
     lead = END * DEPTH
     raw = np.frombuffer(lead + lead.join(streams), dtype=np.uint8)
-    starts = np.cumsum([DEPTH, *[len(s) + DEPTH for s in streams[:-1]]])
-    cls = _CLASS[raw]
-    ctx = np.zeros(len(raw), dtype=np.int32)
-    for d in range(DEPTH):
-        ctx[DEPTH:] += cls[DEPTH - 1 - d : len(raw) - 1 - d] * np.int32(CLASSES**d)
-    near = np.zeros(len(raw), dtype=np.int32)
-    near[2:] = raw[1:-1] + 256 * cls[:-2]
-    counts = np.ones(len(raw), dtype=bool)
-    for d in range(DEPTH):
-        counts[starts - 1 - d] = False
-    return raw, ctx, near, starts, counts
-
-
-def slot_of(ctx: np.ndarray) -> np.ndarray:
-    """The slot of a deepest context."""
-    return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, with the sums of their counts."""
+    out = np.zeros(len(raw) - DEPTH, dtype=np.uint64)
+    for d in range(1, DEPTH + 1):
+        out = out << _8 | raw[DEPTH - d : len(raw) - d]
+    out = out << _8 | raw[DEPTH:]
+    sizes = np.array([len(s) for s in streams])
+    inside = np.ones(len(out), dtype=bool)
+    after = np.cumsum(sizes + DEPTH)[:-1]
+    inside[(after[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
+    return out[inside]
+
+
+def summed(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct codes in order, with the sums of their values."""
     found, of = np.unique(codes, return_inverse=True)
-    out = np.zeros(len(found), dtype=np.int64)
-    np.add.at(out, of, counts)
-    return found, out
-
-
-class Counts:
-    """How often each class follows each deepest context, and each byte its two bytes."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
-        self.of_byte = np.zeros(TREES[1][0][-1] * 256, dtype=np.int32)
-
-    def add(self, streams: list[bytes]) -> None:
-        for some in chunked(streams):
-            raw, ctx, near, _, real = coded(some)
-            self.parts.append(np.unique(ctx[real] * np.int32(CLASSES) + _CLASS[raw[real]], return_counts=True))
-            self.held += len(self.parts[-1][0])
-            real &= _SEVERAL[raw]
-            np.add.at(self.of_byte, near[real] * 256 + raw[real], 1)
-            if self.held > 4_000_000:
-                self._merge()
-
-    def _merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.parts = [summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
-        self.held = len(self.parts[0][0])
-        return self.parts[0]
-
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Codes and values: counts after four classes, of bytes, by slot, and the context that each slot notes (the greatest)."""
-        codes, n = self._merge()
-        codes = codes.astype(np.int64)
-        ctx, symbol = codes // CLASSES, codes % CLASSES
-        slots = slot_of(ctx)
-        noted, of = np.unique(slots, return_inverse=True)
-        tags = np.zeros(len(noted), dtype=np.int64)
-        np.maximum.at(tags, of, ctx)
-        at = np.flatnonzero(self.of_byte)
-        return [summed(codes % CLASSES**DEPTH, n), (at, self.of_byte[at].astype(np.int64)), summed(slots * CLASSES + symbol, n), (noted, tags)]
+    return found, *[np.bincount(of, v, minlength=len(found)) for v in values]
+
+
+def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0)
+    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Sorted codes as planes of the bytes of their differences, which compress well."""
+    return np.ascontiguousarray(np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel().cumsum(dtype=np.uint64)
+
+
+def dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards of sorted codes, by a hash of the keys: each shard's number and where its codes stand."""
+    with np.errstate(over="ignore"):
+        of = (mixed_hash(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    edges = np.flatnonzero(np.diff(of[order])) + 1
+    for at in np.split(order, edges) if len(order) else []:
+        yield int(of[at[0]]), at
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -148,226 +134,266 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def log_kt_rows(zeros: np.ndarray, ones: np.ndarray, rows: int = 8192) -> np.ndarray:
-    """:func:`log_kt` of large tables, some rows at a time, as its sums take several times their room."""
-    out = np.empty(zeros.shape)
-    for k in range(0, len(out), rows):
-        out[k : k + rows] = log_kt(zeros[k : k + rows].astype(np.float64), ones[k : k + rows].astype(np.float64))
-    return out
-
-
-def decisions(counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 2**bits - 1 decisions, from counts of symbols by row."""
-    zeros, ones = [], []
-    for level in range(bits):
-        split = counts.reshape(len(counts), 2**level, 2, -1).sum(axis=3)
-        zeros.append(split[:, :, 0])
-        ones.append(split[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
-def symbols(p1: np.ndarray, bits: int) -> np.ndarray:
-    """Probability of each symbol, from that of a one at each decision."""
-    out = np.ones((len(p1), 1))
-    for level in range(bits):
-        p = p1[:, 2**level - 1 : 2 ** (level + 1) - 1]
-        out = np.stack([out * (1 - p), out * p], axis=2).reshape(len(p1), -1)
-    return out
-
-
-class Tree:
-    """The weighted tree's predictions: a row of probabilities for each context, found by :meth:`rows`."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, sizes: list[int], bits: int, slots: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        n_symbols = 2**bits
-        code, symbol = grams // n_symbols, grams % n_symbols
-        contexts, states = [], []
-
-        def level(of_each: np.ndarray, symbols_: np.ndarray, n: np.ndarray) -> None:
-            ids, of = np.unique(np.append(of_each, 0), return_inverse=True)
-            table = np.zeros((len(ids), n_symbols), dtype=np.float32)
-            np.add.at(table, (of[:-1], symbols_), n)
-            contexts.append(ids)
-            states.append(decisions(table, bits))
-
-        for size in sizes:
-            level(code % size, symbol, counts)
-        up = [np.searchsorted(contexts[d - 1], contexts[d] % sizes[d - 1]) if d else None for d in range(len(sizes))]
-        self.tags = None
-        if slots is not None:
-            of_slot, n, tags = slots
-            level(of_slot // n_symbols, of_slot % n_symbols, n)
-            self.tags = tags
-            up.append(np.searchsorted(contexts[-2], np.maximum(tags[contexts[-1]], 0) % sizes[-1]))
-        # From the leaves to the root: the posterior weight of each node's own estimate.
-        own: list[np.ndarray] = [None] * len(contexts)
-        below = None
-        for d in range(len(contexts) - 1, -1, -1):
-            here = log_kt_rows(*states[d])
-            if below is None:
-                own[d], weighted = np.ones(here.shape, dtype=np.float32), here
-            else:
-                kids = np.zeros_like(here)
-                np.add.at(kids, up[d + 1], below)
-                weighted = np.logaddexp(here, kids) + math.log(0.5)
-                own[d] = np.exp(here + math.log(0.5) - weighted).astype(np.float32)
-            below = weighted
-        self.lookup = np.zeros(sizes[-1], dtype=np.int32)
-        rows, first = [], 0
-        for d, ids in enumerate(contexts):
-            if d < len(sizes):
-                self.lookup.reshape(-1, sizes[d])[:, ids] = first + np.arange(len(ids), dtype=np.int32)
-            else:
-                self.deep = np.zeros(1 << SLOT_BITS, dtype=np.int32)
-                self.deep[ids] = first + np.arange(len(ids), dtype=np.int32)
-            first += len(ids)
-            for at in range(0, len(ids), 8192):
-                of, p, says = np.arange(at, min(at + 8192, len(ids))), None, None
-                for k in range(d, -1, -1):
-                    n0, n1 = (x[of].astype(np.float64) for x in states[k])
-                    kt = (n1 + 0.5) / (n0 + n1 + 1.0)
-                    if p is None:
-                        p = kt
-                    else:
-                        w = np.where(says, own[k][of], 1.0)
-                        p = w * kt + (1 - w) * p
-                    says = n0 + n1 > 0 if says is None else says | (n0 + n1 > 0)
-                    of = up[k][of] if k else of
-                rows.append(symbols(p, bits).astype(np.float32))
-        self.table = np.concatenate(rows)
-
-    def rows(self, ctx: np.ndarray) -> np.ndarray:
-        """The row of each context."""
-        if self.tags is None:
-            return self.lookup[ctx]
-        slot = slot_of(ctx)
-        return np.where(self.tags[slot] == ctx, self.deep[slot], self.lookup[ctx % len(self.lookup)])
-
-
-class Model:
-    """Both trees, of the tables that :meth:`Counts.tables` gives."""
-
-    def __init__(self, of_class: tuple[np.ndarray, np.ndarray], of_byte: tuple[np.ndarray, np.ndarray], of_slot: tuple[np.ndarray, np.ndarray], notes: tuple[np.ndarray, np.ndarray]):
-        tags = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-        tags[notes[0]] = notes[1]
-        self.classes = Tree(*of_class, *TREES[0], slots=(*of_slot, tags))
-        self.bytes = Tree(*of_byte, *TREES[1])
-        within = self.bytes.table
-        for c in np.unique(_CLASS[_SEVERAL]):  # a byte's probability among those of its class
-            of = _CLASS == c
-            within[:, of] /= within[:, of].sum(axis=1, keepdims=True)
-        self.classes.table = np.log10(self.classes.table)
-        self.bytes.table = np.log10(within)
-
-    def score(self, streams: list[bytes]) -> list[float]:
-        """Log10 probability of each stream."""
-        out: list[float] = []
-        for some in chunked(streams):
-            raw, ctx, near, starts, real = coded(some)
-            each = self.classes.table[self.classes.rows(ctx), _CLASS[raw]].astype(np.float64)
-            more = np.flatnonzero(_SEVERAL[raw])
-            each[more] += self.bytes.table[self.bytes.rows(near[more]), raw[more]]
-            each[~real] = 0.0
-            out += np.add.reduceat(each, starts).tolist()
-        return out
-
-
-_SHARD = 1 << 17
-
-
-def _gathered(training: DataFrame) -> Model:
-    """Counts by task, added up by shard of each table, and the model made of them."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts()
-        for b in batches:
-            counts.add([stream_of(tokens_of(t)) for t in b["_text"]])
-        for k, (codes, values) in enumerate(counts.tables()):
-            cuts = np.flatnonzero(np.diff(codes // _SHARD)) + 1
-            for c, v in zip(np.split(codes, cuts), np.split(values, cuts)):
-                if len(c):
-                    shard = int(c[0] // _SHARD)
-                    yield pd.DataFrame({"k": [k], "shard": [shard], "at": [(c - shard * _SHARD).astype("<i4").tobytes()], "n": [v.astype("<i4").tobytes()]})
-
-    def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(_SHARD, dtype=np.int64)
-        seen = np.zeros(_SHARD, dtype=bool)
-        for b in parts:
-            for at, n in zip(b["at"], b["n"]):
-                at, n = np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")
-                total[at] = np.maximum(total[at], n) if key[0] == 3 else total[at] + n  # notes are contexts, not counts
-                seen[at] = True
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"k": [key[0]], "shard": [key[1]], "at": [at.astype("<i4").tobytes()], "n": [total[at].tobytes()]})
-
-    kind = "k int, shard int, at binary, n binary"
-    shards = training.select("_text").mapInPandas(count, kind).groupBy("k", "shard").applyInPandas(add, kind).collect()
-    none = np.zeros(0, dtype=np.int64)
-    parts: list[list] = [[(none, none)] for _ in range(4)]
-    for r in sorted(shards, key=lambda r: (r["k"], r["shard"])):
-        parts[r["k"]].append((np.frombuffer(r["at"], "<i4").astype(np.int64) + r["shard"] * _SHARD, np.frombuffer(r["n"], "<i8")))
-    return Model(*[(np.concatenate([p[0] for p in ps]), np.concatenate([p[1] for p in ps])) for ps in parts])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+class Nodes:
+    """The nodes of one depth: codes (context, then decision 1 to 255), counts, own estimates, weighted probabilities."""
+
+    def __init__(self, codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, kids: np.ndarray | None):
+        self.codes, self.zeros, self.ones = codes, zeros, ones
+        own = log_kt(zeros, ones)
+        if kids is None:
+            self.weighted, self.weight = own, np.ones(len(own))
+        else:
+            self.weighted = np.logaddexp(own, kids) + math.log(0.5)
+            self.weight = np.exp(own + math.log(0.5) - self.weighted)
+        self.up: np.ndarray | None = None
+
+    def above(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, counts and children's products of the nodes one byte up."""
+        parents, self.up = np.unique(self.codes >> np.uint64(16) << _8 | self.codes & np.uint64(255), return_inverse=True)
+        zeros, ones, kids = (np.bincount(self.up, v, minlength=len(parents)) for v in (self.zeros, self.ones, self.weighted))
+        return parents, zeros, ones, kids
+
+    def mixed(self, said: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the trees say down to here of a one, and the weight left to greater depths, from what they say above."""
+        estimate = (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+        return said + left * self.weight * estimate, left * (1 - self.weight)
+
+
+def leaves(codes: np.ndarray, counts: np.ndarray) -> tuple[Nodes, list[np.ndarray], list[np.ndarray]]:
+    """The nodes at ``DEPTH`` of sorted grams, and for each of the eight decisions which node and what bit a gram has."""
+    symbol = codes & np.uint64(255)
+    nodes, zeros, ones, ats, bits, first = [], [], [], [], [], 0
+    for b in range(8):
+        node = codes >> _8 << _8 | np.uint64(1 << b) | symbol >> np.uint64(8 - b)
+        bit = (symbol >> np.uint64(7 - b) & np.uint64(1)).astype(np.int64)
+        new = np.ones(len(node), dtype=bool)
+        new[1:] = node[1:] != node[:-1]  # nodes stand in order, as grams do
+        at = np.cumsum(new) - 1
+        nodes.append(node[new])
+        ones.append(np.bincount(at, counts * bit, minlength=len(nodes[-1])))
+        zeros.append(np.bincount(at, counts * (1 - bit), minlength=len(nodes[-1])))
+        ats.append(at + first)
+        bits.append(bit)
+        first += len(nodes[-1])
+    return Nodes(np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones), None), ats, bits
+
+
+def grown(codes: np.ndarray, counts: np.ndarray) -> tuple[list[Nodes], tuple, list[np.ndarray], list[np.ndarray]]:
+    """Nodes from ``DEPTH`` up to depth 3, what they tell the nodes of depth 2, and where grams decide."""
+    here, ats, bits = leaves(codes, counts)
+    levels = [here]
+    for _ in range(DEPTH - 3):
+        levels.append(Nodes(*levels[-1].above()))
+    return levels, levels[-1].above(), ats, bits
+
+
+class Top:
+    """The trees down to depth 2: what they say there, and the weight left below."""
+
+    def __init__(self, codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, kids: np.ndarray):
+        levels = [Nodes(codes, zeros, ones, kids)]
+        for _ in range(2):
+            levels.append(Nodes(*levels[-1].above()))
+        said, left = np.zeros(len(levels[-1].codes)), np.ones(len(levels[-1].codes))
+        for k in (2, 1, 0):
+            if k < 2:
+                said, left = said[levels[k].up], left[levels[k].up]
+            said, left = levels[k].mixed(said, left)
+        self.codes, self.said, self.left = codes, said, left
+
+    def predict(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log10 probability of each gram's byte after its context, of all grams with the same nearest three bytes as any."""
+        if not len(codes):
+            return np.zeros(0)
+        levels, (above, *_), ats, bits = grown(codes, counts)
+        at = np.searchsorted(self.codes, above)
+        said, left = self.said[at], self.left[at]
+        for nodes in reversed(levels):
+            said, left = nodes.mixed(said[nodes.up], left[nodes.up])
+        one = said[np.concatenate(ats)].reshape(8, -1)
+        return np.log10(np.where(np.stack(bits) == 1, one, 1 - one)).sum(axis=0)
+
+
+_ASKS = pa.schema([("_b", pa.int64()), ("_w", pa.binary()), ("_n", pa.int64()), ("_g", pa.int32()), ("_codes", pa.binary()), ("_counts", pa.binary())])
+_MERGED = pa.schema([("_leaf", pa.int32()), ("_codes", pa.binary()), ("_counts", pa.binary())])
+_UP = pa.schema([("_mid", pa.int32()), ("_codes", pa.binary()), ("_zeros", pa.binary()), ("_ones", pa.binary()), ("_kids", pa.binary())])
+_DOWN = pa.schema([("_g", pa.int32()), ("_codes", pa.binary()), ("_logs", pa.binary())])
+_TOLD = pa.schema([("_b", pa.int64()), ("_w", pa.binary()), ("_c", pa.int64()), ("_codes", pa.binary()), ("_logs", pa.binary())])
+
+
+def _table(rows: list[tuple], kind: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
+
+
+def _arrays(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table[column].to_pylist()])
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    return np.concatenate([unpacked(x) for x in table["_codes"].to_pylist()])
+
+
+def blocked(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold: int) -> DataFrame:
+    """_id, held_out, _text, _block (rows of a block stand together), _size."""
     mark = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
-    slim = docs.select(docs[id_col].alias("_id"), ((mark % folds) == held_fold).alias("held_out"), docs[text_col].cast("string").alias("_text"), blocks_of_rows().alias("_block"))
-    slim = materialise(slim, "lm-blocks")
-    model = spark.sparkContext.broadcast(_gathered(slim.where("not held_out")))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The words of each block, with their counts in its training documents."""
-        at, counts, others = None, Counter(), set()
-
-        def told() -> Iterator[pd.DataFrame]:
-            words = [*counts, *(others - counts.keys())]
-            if words:
-                yield pd.DataFrame({"_w": words, "_b": np.int64(at), "_n": [*counts.values(), *[0] * (len(words) - len(counts))]})
+    slim = docs.select(docs[id_col].alias("_id"), ((mark % folds) == held_fold).alias("held_out"), docs[text_col].cast("string").alias("_text"))
+    kind = pa.schema([("_id", to_arrow_type(slim.schema["_id"].dataType)), ("held_out", pa.bool_()), ("_text", pa.string()), ("_block", pa.int64()), ("_size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b["_text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            upto = done + np.cumsum(size)
+            done += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*[b[c].cast(kind.field(c).type) for c in ("_id", "held_out", "_text")], pa.array(part + (upto - size) // BLOCK_BYTES), pa.array(size)], schema=kind)
+
+    return slim.mapInArrow(run, from_arrow_schema(kind))
+
+
+def asked(slim: DataFrame, shards: int) -> DataFrame:
+    """What each block asks for: words with their counts in its training documents, and packed grams with theirs. A block may ask twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, others, parts = 0, Counter(), set(), []
+        streams: tuple[list[bytes], list[bytes]] = ([], [])
+        size = 0
+
+        def some() -> None:
+            for out, held in enumerate(streams):
+                if held:
+                    codes, n = np.unique(grams(held), return_counts=True)
+                    parts.append((codes, np.zeros(len(codes)) if out else n))
+                    held.clear()
+
+        def words() -> Iterator[pa.RecordBatch]:
+            if counts or others:
+                others.difference_update(counts)
+                k = len(counts) + len(others)
+                n = pa.array([*counts.values(), *[0] * len(others)], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([at] * k, pa.int64()), pa.array([*counts, *others], pa.binary()), n, *[pa.nulls(k, f.type) for f in list(_ASKS)[3:]]], schema=_ASKS)
             counts.clear()
             others.clear()
 
+        def told() -> Iterator[pa.RecordBatch]:
+            yield from words()
+            some()
+            codes, n = tally(parts)
+            parts.clear()
+            rows = [(at, None, None, g, packed(codes[k]), n[k].astype("<u4").tobytes()) for g, k in dealt(codes, shards)]
+            yield from _table(rows, _ASKS).to_batches()
+
         for b in batches:
-            for block, out, text in zip(b["_block"], b["held_out"], b["_text"]):
-                if block != at or len(counts) + len(others) > 400_000:  # a block's rows stand together
+            for block, out, text in zip(b["_block"].to_pylist(), b["held_out"].to_pylist(), b["_text"].to_pylist()):
+                if block != at:
                     yield from told()
                     at = block
-                words = tokens_of(text)
+                ws = tokens_of(text)
                 if out:
-                    others.update(words)
+                    others.update(ws)
                     others.add(END)
                 else:
-                    counts.update(words)
+                    counts.update(ws)
                     counts[END] += 1
+                streams[out].append(stream_of(ws))
+                size += len(streams[out][-1])
+                if size > _CHUNK:
+                    some()
+                    size = 0
+                if len(counts) + len(others) > 400_000:
+                    yield from words()
         yield from told()
 
-    done: list[str] = []
-    with stored_in(done):
-        asked = materialise(slim.select("_block", "held_out", "_text").mapInPandas(ask, "_w binary, _b long, _n long"), "lm-words")
-        totals = materialise(asked.groupBy("_w").agg(F.sum("_n").alias("_c")), "lm-totals")
-    n, v = totals.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count_if(F.col("_c") > 0)).first()
-    # A block may ask twice for a word; the answers are alike.
-    answers = materialise(asked.select("_w", "_b").join(totals, "_w"), "lm-answers")
-    discard(spark, done)
-    id_kind = slim.schema["_id"].dataType.simpleString()
-
-    def run(key: tuple, own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        at = dict(zip(words["_w"], range(len(words))))
-        c = words["_c"].to_numpy()
+    return slim.select("_block", "held_out", "_text").mapInArrow(run, from_arrow_schema(_ASKS))
+
+
+def predicted(asks: DataFrame, shards: int) -> DataFrame:
+    """_b, and the log10 probabilities of the packed grams that the block asked for. ``asks`` is stored, and has packed grams."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        codes, n = summed(_codes(table), _arrays(table, "_counts", "<u4"))
+        return _table([(leaf, packed(codes[k]), n[k].astype("<i8").tobytes()) for leaf, k in dealt(codes >> np.uint64(8 * (DEPTH - 2)), shards)], _MERGED)
+
+    merged = materialise(asks.groupBy("_g").applyInArrow(merge, from_arrow_schema(_MERGED)), "lm-grams")
+
+    def up(table: pa.Table) -> pa.Table:
+        codes, n = summed(_codes(table), _arrays(table, "_counts", "<i8"))
+        codes, *values = grown(codes, n)[1]
+        return _table([(mid, packed(codes[k]), *[v[k].astype("<f8").tobytes() for v in values]) for mid, k in dealt(codes >> _8, shards)], _UP)
+
+    def add(table: pa.Table) -> pa.Table:
+        codes, *values = summed(_codes(table), *[_arrays(table, c, "<f8") for c in ("_zeros", "_ones", "_kids")])
+        return _table([(0, packed(codes), *[v.astype("<f8").tobytes() for v in values])], _UP)
+
+    parts = merged.groupBy("_leaf").applyInArrow(up, from_arrow_schema(_UP)).groupBy("_mid").applyInArrow(add, from_arrow_schema(_UP)).toArrow()
+    if parts.num_rows:
+        codes = _codes(parts)
+        order = np.argsort(codes)
+        top = Top(codes[order], *[_arrays(parts, c, "<f8")[order] for c in ("_zeros", "_ones", "_kids")])
+    else:
+        top = Top(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0), np.zeros(0))
+    shared = asks.sparkSession.sparkContext.broadcast(top)
+
+    def down(table: pa.Table) -> pa.Table:
+        codes, n = summed(_codes(table), _arrays(table, "_counts", "<i8"))
+        logs = shared.value.predict(codes, n).astype("<f8")
+        return _table([(g, packed(codes[k]), logs[k].tobytes()) for g, k in dealt(codes, shards)], _DOWN)
+
+    def answer(asking: pa.Table, said: pa.Table) -> pa.Table:
+        codes, logs = _codes(said), _arrays(said, "_logs", "<f8")
+        order = np.argsort(codes)
+        codes, logs = codes[order], logs[order]
+        rows = [(b, None, None, raw, logs[np.searchsorted(codes, unpacked(raw))].astype("<f4").tobytes()) for b, raw in zip(asking["_b"].to_pylist(), asking["_codes"].to_pylist())]
+        return _table(rows, _TOLD)
+
+    said = merged.groupBy("_leaf").applyInArrow(down, from_arrow_schema(_DOWN))
+    return asks.select("_g", "_b", "_codes").groupBy("_g").cogroup(said.groupBy("_g")).applyInArrow(answer, from_arrow_schema(_TOLD))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
+    """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    slim = materialise(blocked(docs, id_col, text_col, folds, held_fold), "lm-blocks")
+    size = slim.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    shards = max(partitions(spark), -(-size // BLOCK_BYTES))
+    with scratch(spark):
+        asks = materialise(asked(slim, shards), "lm-asks")
+        words = asks.where("_w is not null").select("_b", "_w", "_n")
+        totals = materialise(words.groupBy("_w").agg(F.sum("_n").alias("_c")), "lm-totals")
+        n, v = totals.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count_if(F.col("_c") > 0)).first()
+        known = words.select("_b", "_w").join(totals, "_w").select("_b", "_w", "_c", F.lit(None).cast("binary").alias("_codes"), F.lit(None).cast("binary").alias("_logs"))
+        answers = materialise(known.unionByName(predicted(asks.where("_codes is not null"), shards)), "lm-answers", keep=True)
+    kind = pa.schema([
+        (id_col, to_arrow_type(slim.schema["_id"].dataType)), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")],
+        ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64()),
+    ])
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        asked_words = told.filter(pc.is_valid(told["_w"]))
+        at = dict(zip(asked_words["_w"].to_pylist(), range(asked_words.num_rows)))
+        c = asked_words["_c"].to_numpy()
         logs = np.log10((c + 1) / (n + 1 * (v + 1)))
+        packs = told.filter(pc.is_valid(told["_codes"]))
+        codes, first = np.unique(_codes(packs), return_index=True)
+        said = _arrays(packs, "_logs", "<f4")[first].astype(np.float64)
         end = at[END]
-        rows = []
-        for k in range(0, len(own), 128):  # few documents' words are held at a time
-            texts = [tokens_of(t) for t in own["_text"].iloc[k : k + 128]]
-            streams = [stream_of(ws) for ws in texts]
-            for ws, s, x in zip(texts, streams, model.value.score(streams)):
+        rows: list[list] = [[] for _ in range(5)]
+        texts = own["_text"]
+        for k in range(0, own.num_rows, 128):  # few documents' words are held at a time
+            words_of = [tokens_of(t) for t in texts.slice(k, 128).to_pylist()]
+            streams = [stream_of(ws) for ws in words_of]
+            for ws in words_of:
                 ids = np.fromiter((at[w] for w in ws), dtype=np.int64, count=len(ws))
-                known = int(np.count_nonzero(c[ids])) + int(c[end] > 0)
-                rows.append((len(ws) + 1, known, n, float(logs[ids].sum() + logs[end]), x, len(s), -x * math.log2(10) / len(s)))
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
-        return pd.concat([own[["_id", "held_out"]].reset_index(drop=True).rename(columns={"_id": id_col}), out], axis=1)
-
-    kind = f"{id_col} {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return slim.groupBy("_block").cogroup(answers.groupBy("_b")).applyInPandas(run, kind)
+                rows[0].append(len(ws) + 1)
+                rows[1].append(int(np.count_nonzero(c[ids])) + int(c[end] > 0))
+                rows[2].append(float(logs[ids].sum() + logs[end]))
+            for some in chunked(streams):
+                sizes = np.array([len(s) for s in some])
+                each = said[np.searchsorted(codes, grams(some))]
+                rows[3] += np.add.reduceat(each, np.cumsum(sizes) - sizes).tolist()
+                rows[4] += sizes.tolist()
+        bits = [-x * math.log2(10) / s for x, s in zip(rows[3], rows[4])]
+        values = [rows[0], rows[1], [n] * own.num_rows, rows[2], rows[3], rows[4], bits]
+        return pa.table([own["_id"], own["held_out"], *[pa.array(x, f.type) for x, f in zip(values, list(kind)[2:])]], schema=kind)
+
+    return slim.select("_block", "_id", "held_out", "_text").groupBy("_block").cogroup(answers.groupBy("_b")).applyInArrow(run, from_arrow_schema(kind))

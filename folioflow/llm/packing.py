@@ -1,58 +1,78 @@
-"""Mixture-controlled packing of token sequences.
-
-Deficit round-robin over source queues: at every turn the source that is furthest behind its target
-proportion of the tokens packed so far gives its next document. Documents are laid end to end and cut
-at every window of ``window`` ids, so windows are full and deficits carry over from window to
-window. They also carry over from partition to partition: when one partition's queues have run
-empty, its tokens are known from sums by partition and source, which give each partition the offset
-and the deficits with which it goes on. Partitions are so packed at the same time, yet as if one
-after the other, and only the last window of all has padding.
-
-Target proportions default to the sources' shares of all tokens; given ones hold for as long as the
-queues last, as every id is packed. Partitions are dealt by a hash of the row's position, so each
-holds every source in about its proportion, however the rows are sorted.
-
-Defined cases: a null text is empty and has the end id alone; a null source is a source of its own;
-a null id and repeated rows are documents like others; further columns are ignored; an empty table
+"""Mixture-controlled packing of token sequences by deficit round-robin.
+
+Every source has a queue of its documents' ids. In every round each queue's deficit counter grows by
+its target proportion of ``window`` ids; the queue then gives as many ids as the counter holds, in
+units of ``grain``, and the rest is carried to the next round. Documents are cut wherever that falls.
+Rounds are laid end to end and cut into windows, so all windows but the last are full.
+
+What a queue has given after a number of rounds is a closed form of that number: its counter's sum,
+rounded down to units, or all it has. The place of any id of any queue follows from the sums over
+queues, so every task cuts its own documents without seeing another's, and rounds, deficits and
+windows run on across partitions as if packed in one row. A queue's order is that of partitions, then
+rows; where a partition's rows of a source begin is known from sums.
+
+Over any run of rounds a queue gives its target to within ``grain`` ids, and a window holds at most
+what two rounds give. Targets default to the sources' shares of all ids, so that all queues end
+together; given ones hold for as long as queues last, and the rest keep their proportions. Sources
+without a target come last. Sources of which the target is below ``own_share`` share queues by hash of
+their name, with the sum of their targets, so there are at most ``1 / own_share + POOLS`` queues with
+a target, and as many without, whatever the corpus: that bounds the table that every task gets.
+
+Defined cases: a null text is empty and has the end id alone; a text of any length is cut like
+others; a null source is a source of its own; a null id and repeated rows are documents like others;
+sources of equal targets give in order of their names; further columns are ignored; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from .common import bounded_batches, materialise
 
-#: Partitions of about so many documents (a power of two) are packed in one go each, in a task's memory.
-BLOCK_BITS = 11
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+GRAIN, OWN_SHARE, POOLS = 8, 1 / 4096, 256
+PIECES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 @cache
 def encoder(path: str):
-    """text -> ids, from a file of ranks (``.tiktoken``) or of the library tokenizers (``.json``)."""
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
+    """text -> ids, as ``tokenizers`` gives them for a ``.json`` file, or of a file of ranks (``.tiktoken``).
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return lambda text: t.encode(text, add_special_tokens=False).ids
-    import base64
+    Of a byte-level vocabulary that also lies beside as ranks, the ranks give the same ids several
+    times faster; only texts that hold an added token go to the library itself.
+    """
+    ranks = Path(path).with_suffix(".tiktoken")
+    plain = None
+    if ranks.exists():
+        import base64
 
-    import public_tokenizers
-    import tiktoken
+        import public_tokenizers
+        import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
+        plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={}).encode_ordinary
+    if not path.endswith(".json"):
+        return plain
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    said = json.loads(Path(path).read_text())
+    cut = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if plain is None or said["normalizer"] is not None or said["pre_tokenizer"] != cut:
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+    added = [t["content"] for t in said["added_tokens"]]
+    return lambda text: whole.encode(text, add_special_tokens=False).ids if any(a in text for a in added) else plain(text)
 
 
 @cache
@@ -62,55 +82,114 @@ def stored_as(path: str) -> str:
         from tokenizers import Tokenizer
 
         return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
-    with open(path, "rb") as f:
-        return "<u2" if max(int(line.split()[1]) for line in f) < 1 << 16 else "<u4"
+    return "<u2" if max(int(line.split()[1]) for line in Path(path).read_bytes().splitlines()) < 1 << 16 else "<u4"
 
 
 def default_tokenizer() -> str:
-    """The ranks of byte_bpe_50k.json, whose ids are the same and come several times faster."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int, kept_as: str) -> DataFrame:
-    """_at (the row's position), _id, _source, _n, _ids (little-endian), of each document with its end."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_at"))
-    kind = f"_at long, _id {slim.schema['_id'].dataType.simpleString()}, _source string, _n long, _ids binary"
+def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, end_id: int) -> DataFrame:
+    """_id, _s (the source, marked, as null is one too), _part, _before (ids of the source earlier in the partition), _n, _ids (little-endian)."""
+    source = docs[source_col].cast("string")
+    slim = docs.select(docs[id_col].alias("_id"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_s"), docs[text_col].cast("string").alias("_text"))
+    kind = pa.schema([("_id", to_arrow_type(slim.schema["_id"].dataType)), ("_s", pa.string()), ("_part", pa.int64()), ("_before", pa.int64()), ("_n", pa.int64()), ("_ids", pa.binary())])
+    kept_as = stored_as(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, given = encoder(path), TaskContext.get().partitionId(), {}
         for b in batches:
-            ids = [np.array([*encode(t or ""), end_id], kept_as) for t in b["_text"]]
-            yield b[["_at", "_id", "_source"]].assign(_n=[len(x) for x in ids], _ids=[x.tobytes() for x in ids])
-
-    return slim.mapInPandas(run, kind)
-
-
-def round_robin(docs: list[tuple[str | None, int]], deficits: dict[str | None, float], targets: dict[str | None, float]) -> list[int]:
-    """The order in which documents (source, tokens) are given, most behind first, ties by source.
-
-    A deficit is the target's share of all tokens given so far, less the source's own tokens. As all
-    deficits of a source's queue grow at the rate of its target, the next source is that of the
-    greatest deficit, which is looked for among the sources alone, not the documents.
-    """
-    queues: dict[str | None, deque[int]] = defaultdict(deque)
-    for i, (s, _) in enumerate(docs):
-        queues[s].append(i)
-    names = sorted(queues, key=lambda s: (s is None, s or ""))
-    owed = np.array([deficits.get(s, 0.0) for s in names])
-    rate = np.array([targets.get(s, 0.0) for s in names])
-    left = np.array([len(queues[s]) for s in names])
-    order = []
-    for _ in range(len(docs)):
-        k = int(np.argmax(np.where(left > 0, owed, -np.inf)))
-        i = queues[names[k]].popleft()
-        n = docs[i][1]
-        owed += rate * n
-        owed[k] -= n
-        left[k] -= 1
-        order.append(i)
-    return order
+            before, n, ids = [], [], []
+            for s, t in zip(b["_s"].to_pylist(), b["_text"].to_pylist()):
+                x = np.array([*encode(t or ""), end_id], kept_as)
+                before.append(given.get(s, 0))
+                given[s] = before[-1] + len(x)
+                n.append(len(x))
+                ids.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_s"], *[pa.array(v, t) for v, t in (([part] * len(n), pa.int64()), (before, pa.int64()), (n, pa.int64()), (ids, pa.binary()))]], schema=kind)
+
+    return slim.mapInArrow(run, from_arrow_schema(kind))
+
+
+class Schedule:
+    """Where deficit round-robin puts the ids of queues of given lengths and rates (their sum is at most 1)."""
+
+    def __init__(self, lengths: list[int], rates: list[float], window: int, grain: int):
+        self.lengths = np.array(lengths, dtype=np.float64)
+        self.quantum = np.array(rates, dtype=np.float64) * window
+        self.grain = grain
+        # Queues without a rate come one after the other, when all others are empty.
+        idle = np.where(self.quantum > 0, 0, self.lengths)
+        self.last = (self.lengths.sum() - idle.sum() + np.cumsum(idle) - idle).astype(np.int64)
+
+    def given(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """What queues have given after so many rounds."""
+        return np.minimum(self.lengths[queue], self.grain * np.floor(rounds * self.quantum[queue] / self.grain))
+
+    def round_of(self, queue: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """The round in which a queue gives its unit of ``grain`` ids."""
+        r = np.ceil((unit + 1) * self.grain / self.quantum[queue]) - 1
+        for _ in range(2):  # what division rounds the other way
+            r += np.floor((r + 1) * self.quantum[queue] / self.grain) < unit + 1
+            r -= (r > 0) & (np.floor(r * self.quantum[queue] / self.grain) >= unit + 1)
+        return r
+
+    def begins(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Where what a queue gives in a round begins in the row of all ids."""
+        out = np.empty(len(queue))
+        every = np.arange(len(self.lengths))
+        step = max(1, (1 << 20) // len(every))
+        for at in range(0, len(queue), step):
+            q, r = queue[at : at + step, None], rounds[at : at + step, None]
+            out[at : at + step] = self.given(every, r + (every < q)).sum(axis=1)
+        return out
+
+    def pieces(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents at ``first`` of their queues with ``n`` ids: document, start in it, length and place of each piece, cut at windows."""
+        idle = self.quantum[queue] == 0
+        units = np.where(idle, 1, (first + n - 1) // self.grain - first // self.grain + 1)
+        doc = np.repeat(np.arange(len(n)), units)
+        unit = first[doc] // self.grain + np.arange(len(doc)) - np.repeat(np.cumsum(units) - units, units)
+        q, still = queue[doc], idle[doc]
+        r = np.zeros(len(doc))
+        r[~still] = self.round_of(q[~still], unit[~still])
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (r[1:] != r[:-1])
+        doc, q, r, still = doc[new], q[new], r[new], still[new]
+        lo = np.maximum(first[doc], np.where(still, 0, self.given(q, r)))
+        hi = np.minimum((first + n)[doc], np.where(still, np.inf, self.given(q, r + 1)))
+        place = np.empty(len(doc), dtype=np.int64)
+        place[still] = self.last[q[still]] + first[doc[still]]
+        go = ~still
+        place[go] = (self.begins(q[go], r[go]) + lo[go] - self.given(q[go], r[go])).astype(np.int64)
+        lo, size = lo.astype(np.int64), (hi - lo).astype(np.int64)
+        # Pieces of one document that stand together are one.
+        joined = np.zeros(len(doc), dtype=bool)
+        joined[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + size[:-1])
+        head = np.flatnonzero(~joined)
+        size = np.add.reduceat(size, head) if len(head) else size
+        doc, lo, place = doc[head], lo[head], place[head]
+        cuts = (place + size - 1) // window - place // window + 1
+        k = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        doc, lo, size, place = (np.repeat(x, cuts) for x in (doc, lo, size, place))
+        begin = np.maximum(place, (place // window + k) * window)
+        end = np.minimum(place + size, (place // window + k + 1) * window)
+        return doc, lo + begin - place - first[doc], end - begin, begin
+
+
+def queues_of(sums: DataFrame, targets: dict[str | None, float] | None, own_share: float) -> DataFrame:
+    """_s, _n, _rate, _queue of each source. ``sums`` has _s, _n."""
+    total = sums.groupBy("_s").agg(F.sum("_n").alias("_n"))
+    if targets is None:
+        rated = total.withColumn("_rate", F.col("_n") / F.sum("_n").over(Window.partitionBy()))
+    else:
+        weights = [("" if s is None else "=" + s, float(v) / sum(targets.values())) for s, v in targets.items()]
+        given = sums.sparkSession.createDataFrame(weights, "_s string, _rate double")
+        rated = total.join(given, "_s", "left").select("_s", "_n", F.coalesce("_rate", F.lit(0.0)).alias("_rate"))
+    pooled = F.concat(F.when(F.col("_rate") > 0, "#").otherwise("~"), F.pmod(F.xxhash64("_s"), F.lit(POOLS)).cast("string"))
+    return rated.withColumn("_queue", F.when(F.col("_rate") >= own_share, F.concat(F.lit("!"), "_s")).otherwise(pooled))
 
 
 def pack(
@@ -122,54 +201,39 @@ def pack(
     window: int = 1024,
     end_id: int = 0,
     targets: dict[str | None, float] | None = None,
+    grain: int = GRAIN,
+    own_share: float = OWN_SHARE,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     path = tokenizer or default_tokenizer()
     kept_as = stored_as(path)
-    tokens = materialise(tokenised(docs, id_col, text_col, source_col, path, end_id, kept_as), "packing-ids")
-    blocks = max(1, -(-tokens.count() // (1 << BLOCK_BITS)))
-    tokens = tokens.withColumn("_part", F.pmod(F.xxhash64("_at"), F.lit(blocks).cast("long"))).drop("_at")
-    sums = tokens.groupBy("_part", "_source").agg(F.sum("_n").alias("_n"))
-    parts = sums.groupBy("_part").agg(F.sum("_n").alias("_n"), F.collect_list(F.struct("_source", "_n")).alias("_by"))
-    # Running sums over partitions: a number for each, and one for each source.
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))
-    along = Window.partitionBy("_source").orderBy("_part")
-    shares = sums.groupBy("_source").agg(F.sum("_n").alias("_all"))
-    if targets is None:
-        rated = shares.withColumn("_rate", F.col("_all") / F.sum("_all").over(Window.partitionBy()))
-    else:
-        kind = "_s string, _rate double"
-        given = docs.sparkSession.createDataFrame([(s, float(v) / sum(targets.values())) for s, v in targets.items()], kind)
-        rated = shares.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", F.coalesce("_rate", F.lit(0.0)).alias("_rate"))
-    rated = rated.select(F.col("_source").alias("_name"), "_rate")
-    served = sums.withColumn("_served", F.sum("_n").over(along) - F.col("_n"))
-    state = (
-        served.join(rated, F.col("_source").eqNullSafe(F.col("_name")))
-        .join(offsets, "_part")
-        .groupBy("_part", "_offset")
-        .agg(F.collect_list(F.struct("_source", "_rate", (F.col("_rate") * F.col("_offset") - F.col("_served")).alias("_owed"))).alias("_queues"))
-        .withColumnRenamed("_part", "_p")
-    )
-    id_kind = tokens.schema["_id"].dataType.simpleString()
-
-    def run(key: tuple, own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        offset = int(start["_offset"].iloc[0])
-        queues = start["_queues"].iloc[0]
-        rates = {q["_source"]: q["_rate"] for q in queues}
-        owed = {q["_source"]: q["_owed"] for q in queues}
-        sources = [None if pd.isna(s) else s for s in own["_source"]]
-        counts, ids, names = own["_n"].tolist(), own["_ids"].tolist(), own["_id"].tolist()
-        out = []
-        for i in round_robin(list(zip(sources, counts)), owed, rates):
-            at, n, raw = 0, counts[i], memoryview(np.frombuffer(ids[i], kept_as).astype("<u4").tobytes())
-            while at < n:
-                inside = offset % window
-                size = min(n - at, window - inside)
-                out.append((names[i], at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), n, offset // window, inside))
-                at += size
-                offset += size
-        return pd.DataFrame(out, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({id_col: own["_id"].dtype if out else "object"})
-
-    return tokens.groupBy("_part").cogroup(state.groupBy("_p")).applyInPandas(run, f"{id_col} {id_kind}, {PIECES}")
+    tokens = materialise(tokenised(docs, id_col, text_col, source_col, path, end_id), "packing-ids")
+    sums = materialise(tokens.groupBy("_s", "_part").agg(F.sum("_n").alias("_n")), "packing-sums")
+    queued = materialise(queues_of(sums, targets, own_share), "packing-queues")
+    # At most 1 / own_share + 2 * POOLS rows.
+    table = queued.groupBy("_queue").agg(F.sum("_n").alias("_n"), F.sum("_rate").alias("_rate")).orderBy("_queue").collect()
+    number = {r["_queue"]: k for k, r in enumerate(table)}
+    schedule = Schedule([r["_n"] for r in table], [r["_rate"] for r in table], window, grain)
+    along = Window.partitionBy("_queue").orderBy("_part", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.join(queued.select("_s", "_queue"), "_s").select("_s", "_part", "_queue", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_start"))
+    placed = tokens.join(materialise(starts, "packing-starts"), ["_s", "_part"]).select("_id", "_queue", (F.col("_start") + F.col("_before")).alias("_first"), "_n", "_ids")
+    kind = pa.schema([(id_col, to_arrow_type(tokens.schema["_id"].dataType)), *[(c, pa.int64()) for c in PIECES]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            queue = np.array([number[q] for q in b["_queue"].to_pylist()])
+            n = b["_n"].to_numpy()
+            doc, start, size, place = schedule.pieces(queue, b["_first"].to_numpy(), n, window)
+            crc, at, raw = [], -1, b""
+            for d, s, e in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist()):
+                if d != at:
+                    at, raw = d, memoryview(np.frombuffer(b["_ids"][d].as_py(), kept_as).astype("<u4").tobytes())
+                crc.append(zlib.crc32(raw[s:e]))
+            columns = [start, size, np.array(crc, dtype=np.int64), n[doc], place // window, place % window]
+            yield pa.RecordBatch.from_arrays([b["_id"].take(pa.array(doc)), *[pa.array(c, pa.int64()) for c in columns]], schema=kind)
+
+    return placed.mapInArrow(run, from_arrow_schema(kind))
