@@ -7,56 +7,32 @@ so an executor that is lost costs the work of its stage alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import exact_dedup, mixing, near_dedup, packing, quality
-from folioflow.llm.common import discard, materialise, stored_in, table
-
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_stored: list[str] = []
-
-
-def stage(f: Stage) -> Stage:
-    """A stage's result is written before the next stage begins, which discards what this one stored on the way."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _stored)
-        with stored_in(_stored):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
+from folioflow.llm.common import discard, materialise, noted, table
 
 
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that fail the base rules, or come from a rejected host, go."""
     return quality.keep_rows(docs)
 
 
-@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of equal texts, the row with the largest id stays."""
     return exact_dedup.exact_dedup(docs)
 
 
-@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each class of near copies, the row with the least id stays."""
     return near_dedup.keep_rows(docs)
 
 
-@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents by the copies that the targets of their sources ask for."""
     return mixing.mixed(docs)
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: pieces of token sequences."""
     return packing.pack(docs)
@@ -76,6 +52,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, run_stage in STAGES[:-1]:
-        docs = materialise(run_stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    last: list[str] = []
+    for name, stage in STAGES[:-1]:
+        with noted() as paths:
+            docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        # Only the stage's own result is read from here on.
+        discard(spark, last + paths[:-1])
+        last = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
