@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import speech as S
 from ..functions import text as T
-from .sequences import asof_join, island
+from .sequences import asof_join, binned, island
 
 # Margins, repeats and sizes that tell headings and running lines from text.
 MARGIN, REPEATS, BIG_LINE, BIG, NUMERIC_SIZE, SUBTITLE_SIZE, DROP_CAP = 0.16, 3, 1.25, 1.3, 1.15, 1.08, 1.5
-HEADER_PAGES, CONTENTS_NAMES, OVERPRINT_X, OVERPRINT_Y = 3, 3, 0.5, 0.3
+HEADER_PAGES, CONTENTS_NAMES, OVERPRINT_X, OVERPRINT_Y, SECTION_SECONDS = 3, 3, 0.5, 0.3, 1200.0
 
 
 def _by(*order: str):
@@ -262,29 +263,35 @@ def without_running_headers(found: DataFrame) -> DataFrame:
 
 
 def with_subtitles(found: DataFrame, paras: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The paragraph after a heading joins its title if it looks like a subtitle. ``found`` may have skip."""
+    """The paragraph after a heading joins its title if it looks like a subtitle; other ways than headings have none. ``found`` may have skip and method."""
     heads = found if "skip" in found.columns else found.withColumn("skip", F.lit(1).cast("long"))
     subs = paras.join(sizes, "book_id").where(looks_like_subtitle(F.col("body_size"))).join(heads.select("book_id", "para_no"), ["book_id", "para_no"], "left_anti")
     subs = subs.select("book_id", F.col("para_no").alias("_at"), F.col("page").alias("_page"), F.trim("text").alias("_sub"))
     joined = heads.withColumn("_at", F.col("para_no") + F.col("skip")).join(subs, ["book_id", "_at"], "left")
     has = F.col("_sub").isNotNull() & (F.col("_page") == F.col("page"))
+    has = has & (F.col("method") == "headings") if "method" in found.columns else has
     gap = F.when(F.col("title").rlike(f"[{T.HAN}]"), " ").otherwise(": ")
     title = F.when(has, F.concat(F.regexp_replace("title", "[ .:]+$", ""), gap, "_sub")).otherwise(F.col("title"))
     return joined.withColumns({"title": title, "skip": F.col("skip") + F.when(has, 1).otherwise(0)}).drop("_at", "_page", "_sub")
 
 
 def chapter_extents(heads: DataFrame, paras: DataFrame) -> DataFrame:
-    """Each heading's paragraphs: from after it up to the next heading. Adds words, first and last page."""
+    """Each heading's paragraphs: from after it up to the next heading. Adds words, first and last page, and the body as one text."""
     last = paras.groupBy("book_id").agg((F.max("para_no") + 1).alias("_end"))
     laid = heads.join(last, "book_id").withColumn("_stop", F.coalesce(F.lead("para_no").over(_by("para_no")), F.col("_end")))
     body = asof_join(paras.select("book_id", "para_no", "page", "text"), laid.withColumn("_head", F.col("para_no")), ["book_id"], "para_no", "para_no", ["_head", "skip"])
     body = body.where(F.col("_head").isNotNull() & (F.col("para_no") >= F.col("_head") + F.col("skip")))
-    sums = body.groupBy("book_id", F.col("_head").alias("para_no")).agg(F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_paras"))
-    return laid.join(sums, ["book_id", "para_no"], "left").withColumns({"words": F.coalesce("words", F.lit(0)), "n_paras": F.coalesce("n_paras", F.lit(0))}).drop("_end", "_stop")
+    sums = body.groupBy("book_id", F.col("_head").alias("para_no")).agg(F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_paras"), _joined().alias("body"))
+    return laid.join(sums, ["book_id", "para_no"], "left").withColumns({"words": F.coalesce("words", F.lit(0)), "n_paras": F.coalesce("n_paras", F.lit(0)), "body": F.coalesce("body", F.lit(""))}).drop("_end", "_stop")
+
+
+def _joined() -> Column:
+    """An aggregate: a chapter's paragraphs as one text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", "text"))), lambda p: p["text"]), " ")
 
 
 def with_parts(chapters: DataFrame) -> DataFrame:
-    """A part's own page without text goes, and gives the following chapters their part; the first of a part announces it."""
+    """A part's own page without text goes, and gives the following chapters their part; the first of a part announces it."""
     w = _by("para_no").rowsBetween(Window.unboundedPreceding, -1)
     title = T.pretty_title("title")
     told = chapters.withColumns({"title": title, "_lone": F.col("is_part") & (F.col("words") < 60)})
@@ -305,6 +312,40 @@ def opening(words: Column, text: Column) -> Column:
     return F.struct((words >= 50).alias("kept"), ((words >= 400) & ~F.substring(text, 1, 3000).rlike(T.JUNK_TEXT)).alias("included"))
 
 
+def opening_pages(found: DataFrame, paras: DataFrame) -> DataFrame:
+    """What stands before a book's first heading, if it is a chapter's worth."""
+    first = found.groupBy("book_id").agg(F.min("para_no").alias("_first"), F.min("method").alias("method"))
+    front = paras.join(first, "book_id").where("para_no < _first").groupBy("book_id", "method")
+    told = front.agg(F.min("para_no").alias("para_no"), F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), _joined().alias("body"))
+    told = told.withColumn("_o", opening(F.col("words"), F.col("body"))).where("_o.kept")
+    return told.withColumns({"title": F.lit("Opening pages"), "include": F.col("_o.included")}).drop("_o")
+
+
+def timed_sections(paras: DataFrame, langs: DataFrame, limit: float = SECTION_SECONDS) -> DataFrame:
+    """Books by time alone: a section closes with the paragraph that reaches the limit. ``langs`` has book_id, lang."""
+    timed = paras.join(langs, "book_id").withColumn("_seconds", S.estimate_seconds("text", "lang")).select("book_id", "para_no", "page", "text", "_seconds")
+    binned_ = binned(timed, ["book_id"], ["para_no"], F.col("_seconds"), limit, close_after=True)
+    title = F.concat(F.lit("Section "), (F.col("bin") + 1).cast("string"))
+    found = binned_.groupBy("book_id", "bin").agg(F.min("para_no").alias("para_no"), F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), _joined().alias("body"))
+    return found.withColumns({"method": F.lit("sections"), "title": title, "spoken_title": title}).drop("bin")
+
+
+def chapters(found: DataFrame, paras: DataFrame, langs: DataFrame, preview: int = 220) -> DataFrame:
+    """The chapters of all books: of headings, of the pages before them, and of books without headings by time.
+
+    book_id, chapter_no, method, title, part, spoken_title, words, est_seconds, first_page, last_page, preview, include.
+    """
+    headed = with_parts(chapter_extents(found, paras)).drop("chapter_no")
+    lone = paras.join(found.select("book_id").distinct(), "book_id", "left_anti")
+    told = headed.unionByName(opening_pages(found, paras), allowMissingColumns=True).unionByName(timed_sections(lone, langs), allowMissingColumns=True)
+    told = told.join(langs, "book_id").withColumn("_said", F.coalesce("spoken_title", "title"))
+    told = told.withColumns({"_b": S.estimate_seconds("body", "lang"), "_t": S.estimate_seconds("_said", "lang")})
+    return told.select(
+        "book_id", F.row_number().over(_by("para_no")).cast("long").alias("chapter_no"), "method", "title", "part", "spoken_title", "words", F.round(F.col("_b") + F.col("_t"), 1).alias("est_seconds"),
+        "first_page", "last_page", F.substring("body", 1, preview).alias("preview"), F.coalesce("include", included(F.col("title"), F.col("words"))).alias("include"),
+    )
+
+
 def is_textless(paras: DataFrame) -> DataFrame:
     """P10: books whose pages hold pictures of text alone."""
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
@@ -328,7 +369,7 @@ def detect(paras: DataFrame, sizes: DataFrame, outline: DataFrame | None = None)
 
 
 def outline_levels(toc: DataFrame) -> DataFrame:
-    """The outline's chapters with part and sections. ``toc`` has book_id, ord, level, title, page, pages.
+    """The outline's chapters with part and sections (title, page of each). ``toc`` has book_id, ord, level, title, page, pages.
 
     Lone roots are taken off level by level, for which an outline's few rows are folded by book.
     """
@@ -357,16 +398,16 @@ def outline_levels(toc: DataFrame) -> DataFrame:
                 if level < at:
                     above = title
                 if level == at or (parts and level == at - 1 and childless):
-                    out.append({"title": title, "page": page, "part": above if parts and level == at else None, "n_sections": 0})
+                    out.append({"title": title, "page": page, "part": above if parts and level == at else None, "sections": []})
                 elif level > at and out:
-                    out[-1]["n_sections"] += 1
+                    out[-1]["sections"].append({"title": title, "page": page})
         book = rows["book_id"].iloc[0] if len(rows) else 0
-        frame = pd.DataFrame(out if len(out) >= 2 else [], columns=["title", "page", "part", "n_sections"])
+        frame = pd.DataFrame(out if len(out) >= 2 else [], columns=["title", "page", "part", "sections"])
         frame.insert(0, "book_id", book)
         frame.insert(1, "ord", range(1, len(frame) + 1))
         return frame
 
-    return toc.groupBy("book_id").applyInPandas(run, "book_id long, ord long, title string, page long, part string, n_sections long")
+    return toc.groupBy("book_id").applyInPandas(run, "book_id long, ord long, title string, page long, part string, sections array<struct<title:string,page:long>>")
 
 
 def outline_places(entries: DataFrame, paras: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def outline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     toc = said.select("book_id", n.alias("ord"), level.alias("level"), title.alias("title"), (F.col("page") + 1).alias("page"), pages.alias("pages"))
     found = D.outline_levels(toc)
     placed = D.outline_places(found.withColumn("page", F.col("page") - 1), said)
-    return placed.select("book_id", "ord", "title", "part", "n_sections", "para_no", "skip")
+    return placed.select("book_id", "ord", "title", "part", F.size("sections").cast("long").alias("n_sections"), "para_no", "skip")
 
 
 @query(f"""WITH {PARAGRAPHS_SQL},

@@ -87,12 +87,12 @@ def _paras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detected_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs to chapters."""
+    """Paragraphs to chapters."""
     paras = _paras(spark, sf_dir)
     sizes = D.body_size(_lines(spark, sf_dir)).join(paras.groupBy("book_id").agg((F.max("page") + 1).alias("pages")), "book_id")
-    found = D.detect(paras, sizes)
-    chapters = D.with_parts(D.chapter_extents(D.with_subtitles(found, paras, sizes.drop("pages")), paras))
-    return chapters.select("book_id", "chapter_no", "method", "title", "part", "spoken_title", "words", "first_page", "last_page", D.included(F.col("title"), F.col("words")).alias("include"))
+    found = D.with_subtitles(D.detect(paras, sizes), paras, sizes.drop("pages"))
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.coalesce("lang", F.lit("en")).alias("lang"))
+    return D.chapters(found, paras, langs)
 
 
 @query(f"""WITH {PARAGRAPHS_SQL} SELECT book_id, sum(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))) < 20 AND sum(length(text)) < 200 AS textless FROM paragraphs GROUP BY book_id""")

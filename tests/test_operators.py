@@ -174,7 +174,7 @@ def test_outline(spark):
     toc = [(1, 0, 1, "Book", 1), (1, 1, 2, "Part I", 1), (1, 2, 3, "One", 2), (1, 3, 4, "a section", 3), (1, 4, 3, "Two", 5), (1, 5, 2, "Part II", 9), (1, 6, 3, "Three", 9)]
     df = spark.createDataFrame([(*t, 20) for t in toc], "book_id long, ord long, level long, title string, page long, pages long")
     found = D.outline_levels(df).orderBy("ord").collect()
-    assert [(r.title, r.part, r.n_sections) for r in found] == [("One", "Part I", 1), ("Two", "Part I", 0), ("Three", "Part II", 0)]
+    assert [(r.title, r.part, [tuple(x) for x in r.sections]) for r in found] == [("One", "Part I", [("a section", 3)]), ("Two", "Part I", []), ("Three", "Part II", [])]
 
 
 def test_page_labels(spark):
@@ -191,11 +191,71 @@ def test_signals(spark):
     assert abs(A.levelled(x)).max() <= A.PEAK + 1e-6
     back, rate = A.read_wav(A.write_wav(x))
     assert rate == A.RATE and np.abs(back - x).max() < 1e-3
-    assert len(A.assembled([x, x], [0.5, 0.0])) == int(2.5 * A.RATE)
+    assert len(A.assembled([x, x], [0.5, 0.0])) == round((2.5 + A.LEAD_IN + A.TAIL) * A.RATE)
     df = spark.createDataFrame([("a bc", 0.5, 200.0, 1)], "t string, s double, p double, n int").select(A.speak("tones")("t", "s", "p", "n").alias("x"))
     assert df.select(F.size("x").alias("n"), A.wav_seconds(A.encode(F.col("x"))).alias("s")).first() == (12000, 0.5)
 
 
+def test_levels_are_relative_to_the_loudest_frame():
+    """A soft half counts only within 35 decibels of a loud one; a short last frame has no level; edges fade over a quarter at most."""
+    loud, soft = np.full(48, 0.2, dtype=np.float32), np.full(48, 0.2 * 10 ** (-40 / 20), dtype=np.float32)
+    x = np.concatenate([loud, soft, np.ones(5, dtype=np.float32)])
+    assert A.frame_rms(x, 400) == pytest.approx([0.2] * 6 + [0.002] * 6, rel=1e-3)
+    assert A.levelled(x[:96], 400) == pytest.approx(x[:96] * 10 ** (-19 / 20) / 0.2, rel=1e-4)
+    assert (A.levelled(np.zeros(20, dtype=np.float32), 400) == 0).all() and len(A.trimmed(np.zeros(0), 400)) == 0
+    out = A.trimmed(np.full(800, 0.5, dtype=np.float32), 1000)
+    assert out[0] == out[-1] == 0 and (out[10:-10] == 0.5).all() and out[5] == pytest.approx(0.5 * 5 / 9)
+    assert (A.trimmed(np.full(8, 0.5, dtype=np.float32), 1000) == [0, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0]).all()
+    with pytest.raises(ValueError):
+        import io
+        import wave
+
+        data = io.BytesIO()
+        with wave.open(data, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(b"abc")
+        A.read_wav(data.getvalue())
+
+
+def test_books_without_headings_are_cut_by_time(spark):
+    """Sections of twenty minutes; a paragraph that reaches the limit closes one."""
+    text = "some words of plain text that nobody would call a heading at all, " * 200  # 14 minutes
+    paras = spark.createDataFrame([_para(k, k, text.strip()) for k in range(5)], PARAS)
+    sizes = spark.createDataFrame([(1, 11.0, 5)], "book_id int, body_size double, pages int")
+    langs = spark.createDataFrame([(1, "en")], "book_id int, lang string")
+    found = D.with_subtitles(D.detect(paras, sizes), paras, sizes.drop("pages"))
+    told = D.chapters(found, paras, langs).orderBy("chapter_no").collect()
+    assert [(r.method, r.title, r.spoken_title, r.first_page, r.last_page) for r in told] == [("sections", f"Section {k + 1}", f"Section {k + 1}", 2 * k, min(2 * k + 1, 4)) for k in range(3)]
+    assert all(r.include for r in told) and [r.words for r in told] == [5200, 5200, 2600]
+    assert told[0].est_seconds == pytest.approx(len(f"{text.strip()} {text.strip()}") * 0.0656 + 9 * 0.0656 / 0.3, abs=0.06)
+    assert told[0].preview == text[:220]
+
+
+def test_opening_pages(spark):
+    """What stands before the first heading is a chapter from 50 words on, and read from 400 on."""
+    langs = spark.createDataFrame([(1, "en")], "book_id int, lang string")
+    sizes = spark.createDataFrame([(1, 11.0, 9)], "book_id int, body_size double, pages int")
+    body = "word " * 50 + "end."
+    for n, include in ((49, None), (60, False), (400, True)):
+        rows = [_para(0, 0, "front " * (n - 1) + "end."), _para(1, 1, "Chapter 1", 18.0), _para(2, 1, body), _para(3, 5, "Chapter 2", 18.0), _para(4, 5, body)]
+        paras = spark.createDataFrame(rows, PARAS)
+        told = D.chapters(D.detect(paras, sizes), paras, langs).orderBy("chapter_no").collect()
+        assert [r.title for r in told] == (["Opening pages"] if n >= 50 else []) + ["Chapter 1", "Chapter 2"]
+        assert include is None or (told[0].include == include and told[0].words == n and told[0].method == "headings")
+
+
+def test_subtitles_follow_headings_only(spark):
+    rows = []
+    for k in range(3):
+        rows += [_para(4 * k, 4 * k, f"Storm {'abc'[k]}", 22.0), _para(4 * k + 1, 4 * k, "The Long Night", 13.0), _para(4 * k + 2, 4 * k, "text of the body. " * 30), _para(4 * k + 3, 4 * k + 1, "more text.")]
+    paras = spark.createDataFrame(rows, PARAS)
+    sizes = spark.createDataFrame([(1, 11.0, 12)], "book_id int, body_size double, pages int")
+    found = D.with_subtitles(D.detect(paras, sizes), paras, sizes.drop("pages")).collect()
+    assert {r.method for r in found} == {"fontsize"} and {r.title for r in found} == {"Storm a", "Storm b", "Storm c"}
+
+
 def test_stream_state(spark, tmp_path):
     rows = [("e", datetime.datetime(2024, 1, 1, 0, k), v) for k, v in enumerate([2.0, -1.0, 4.0, 3.0])]
     for k in range(2):
