@@ -6,14 +6,15 @@ word marks), each scoring by its log frequency among n-grams of its length, and
 mean. A text's score for a language is the sum over its words; the predicted language has the
 greatest sum, and ``score`` is its share of the normalised likelihoods of the mean word.
 
-The model is fitted on a sample of labelled rows of at most about ``sample_rows``, taken by a hash
-of the id (all of them where there are fewer), and keeps the ``max_words`` most frequent words, so
-its size has a bound that doesn't depend on the corpus. Prediction reads every whole text.
+The model is fitted on a sample of labelled rows: of each language about ``sample_rows``, taken by a
+hash of id and text, or all where there are fewer, so a rare language is learned at any size of the
+corpus. It keeps all words of the sample, whose size is bounded by its rows. Prediction reads every
+whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if
-there are no labelled rows; ties go to the language that sorts first; a null label is not learned
-from; a null id hashes like an empty one; repeated rows are rows like others; further columns are
-ignored; an empty table gives an empty result.
+there are no labelled rows; a text of any length is read in whole; ties go to the language that sorts
+first; a null label is not learned from; a null id hashes like an empty one; repeated rows are rows
+like others; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .common import bounded_batches
+from .common import bounded_batches, materialise, scratch
 
 _TOKENS = re.compile(r"[^\W\d_]+").findall
 LONGEST = 4
@@ -91,27 +94,35 @@ class Model:
             self.unseen[word] = found
         return found
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(words_of(text))
-        if not words or not self.langs:
-            return "und", 0.0
-        known, times, total = [], [], np.zeros(len(self.langs))
-        for w, c in words.items():
-            i = self.words.get(w)
-            if i is None:
-                total += c * self.back_off(w)
-            else:
-                known.append(i)
-                times.append(c)
-        if known:
-            total += np.array(times, dtype="float64") @ self.table[known]
-        best = int(np.argmax(total))
-        each = np.exp((total - total[best]) / sum(words.values()))
-        return self.langs[best], float(each[best] / each.sum())
-
-
-def train(labelled: DataFrame, max_words: int = 200_000) -> dict[str, dict[str, int]]:
-    """Word counts by language, of the ``max_words`` most frequent pairs. ``labelled`` has lang, text."""
+    def scores(self, word: str) -> np.ndarray:
+        i = self.words.get(word)
+        return self.back_off(word) if i is None else self.table[i]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; each distinct word of the texts is looked up once."""
+        tokens: list[str] = []
+        ends = [0]
+        for t in texts:
+            tokens += words_of(t)
+            ends.append(len(tokens))
+        out = [("und", 0.0)] * len(texts)
+        if not tokens or not self.langs:
+            return out
+        of, words = pd.factorize(np.array(tokens, dtype=object))
+        table = np.stack([self.scores(w) for w in words])
+        n = np.diff(ends)
+        some = np.flatnonzero(n)
+        total = np.add.reduceat(table[of], np.array(ends[:-1])[some])
+        best = total.argmax(axis=1)
+        each = np.exp((total - total[np.arange(len(some)), best][:, None]) / n[some][:, None])
+        share = each[np.arange(len(some)), best] / each.sum(axis=1)
+        for i, k, s in zip(some.tolist(), best.tolist(), share.tolist()):
+            out[i] = (self.langs[k], s)
+        return out
+
+
+def train(labelled: DataFrame) -> dict[str, dict[str, int]]:
+    """Word counts by language. ``labelled`` has lang, text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,9 +133,19 @@ def train(labelled: DataFrame, max_words: int = 200_000) -> dict[str, dict[str,
             yield pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"})
 
     counted = labelled.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "word", "lang").limit(max_words)
-    lists = most.groupBy("lang").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
-    return {r["lang"]: dict(zip(r["words"], r["ns"])) for r in lists.toLocalIterator()}
+    found: dict[str, dict[str, int]] = {}
+    for b in counted.toArrow().to_batches():
+        for lang, w, n in zip(b["lang"].to_pylist(), b["word"].to_pylist(), b["n"].to_pylist()):
+            found.setdefault(lang, {})[w] = n
+    # A language may have labelled texts without a word.
+    return found
+
+
+def sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` rows of each language. ``labelled`` has lang, text, _id."""
+    many = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "language-sizes")
+    draw = F.shiftrightunsigned(F.xxhash64("_id", "text"), 11) / F.lit(float(1 << 53))
+    return labelled.join(many, "lang").where(draw * F.col("_n") < sample_rows).select("lang", "text")
 
 
 def identify(
@@ -134,25 +155,23 @@ def identify(
     lang_col: str = "lang",
     folds: int = 3,
     held_fold: int = 1,
-    sample_rows: int = 20_000,
-    max_words: int = 200_000,
+    sample_rows: int = 2500,
 ) -> DataFrame:
     """One row per document: the id, held_out, lang_pred, score."""
     spark = docs.sparkSession
     bounded_batches(spark)
     mark = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
     held = (mark % folds) == held_fold
-    labelled = docs.where(docs[lang_col].isNotNull() & ~held)
-    share = min(1.0, sample_rows / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
-    model = spark.sparkContext.broadcast(Model(train(chosen.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")), max_words)))
+    labelled = docs.where(docs[lang_col].isNotNull() & ~held).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), docs[id_col].alias("_id"))
+    with scratch(spark):
+        model = spark.sparkContext.broadcast(Model(train(sample(labelled, sample_rows))))
     slim = docs.select(docs[id_col].alias("_id"), held.alias("held_out"), docs[text_col].cast("string").alias("_text"))
-    id_kind = slim.schema["_id"].dataType.simpleString()
+    kind = pa.schema([(id_col, to_arrow_type(slim.schema["_id"].dataType)), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model.value.predict
         for b in batches:
-            said = [predict(t) for t in b["_text"]]
-            yield pd.DataFrame({id_col: b["_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in said], "score": [x[1] for x in said]})
+            said = predict(b["_text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["_id"], b["held_out"], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], schema=kind)
 
-    return slim.mapInPandas(run, f"{id_col} {id_kind}, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(run, from_arrow_schema(kind))

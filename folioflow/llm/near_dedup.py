@@ -1,16 +1,20 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
 Documents are weighted sets of five-word shingles; a shingle weighs its count times an inverse
-document frequency. Frequencies are counted over all documents, in ``2**df_bits`` buckets of the
-shingle's hash, so the table has a bound that doesn't depend on the corpus. The inverse frequency
-is damped (``idf``: what a shingle in no other bucket weighs over one that every document has), so
-that a large group of near copies, whose shared text is frequent, still counts as alike.
+document frequency, which goes by the share of all documents that hold it: ``idf`` for shares of
+``rare`` or less, 1 for a share of one, in proportion to the logarithm between. Shares are counted
+over all documents, in ``2**df_bits`` buckets of the shingle's hash, so the table has a bound that
+doesn't depend on the corpus; a bucket's share by chance (a document's shingles over the number of
+buckets) is far below ``rare``, and neither it nor any weight changes as a corpus grows alike. ``idf``
+is near 1, as the shared text of a large group of near copies is frequent, and what sets them apart
+rare: with undamped weights (``log(documents / frequency)``) a group of a third of all documents of
+plain similarity 0.9 would have one of 0.3 to 0.5.
 
 1. Every document gets ``bands * rows`` consistent weighted samples. Identical texts collapse to
    one representative, by digest.
 2. In every band's bucket, and in every pair of neighbouring bands' buckets, all members are paired
-   with one centre, the one that meets most others in all its buckets. So the pairs grow with the
-   members, not with their square.
+   with one centre, the one that meets most others in all its buckets (of several, that of the least
+   id). So the pairs grow with the members, not with their square.
 3. Pairs are verified: weighted Jaccard similarity of whole texts of ``threshold`` or more.
 4. Verified links make classes, by contraction to smaller labels until nothing changes.
 5. Buckets whose members are of several classes have pairs that no centre has settled. Their members
@@ -22,12 +26,13 @@ Defined cases: a null text is empty; texts are cut into words at ASCII white spa
 without A-Z case; a text of fewer than five words is one shingle; identical texts are always one
 class, and texts without a word, which have no shingle, are alike only if identical; a null id
 ranks after all others; repeated rows are copies of each other, and rows of one id but several texts
-belong to one class; further columns are ignored; an
-empty table gives an empty result.
+belong to one class if both texts are representatives; a text of any length is compared in whole;
+further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded_batches, materialise
+from .common import NO_ID, bounded_batches, materialise, scratch
 from .fingerprints import hashed_words, mixed_hash, windows
 
 SHINGLE = 5
@@ -154,16 +159,37 @@ def near_classes(
     rows: int = 3,
     df_bits: int = 18,
     idf: float = 1.25,
+    rare: float = 1 / 64,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, rep_id, class_id (least id of the class), n_links of the representative, kept."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    with scratch(spark):
+        told = _classes(docs, id_col, text_col, threshold, bands, rows, df_bits, idf, rare)
+    label = F.coalesce("label", "_rep")
+    return told.select(
+        F.col("_own").alias(id_col),
+        _real("_rep").alias("rep_id"),
+        _real(label).alias("class_id"),
+        F.coalesce("_links", F.lit(0)).alias("n_links"),
+        (F.col("_id") == label).alias("kept"),
+    )
+
+
+def idf_weights(df: np.ndarray, n_docs: int, idf: float, rare: float) -> np.ndarray:
+    """What a shingle of each bucket weighs."""
+    share = np.minimum(1.0, np.maximum(df, 1) / max(1, n_docs))
+    return 1.0 + (idf - 1.0) * np.minimum(1.0, np.log(share) / math.log(rare))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, df_bits: int, idf: float, rare: float) -> DataFrame:
+    """_own, _id, _digest of every row, with _rep, label and _links of its text."""
+    spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     order = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(text), F.lit(_NO_IDS)))
     slim = docs.select(docs[id_col].alias("_own"), order.alias("_id"), text.alias("_text"))
     df = document_frequencies(slim, df_bits)
-    n_docs = max(2, slim.count())
-    weights = spark.sparkContext.broadcast(1.0 + (idf - 1.0) * np.log(n_docs / np.clip(df, 1, n_docs)) / np.log(n_docs))
+    weights = spark.sparkContext.broadcast(idf_weights(df, slim.count(), idf, rare))
     sampler = spark.sparkContext.broadcast(Sampler(bands * rows))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,15 +213,8 @@ def near_classes(
         labels = components(links)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("_links"))
     known = reps.select("_digest", "_rep").join(labels.withColumnRenamed("id", "_rep"), "_rep", "left").join(degree.withColumnRenamed("a", "_rep"), "_rep", "left")
-    told = slim.select("_own", "_id", F.unhex(F.sha2("_text", 256)).alias("_digest")).join(known, "_digest")
-    label = F.coalesce("label", "_rep")
-    return told.select(
-        F.col("_own").alias(id_col),
-        _real("_rep").alias("rep_id"),
-        _real(label).alias("class_id"),
-        F.coalesce("_links", F.lit(0)).alias("n_links"),
-        (F.col("_id") == label).alias("kept"),
-    )
+    known = materialise(known, "near-classes", keep=True)
+    return slim.select("_own", "_id", F.unhex(F.sha2("_text", 256)).alias("_digest")).join(known, "_digest")
 
 
 def _real(c) -> Column:
@@ -334,11 +353,27 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its class; rows without an id, and repeated rows of that id, stay.
+def keep_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.8,
+    bands: int = 10,
+    rows: int = 3,
+    df_bits: int = 18,
+    idf: float = 1.25,
+    rare: float = 1 / 64,
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their class.
 
-    Only the ids of rows that go are joined to the texts.
+    Of each class the rows of the least id and its text stay, so repeated rows of it all do; so does,
+    of a class without any id, the row whose text ranks first. Only ids and digests of rows that go
+    are joined to the texts.
     """
-    told = near_classes(docs, id_col, text_col, **how)
-    gone = materialise(told.where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        told = _classes(docs, id_col, text_col, threshold, bands, rows, df_bits, idf, rare)
+        gone = told.where(F.col("_id") != F.coalesce("label", "_rep")).select(F.col("_own").alias("_gone"), F.col("_digest").alias("_d")).distinct()
+        gone = materialise(gone, "near-gone", keep=True)
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (digest == F.col("_d")), "left_anti")

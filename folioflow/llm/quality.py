@@ -2,14 +2,22 @@
 
 Rules are measured on each document, over its whole text. Failures of each rule are then added up
 by host; a host's failure rate is shrunk by a beta prior that is fitted to all hosts (moments of
-the hosts' rates), so that a host with few documents stays near the corpus; a host of which a rule's
-shrunken rate is over ``host_limit`` is rejected with all its documents. Documents that fail a base
-rule themselves are rejected wherever they come from.
-
-Defined cases: a null text has no words, and so fails; a null host is a host of its own; a null id
-and repeated rows are rows like others; further columns are passed on by :func:`judge_rows`; an
-empty table gives an empty result. With fewer than two hosts, or hosts of equal rates, the prior has
-``most_prior`` pseudo-documents.
+the hosts' rates), so that a host with few documents stays near the corpus. Two verdicts follow, both
+relative to the corpus' own rate of a rule:
+
+* a host is rejected with all its documents if its shrunken odds of failing a rule are over
+  ``host_odds`` times the corpus', and its shrunken rate over ``host_least``;
+* a host is held to a soft rule, and its documents that fail it go, if its shrunken rate is over
+  ``strict`` times the corpus'. Elsewhere a soft failure alone rejects nothing.
+
+Documents that fail a base rule themselves are rejected wherever they come from. Where hosts don't
+differ beyond chance, the prior keeps all of them near the corpus and no host is judged.
+
+Defined cases: a null text has no words, and so fails; a text of any length is read in whole; a null
+host is a host of its own; a null id and repeated rows are rows like others; further columns are
+passed on by :func:`judge_rows`; an empty table gives an empty result. With fewer than two hosts, or
+hosts of equal rates, the prior has ``most_prior`` pseudo-documents; a rate equal to a limit is
+within it.
 """
 
 from __future__ import annotations
@@ -30,6 +38,8 @@ _WORDS = re.compile(WORD).findall
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Rules that count only against documents of hosts that are held to them.
+SOFT = ["symbols", "repeated_lines", "word_length"]
 
 
 def repeated_words(words: list[str]) -> int:
@@ -76,8 +86,8 @@ def rules(c: Column) -> dict[str, Column]:
     }
 
 
-def host_rates(counted: DataFrame, most_prior: float = 1000.0) -> DataFrame:
-    """One row per host: _host, n, and each rule's shrunken failure rate. ``counted`` has _host, _c."""
+def host_verdicts(counted: DataFrame, host_odds: float, host_least: float, strict: float, most_prior: float = 1000.0) -> DataFrame:
+    """One row per host that is judged: _bad (the host), _all (rejected as a whole), and the soft rules it is held to. ``counted`` has _host, _c."""
     fails = {k: F.sum(v.cast("long")).alias(k) for k, v in rules(F.col("_c")).items()}
     hosts = materialise(counted.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *fails.values()), "quality-hosts")
     over = hosts.agg(
@@ -85,34 +95,41 @@ def host_rates(counted: DataFrame, most_prior: float = 1000.0) -> DataFrame:
         *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in fails],
         *[F.coalesce(F.var_samp(F.col(k) / F.col("n")), F.lit(0.0)).alias(f"{k}_var") for k in fails],
     ).first()
-    rates = []
+    whole, held = F.lit(False), {}
     for k in fails:
         mean, spread = over[k] / max(1, over["n"]), over[f"{k}_var"]
         prior = min(max(mean * (1 - mean) / spread - 1, 1.0), most_prior) if spread > 0 else most_prior
-        rates.append(((F.col(k) + mean * prior) / (F.col("n") + prior)).alias(k))
-    return hosts.select("_host", "n", *rates)
+        rate = (F.col(k) + mean * prior) / (F.col("n") + prior)
+        whole = whole | (rate > max(host_least, host_odds * mean / (1 - mean + host_odds * mean)))
+        if k in SOFT:
+            held[k] = rate > strict * mean
+    told = hosts.select(F.col("_host").alias("_bad"), whole.alias("_all"), *[v.alias(f"_{k}") for k, v in held.items()])
+    return told.where(F.col("_all") | F.greatest(*[F.col(f"_{k}") for k in SOFT]))
 
 
 def judge_rows(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.8, broadcast_rows: int = 50_000, keep: list[str] | None = None
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    host_odds: float = 20.0,
+    host_least: float = 0.25,
+    strict: float = 1.25,
+    broadcast_rows: int = 50_000,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: row (the columns ``keep``, or all), counts, base_failed, host_rejected, kept.
-
-    Counts are stored between their two uses if the rows are kept without their text; with it they
-    are taken again, as that moves less.
-    """
+    """One row per row of ``docs``: row (the columns ``keep``, or all), counts, base_failed, host_rejected (the host's verdict on it), kept."""
     bounded_batches(docs.sparkSession)
     counted = docs.select(F.struct(*(keep or docs.columns)).alias("row"), docs[host_col].cast("string").alias("_host"), text_counts(docs[text_col].cast("string")).alias("_c"))
-    if text_col not in (keep or docs.columns):
-        counted = materialise(counted, "quality-counts")
-    worst = F.greatest(*[F.col(k) for k in rules(F.col("_c"))])
-    rejected = materialise(host_rates(counted).where(worst > host_limit).select(F.col("_host").alias("_bad")), "quality-rejected")
-    if rejected.count() <= broadcast_rows:  # checked; else Spark joins by shuffle, and splits frequent hosts
-        rejected = F.broadcast(rejected)
+    counted = materialise(counted, "quality-counts")
+    judged = materialise(host_verdicts(counted, host_odds, host_least, strict), "quality-judged")
+    if judged.count() <= broadcast_rows:  # checked; else Spark joins by shuffle, and splits frequent hosts
+        judged = F.broadcast(judged)
     failed = rules(F.col("_c"))
     base = failed["few_words"] | failed["repeats"]
-    told = counted.join(rejected.withColumn("_hit", F.lit(True)), F.col("_host").eqNullSafe(F.col("_bad")), "left")
-    host = F.coalesce("_hit", F.lit(False))
+    told = counted.join(judged, F.col("_host").eqNullSafe(F.col("_bad")), "left")
+    host = F.coalesce("_all", F.lit(False))
+    for k in SOFT:
+        host = host | (F.coalesce(f"_{k}", F.lit(False)) & failed[k])
     return told.select("row", F.col("_c").alias("counts"), base.alias("base_failed"), host.alias("host_rejected"), (~base & ~host).alias("kept"))
 
 

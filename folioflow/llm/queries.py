@@ -199,11 +199,18 @@ m AS (
   SELECT rule, sum(k)::DOUBLE / sum(n) AS mean, var_samp(k::DOUBLE / n) AS v FROM h GROUP BY rule),
 pr AS (
   SELECT rule, mean, least(greatest(coalesce(mean * (1 - mean) / CASE WHEN v > 0 THEN v END - 1, 1000), 1), 1000) AS s FROM m),
+rates AS (
+  SELECT source, rule, (k + mean * s) / (n + s) AS rate, mean FROM h JOIN pr USING (rule)),
 bad AS (
-  SELECT source, max((k + mean * s) / (n + s)) > 0.8 AS rejected FROM h JOIN pr USING (rule) GROUP BY source)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-  rejected AS host_rejected, NOT (f1 OR f2) AND NOT rejected AS kept
-FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
+  SELECT source, bool_or(rate > greatest(0.25, 20.0 * mean / (1 - mean + 20.0 * mean))) AS whole,
+    bool_or(rule = 3 AND rate > 1.25 * mean) AS s3, bool_or(rule = 4 AND rate > 1.25 * mean) AS s4, bool_or(rule = 5 AND rate > 1.25 * mean) AS s5
+  FROM rates GROUP BY source),
+v AS (
+  SELECT f.*, f1 OR f2 AS base_failed, whole OR (s3 AND f3) OR (s4 AND f4) OR (s5 AND f5) AS host_rejected
+  FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
+  NOT base_failed AND NOT host_rejected AS kept
+FROM v
 """
 
 

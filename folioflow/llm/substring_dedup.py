@@ -19,8 +19,10 @@ What keeps this from comparing every document with every shard:
 Hashes only choose what a block gets to see. Sums run on the map side first, so a passage that a
 third of all documents hold is counted without gathering its occurrences.
 
-Defined cases: a null text has no words; a null id ranks after all others, and such documents don't
-count as earlier than each other; rows that share an id never remove words from each other (so
+Documents are told apart by id and a 64-bit hash of id and text.
+
+Defined cases: a null text has no words; a text of any length is read in whole; a null id ranks after
+all others, and such documents don't count as earlier than each other; rows that share an id never remove words from each other (so
 repeated rows have equal results); further columns are ignored; an empty table gives an empty
 result.
 """
@@ -32,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .common import NO_ID, WORD, bounded_batches, materialise, partitions
+from .common import NO_ID, WORD, bounded_batches, materialise, partitions, scratch
 from .fingerprints import hashed_words, windows
 
 _WORDS = re.compile(WORD).findall
@@ -181,7 +185,7 @@ class Automaton:
 
 
 def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
-    """_k, _spans: the spans of words to remove, of the documents that have any. ``slim`` has _id, _k, _text."""
+    """_id, _k, _spans: the spans of words to remove, of the documents that have any. ``slim`` has _id, _k, _text."""
     spark = slim.sparkSession
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +198,7 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
     marks = materialise(slim.mapInPandas(anchors, "_a long, _id long, _k long, _p int"), "substring-anchors")
     shared = marks.groupBy("_a").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_a")
     shared = materialise(shared, "substring-shared")  # a table of its own, so that Spark can split frequent anchors in the join
-    held = materialise(marks.join(shared, "_a").groupBy("_k").agg(F.collect_set("_p").alias("_at")), "substring-held")
+    held = materialise(marks.join(shared, "_a").groupBy("_id", "_k").agg(F.collect_set("_p").alias("_at")), "substring-held")
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -214,7 +218,7 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
                     rows.append((b["_id"].iloc[i], b["_k"].iloc[i], s, " ".join(cut[i][s : s + k + length - 1])))
             yield pd.DataFrame(rows, columns=["_id", "_k", "_s", "_text"]).astype({"_id": "int64", "_k": "int64", "_s": "int64"})
 
-    region = slim.join(held, "_k").mapInPandas(regions, "_id long, _k long, _s long, _text string")
+    region = slim.join(held, ["_id", "_k"]).mapInPandas(regions, "_id long, _k long, _s long, _text string")
     region = materialise(region, "substring-regions")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,14 +232,14 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
             of = np.repeat(np.arange(len(counts)), counts)[: len(full)]
             ok = within <= counts[of] - length
             of = of[ok]
-            yield pd.DataFrame({"_w": full[ok].view(np.int64), "_id": b["_id"].to_numpy()[of], "_s": b["_s"].to_numpy()[of] + within[ok]})
+            yield pd.DataFrame({"_w": full[ok].view(np.int64), "_id": b["_id"].to_numpy()[of], "_k": b["_k"].to_numpy()[of], "_s": b["_s"].to_numpy()[of] + within[ok]})
 
-    seen = region.mapInPandas(hashed, "_w long, _id long, _s long")
+    seen = region.mapInPandas(hashed, "_w long, _id long, _k long, _s long")
     firsts = seen.groupBy("_w").agg(F.min(F.struct("_id", "_s")).alias("_f"), F.max("_id").alias("_hi")).where("_f._id < _hi")
     firsts = materialise(firsts.select("_w", F.col("_f._id").alias("_first"), F.floor(F.col("_f._s") / PIECE).alias("_g")), "substring-firsts")
     # A block streams about 1 MB of regions, so that its automaton stays small.
     blocks = max(partitions(spark), -(-(region.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]) // (1 << 20)))
-    block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("_id", "_k"), F.lit(blocks)).cast("int")
     wanted = seen.join(firsts, "_w").where("_first < _id").select(block.alias("_b"), "_first", "_g").distinct()
     wanted = materialise(wanted, "substring-wanted")
 
@@ -263,38 +267,40 @@ def removed_spans(slim: DataFrame, length: int, anchor: int) -> DataFrame:
                 automaton.add(text.split(" "), doc)
             automaton.finish()
             for doc, k, s, text in zip(own["_id"], own["_k"], own["_s"], own["_text"]):
-                out += [(k, s + a, n) for a, n in automaton.spans(text.split(" "), doc, length)]
-        return pd.DataFrame(out, columns=["_k", "start", "length"]).astype("int64")
+                out += [(doc, k, s + a, n) for a, n in automaton.spans(text.split(" "), doc, length)]
+        return pd.DataFrame(out, columns=["_id", "_k", "start", "length"]).astype("int64")
 
     dealt = region.withColumn("_b", block)
-    spans = dealt.groupBy("_b").cogroup(shard.groupBy("_sb")).applyInPandas(stream, "_k long, start long, length long")
-    return spans.groupBy("_k").agg(F.collect_set(F.struct("start", "length")).alias("_spans"))
+    spans = dealt.groupBy("_b").cogroup(shard.groupBy("_sb")).applyInPandas(stream, "_id long, _k long, start long, length long")
+    return spans.groupBy("_id", "_k").agg(F.collect_set(F.struct("start", "length")).alias("_spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """One row per document: the id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     order = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     slim = docs.select(docs[id_col].alias("_own"), order.alias("_id"), F.xxhash64(order, docs[text_col]).alias("_k"), docs[text_col].cast("string").alias("_text"))
-    spans = materialise(removed_spans(slim.drop("_own"), length, anchor), "substring-spans")
+    with scratch(spark):
+        spans = materialise(removed_spans(slim.drop("_own"), length, anchor), "substring-spans", keep=True)
     # Joined by shuffle at every size: how many documents have spans grows with the input.
-    told = slim.join(spans.hint("merge"), "_k", "left").select("_own", "_text", "_spans")
-    id_kind = told.schema["_own"].dataType.simpleString()
+    told = slim.join(spans.hint("merge"), ["_id", "_k"], "left").select("_own", "_text", "_spans")
+    kind = pa.schema([(id_col, to_arrow_type(told.schema["_own"].dataType)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, spans in zip(b["_text"], b["_spans"]):
+            n_words, n_kept, kept = [], [], []
+            for text, spans in zip(b["_text"].to_pylist(), b["_spans"].to_pylist()):
                 words = _WORDS(text or "")
-                n = len(words)
-                if spans is not None:
-                    stays = np.ones(n, dtype=bool)
+                n_words.append(len(words))
+                if spans:
+                    stays = np.ones(len(words), dtype=bool)
                     for x in spans:
                         stays[x["start"] : x["start"] + x["length"]] = False
                     words = [w for w, s in zip(words, stays.tolist()) if s]
-                rows.append((n, n - len(words), " ".join(words)))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
-            out.insert(0, id_col, b["_own"].to_numpy())
-            yield out
+                n_kept.append(len(words))
+                kept.append(" ".join(words))
+            gone = [n - k for n, k in zip(n_words, n_kept)]
+            yield pa.RecordBatch.from_arrays([b["_own"], *[pa.array(v, f.type) for v, f in zip((n_words, gone, kept), list(kind)[1:])]], schema=kind)
 
-    return told.mapInPandas(keep, f"{id_col} {id_kind}, n_words long, n_removed long, kept_text string")
+    return told.mapInArrow(keep, from_arrow_schema(kind))
