@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of ``documents``. Between stages rows are written as Parquet and read again,
 so an executor that is lost costs the work of its stage alone.
+
+Defined cases: an empty table gives empty stages; a null text has no words and goes with the quality
+rules, as empty ones do; a text of any length is read in whole; a null source is a host and a source
+of its own; of exact copies the largest id stays, a null id only if no copy has another, and of
+repeated rows one; of near copies the least id stays, a null id after all others; further columns,
+whatever their names, are carried through to the packing.
 """
 
 from __future__ import annotations
