@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,16 @@ def half_up(c: Column | str, places: int = 0) -> Column:
     return F.floor(_c(c) * k + 0.5) / k if places else F.floor(_c(c) + 0.5)
 
 
+def half_even(c: Column | str, places: int) -> Column:
+    """Rounding of the very binary value, exact halves to the even digit; an Arrow function, as decimals of the printed value round otherwise."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: v if pd.isna(v) or v in (float("inf"), float("-inf")) else round(v, places))
+
+    return run(_c(c).cast("double"))
+
+
 def falsy(c: Column | str, default) -> Column:
     """``default`` where the value is null, 0 or empty."""
     c = _c(c)

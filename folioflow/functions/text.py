@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words by language, in the order that breaks ties.
@@ -99,18 +99,12 @@ def _once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def detect_language(c: Column | str, sample: int = 300_000) -> Column:
-    """By script, else the language with most stop words, earlier languages winning ties."""
-    text = F.substring(_s(c), 1, sample)
+def _scripts(text: Column) -> Column:
+    """The language that a text's script alone tells, or null."""
     shares = F.struct(
         _share(text, CJK).alias("cjk"), _share(text, "぀-ヿ").alias("kana"), _share(text, "؀-ۿݐ-ݿ").alias("arabic"),
         _share(text, "Ѐ-ӿ").alias("cyrillic"), _share(text, "A-Za-zÀ-ɏ").alias("latin"), _share(text, "ऀ-ॿ").alias("hindi"),
     )
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
-
-    def voted(ws: Column) -> Column:
-        votes = [F.struct(_stops(ws, stops).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stops) in enumerate(STOP_WORDS.items())]
-        return F.when(F.size(ws) == 0, "other").otherwise(_once(F.array_max(F.array(*votes)), lambda best: F.when(best["n"] > 0, best["lang"]).otherwise("en")))
 
     def told(s: Column) -> Column:
         letters = s["cjk"] + s["arabic"] + s["cyrillic"] + s["latin"]
@@ -122,7 +116,37 @@ def detect_language(c: Column | str, sample: int = 300_000) -> Column:
             .when(s["cyrillic"] > 0.3 * letters, "ru")
         )
 
-    return F.coalesce(_once(shares, told), _once(words, voted))
+    return _once(shares, told)
+
+
+def _voted(n: Column, votes: list[Column]) -> Column:
+    """The language with most stop words, earlier ones winning ties; of no words at all none."""
+    each = [F.struct(v.alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, v) in enumerate(zip(STOP_WORDS, votes))]
+    return F.when(n == 0, "other").otherwise(_once(F.array_max(F.array(*each)), lambda best: F.when(best["n"] > 0, best["lang"]).otherwise("en")))
+
+
+def _sample_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
+
+
+def detect_language(c: Column | str, sample: int = 300_000) -> Column:
+    """By script, else by stop words, of one text."""
+    text = F.substring(_s(c), 1, sample)
+    voted = _once(_sample_words(text), lambda ws: _voted(F.size(ws), [_stops(ws, stops) for stops in STOP_WORDS.values()]))
+    return F.coalesce(_scripts(text), voted)
+
+
+def detect_languages(docs: DataFrame, keep: list[str], text: str, sample: int = 300_000) -> DataFrame:
+    """T09 for tables: ``keep`` and detected, of every row. Words are looked up by one hash join with the fixed list of stop words."""
+    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample)
+    numbered = docs.select(*keep, F.monotonically_increasing_id().alias("_at"), _scripts(head).alias("_script"), _sample_words(head).alias("_words"))
+    rows = numbered.select(*keep, "_at", "_script", F.explode_outer("_words").alias("_word"))
+    lists = {lang: set(stops.split()) for lang, stops in STOP_WORDS.items()}
+    listed = [(w, *[int(w in ws) for ws in lists.values()]) for w in sorted(set().union(*lists.values()))]
+    stops = docs.sparkSession.createDataFrame(listed, "_stop string, " + ", ".join(f"_{lang} int" for lang in lists))
+    votes = [F.coalesce(F.sum(f"_{lang}"), F.lit(0)).alias(f"_{lang}") for lang in lists]
+    counted = rows.join(F.broadcast(stops), F.col("_word") == F.col("_stop"), "left").groupBy(*keep, "_at", "_script").agg(F.count("_word").alias("_n"), *votes)
+    return counted.select(*keep, F.coalesce("_script", _voted(F.col("_n"), [F.col(f"_{lang}") for lang in lists])).alias("detected"))
 
 
 def language_name(c: Column | str) -> Column:
@@ -304,14 +328,6 @@ def plan_key(*cols: Column | str) -> Column:
     return F.substring(F.sha1(F.concat_ws("\u0001", *[_s(c).cast("string") for c in cols]).cast("binary")), 1, 16)
 
 
-def ascii_seconds(c: Column | str) -> Column:
-    """N01 and N04 for text of one-byte characters: seconds of speech, texts under ten bytes at 0.3 of the speed."""
-    s = _s(c)
-    n = F.octet_length(s)
-    speed = F.when(F.octet_length(strip(s)) < 10, 0.3).otherwise(1.0)
-    return F.when(strip(s) == "", F.lit(0.0)).otherwise(n * F.lit(0.0656) / speed)
-
-
 def server_address(c: Column | str) -> Column:
     """A server's address with a scheme and without a slash at the end."""
     s = strip(c)

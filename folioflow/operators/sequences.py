@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_join(
@@ -56,30 +58,33 @@ def bins(costs: Column, limit: float, close_after: bool) -> Column:
     """The bin of every element of an array of costs, filled from the left.
 
     A bin closes before it would go over the limit (an element that does so alone has a bin to
-    itself), or with ``close_after`` once it has reached the limit.
+    itself), or with ``close_after`` once it has reached the limit. An Arrow function, as a fold in
+    Catalyst copies the array at every element.
     """
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0.0).alias("sum"), F.lit(True).alias("empty"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, cost: Column) -> Column:
-        c = cost.cast("double")
-        if close_after:
-            full = s["sum"] + c >= limit
-            return F.struct(
-                F.when(full, s["bin"] + 1).otherwise(s["bin"]).alias("bin"), F.when(full, F.lit(0.0)).otherwise(s["sum"] + c).alias("sum"),
-                full.alias("empty"), F.concat(s["out"], F.array(s["bin"])).alias("out"),
-            )
-        over = ~s["empty"] & (s["sum"] + c > limit)
-        bin_ = F.when(over, s["bin"] + 1).otherwise(s["bin"])
-        return F.struct(bin_.alias("bin"), F.when(over, c).otherwise(s["sum"] + c).alias("sum"), F.lit(False).alias("empty"), F.concat(s["out"], F.array(bin_)).alias("out"))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(many: pd.Series) -> pd.Series:
+        return pd.Series([_filled(c, limit, close_after) for c in many])
 
-    return F.aggregate(costs, start, step, lambda s: s["out"])
+    return run(costs)
+
+
+def _filled(costs: Sequence[float], limit: float, close_after: bool) -> list[int]:
+    out, now, total, empty = [], 0, 0.0, True
+    for c in costs:
+        if not close_after and not empty and total + c > limit:
+            now, total = now + 1, 0.0
+        out.append(now)
+        total, empty = total + c, False
+        if close_after and total >= limit:
+            now, total, empty = now + 1, 0.0, True
+    return out
 
 
 def binned(df: DataFrame, partition: Sequence[str], order: Sequence[str], cost: Column, limit: float, close_after: bool, name: str = "bin") -> DataFrame:
     """``df`` with the bin of every row among its partition's rows in order.
 
-    A partition is one book's or chapter's rows, which one task holds; the fold itself is a Catalyst
-    expression over the sorted array.
+    A partition is one book's or chapter's rows, which one task holds.
     """
     rows = F.sort_array(F.collect_list(F.struct(*order, cost.cast("double").alias("_cost"), F.struct(*df.columns).alias("_row"))))
     folded = df.groupBy(*partition).agg(rows.alias("_rows"))

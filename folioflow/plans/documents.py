@@ -61,23 +61,46 @@ def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPANS = f"""{PARAGRAPHS_SQL},
 spans AS (
-  SELECT book_id, para_no AS line_no, CAST(span_no AS BIGINT) AS span_no, CASE WHEN span_no % 5 = 4 THEN ' 12 ' ELSE w || ' ' END AS text, CASE WHEN span_no % 5 = 4 THEN 6.0 ELSE 11.0 END AS size, span_no % 2 = 0 AS bold
-  FROM (SELECT book_id, para_no, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS span_no FROM paragraphs WHERE length(text) BETWEEN 20 AND 200 AND NOT contains(text, '  ') AND trim(text) = text))"""
+  SELECT book_id, line_no, span_no, text, size, bold, length(trim(text)) AS n FROM (
+    SELECT book_id, para_no AS line_no, CAST(span_no AS BIGINT) AS span_no, CASE WHEN span_no % 5 = 4 THEN ' 12 ' ELSE w || ' ' END AS text, CASE WHEN span_no % 5 = 4 THEN 6.0 ELSE 11.0 END AS size, span_no % 2 = 0 AS bold
+    FROM (SELECT book_id, para_no, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS span_no FROM paragraphs))),
+base AS (SELECT book_id, line_no, arg_max(size, (n, -span_no)) AS base FROM spans GROUP BY book_id, line_no)"""
 
 
 @query(f"""WITH {_SPANS},
-k AS (SELECT *, length(trim(text)) AS n FROM spans WHERE span_no % 5 <> 4)
-SELECT book_id, line_no, round(sum(size * n) / greatest(sum(n), 1), 1) AS size, sum(CASE WHEN bold THEN n ELSE 0 END) > sum(n) / 2.0 AS bold FROM k GROUP BY book_id, line_no""")
+k AS (SELECT s.* FROM spans s JOIN base USING (book_id, line_no) WHERE NOT (n > 0 AND size < 0.75 * base AND regexp_matches(text, '^\\s*[\\d*†‡§]+\\s*$')))
+SELECT book_id, line_no, round(sum(size * n) / greatest(sum(n), 1), 1) AS size, sum(CASE WHEN bold THEN n ELSE 0 END) > sum(n) / 2.0 AS bold FROM k GROUP BY book_id, line_no HAVING max(n) > 0""")
 def line_of_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footnote marks go; size and bold by characters."""
-    t = F.col("text")
-    short = paragraphs(spark, sf_dir).where(F.length(t).between(20, 200) & ~t.contains("  ") & (F.trim(t) == t))
-    spans = short.select("book_id", F.col("para_no").alias("line_no"), F.posexplode(F.split(t, " ")).alias("span_no", "w"))
+    spans = paragraphs(spark, sf_dir).select("book_id", F.col("para_no").alias("line_no"), F.posexplode(F.split("text", " ")).alias("span_no", "w"))
     mark = F.col("span_no") % 5 == 4
     spans = spans.select("book_id", "line_no", "span_no", F.when(mark, " 12 ").otherwise(F.concat("w", F.lit(" "))).alias("text"), F.when(mark, 6.0).otherwise(11.0).alias("size"), (F.col("span_no") % 2 == 0).alias("bold"), F.lit(False).alias("raised"))
     return D.line_of_spans(spans).select("book_id", "line_no", "size", "bold")
 
 
+_NUMBERS = """
+p AS (SELECT l_orderkey % 50 AS book_id, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS page, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+e AS (SELECT book_id, page, 0 AS line_no, CASE q % 4 WHEN 0 THEN 'Page ' || page % 900 WHEN 1 THEN page % 900 || ' of 950' WHEN 2 THEN '- xiv -' ELSE 'a running line' END AS text,
+    CASE q % 4 WHEN 2 THEN 'xiv' WHEN 3 THEN NULL ELSE CAST(page % 900 AS VARCHAR) END AS number FROM p
+  UNION ALL SELECT book_id, page, 1, CAST(q % 30 AS VARCHAR), CAST(q % 30 AS VARCHAR) FROM p)"""
+
+
+@query(f"""WITH {_NUMBERS} SELECT book_id, page, arg_max(number, (length(number), -line_no)) AS number FROM e WHERE number IS NOT NULL GROUP BY book_id, page""")
+def printed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a page's two numbers the longer, of equal ones the upper."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("book_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    q, page = F.col("l_quantity").cast("long"), F.col("page")
+    pages = table(spark, sf_dir, "lineitem").withColumn("book_id", F.col("l_orderkey") % 50).select("book_id", (F.row_number().over(w) - 1).cast("long").alias("page"), q.alias("q"))
+    number = (page % 900).cast("string")
+    k = F.col("q") % 4
+    upper = F.when(k == 0, F.concat(F.lit("Page "), number)).when(k == 1, F.concat(number, F.lit(" of 950"))).when(k == 2, "- xiv -").otherwise("a running line")
+    rows = pages.select("book_id", "page", F.posexplode(F.array(upper, (F.col("q") % 30).cast("string"))).alias("line_no", "text"))
+    lines = rows.select("*", (F.col("line_no") * 580.0 + 10).alias("y0"), (F.col("line_no") * 580.0 + 22).alias("y1"), F.lit(620.0).alias("page_height"))
+    return D.printed_numbers(lines)
+
+
 @query("""WITH p AS (SELECT l_orderkey % 50 AS book_id, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS page, l_quantity FROM lineitem),
 n AS (SELECT book_id, page, CAST(page + CASE WHEN l_quantity < 40 THEN 7 ELSE 9 END AS VARCHAR) AS number FROM p WHERE l_quantity > 10),
 v AS (SELECT book_id, TRY_CAST(number AS BIGINT) - page AS o, count(*) AS k, min(page) AS at_ FROM n GROUP BY 1, 2),
@@ -110,13 +133,13 @@ def outline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PARAGRAPHS_SQL},
-k AS (SELECT book_id, para_no, trim(text) AS title, regexp_replace(lower(text), '[^0-9a-z㐀-鿿]+', '', 'g') AS key FROM paragraphs WHERE length(text) BETWEEN 1 AND 40),
+k AS (SELECT book_id, para_no, trim(text) AS title, regexp_replace(lower(text), '[^0-9a-z㐀-鿿]+', '', 'g') AS key FROM paragraphs WHERE text <> ''),
 t AS (SELECT DISTINCT book_id, title AS missing, key AS a FROM k WHERE para_no % 2 = 0), f AS (SELECT DISTINCT book_id, key AS b FROM k WHERE para_no % 2 = 1)
 SELECT book_id, missing FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.book_id = t.book_id AND (a = b OR contains(b, a) OR contains(a, b)))""")
 def audit_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J24, U05."""
-    short = paragraphs(spark, sf_dir).where(F.length("text").between(1, 40)).select("book_id", "para_no", F.trim("text").alias("title"))
-    return D.audit(short.where("para_no % 2 = 1"), short.where("para_no % 2 = 0"))
+    lines = paragraphs(spark, sf_dir).where("text != ''").select("book_id", "para_no", F.trim("text").alias("title"))
+    return D.audit(lines.where("para_no % 2 = 1"), lines.where("para_no % 2 = 0"))
 
 
 @query(f"""WITH {CHAPTERS_SQL},

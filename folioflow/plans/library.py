@@ -173,12 +173,14 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BOOKS_SQL},
-a AS (SELECT book_id, status, CASE WHEN book_id % 2 = 0 THEN shelf END AS shelf FROM books WHERE book_id % 3 <> 0), b AS (SELECT book_id, 'old' AS status, shelf FROM books WHERE book_id % 5 <> 0)
+a AS (SELECT book_id, status, CASE WHEN book_id % 2 = 0 THEN shelf END AS shelf FROM books WHERE status <> 'draft'), b AS (SELECT book_id, 'old' AS status, shelf FROM books WHERE created_at < DATE '1996-06-01')
 SELECT coalesce(a.book_id, b.book_id) AS book_id, coalesce(a.status, b.status) AS status, coalesce(a.shelf, b.shelf) AS shelf FROM a FULL JOIN b ON a.book_id = b.book_id""")
 def best_known_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = books(spark, sf_dir).select("book_id", "status", "shelf")
-    memory = all_.where("book_id % 3 != 0").withColumn("shelf", F.when(F.col("book_id") % 2 == 0, F.col("shelf")))
-    return B.best_known(memory, all_.where("book_id % 5 != 0").withColumn("status", F.lit("old")), "book_id", ["status", "shelf"])
+    """Books that are no drafts are in memory; older ones are in the snapshot."""
+    all_ = books(spark, sf_dir)
+    memory = all_.where("status != 'draft'").select("book_id", "status", F.when(F.col("book_id") % 2 == 0, F.col("shelf")).alias("shelf"))
+    kept = all_.where("created_at < DATE '1996-06-01'").select("book_id", F.lit("old").alias("status"), "shelf")
+    return B.best_known(memory, kept, "book_id", ["status", "shelf"])
 
 
 @query(f"WITH {BOOKS_SQL} SELECT book_id, author_id % 40 AS voice_id, author_id % 40 IN (SELECT n_nationkey FROM nation) AS voice_available FROM books")

@@ -193,9 +193,9 @@ def default_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DEVICE_BOOKS_SQL}
 SELECT d.account, d.day, d.book_id, d.seconds, coalesce(b.title, 'A deleted book') AS title, coalesce(b.finished_at = d.day, false) AS finished,
   row_number() OVER (PARTITION BY d.account, d.day ORDER BY d.seconds DESC, d.book_id) AS position
-FROM day_books d LEFT JOIN (SELECT * FROM books WHERE book_id % 11 <> 0) b ON d.account = b.account AND d.book_id = b.book_id WHERE d.seconds >= 1""")
+FROM day_books d LEFT JOIN (SELECT * FROM books WHERE furthest >= 100) b ON d.account = b.account AND d.book_id = b.book_id WHERE d.seconds >= 1""")
 def books_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _books(spark, sf_dir).where("book_id % 11 != 0")
+    known = _books(spark, sf_dir).where("furthest >= 100")  # books that were hardly begun are deleted
     return L.books_on(L.merge_day_books(ticks(spark, sf_dir)), known)
 
 

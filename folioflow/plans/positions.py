@@ -319,3 +319,23 @@ def time_at_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = F.array(P.page_list(none, long(1), long(2)), P.page_list(none, long(3), long(4)), F.array(long(7), long(8)))
     asked = chapters(spark, sf_dir).select("book_id", "chapter_no", (F.col("words") % 10).alias("page"))
     return asked.withColumn("t", P.time_at(marks, F.col("page"))).withColumn("part", P.part_of_page(lists, F.col("page")))
+
+
+@query(f"""WITH {CHAPTERS_SQL},
+p AS (SELECT *, max(CASE WHEN include AND ready THEN chapter_no END) OVER (PARTITION BY book_id ORDER BY chapter_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_no FROM chapters)
+SELECT book_id, chapter_no, CASE WHEN words % 7 > 3 THEN chapter_no ELSE coalesce(previous_no, chapter_no) END AS back_no FROM p""")
+def going_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the chapter's beginning when it has run for more than 3 s, else to the one before."""
+    near = P.neighbours(chapters(spark, sf_dir), F.col("include") & F.col("ready"))
+    return near.select("book_id", "chapter_no", P.going_back(F.col("words") % 7, F.col("previous_no"), F.col("chapter_no")).alias("back_no"))
+
+
+@query(f"""WITH {CHAPTERS_SQL},
+t AS (SELECT book_id, chapter_no, est_seconds, words, round(0.6 + coalesce(sum(est_seconds + 1) OVER (PARTITION BY book_id ORDER BY chapter_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS t FROM chapters)
+SELECT book_id, chapter_no, k AS page, round((t + est_seconds * (k * 16) / greatest(words, 1)) * 4) / 4 AS t FROM t, (SELECT unnest([1, 2]) AS k) WHERE k * 16 < words""")
+def pages_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that begin inside a clip, by their share of its text."""
+    seconds, size = F.col("est_seconds"), F.col("words")
+    timed = chapters(spark, sf_dir).withColumn("t", F.round(F.lit(P.LEAD_IN) + P.before(seconds + 1, ["book_id"], ["chapter_no"]), 2).cast("double"))
+    pages = timed.withColumn("page", F.explode(F.array(F.lit(1), F.lit(2)))).where(F.col("page") * 16 < size)
+    return pages.select("book_id", "chapter_no", "page", (F.round(P.page_inside(F.col("t"), seconds, F.col("page") * 16, size) * 4) / 4).alias("t"))

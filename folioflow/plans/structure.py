@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import speech
+from ..functions import text as T
 from ..operators import chunking as C
-from ..operators import signals as A
 from ..operators import structure as D
-from .model import PARAGRAPHS_SQL, paragraphs, table
+from .model import CHAPTERS_SQL, PARAGRAPHS_SQL, chapters, paragraphs, table
 from .registry import query
 
 _LINES = f"""{PARAGRAPHS_SQL},
@@ -114,27 +114,83 @@ def normalize_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("book_id", "para_no", speech.normalise_english("text", lang).alias("spoken"), F.size(speech.split_sentences("text", lang)).alias("sentences"), speech.estimate_seconds("text", lang).alias("seconds"))
 
 
-@query()
-def spoken_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T02 to T04, T12."""
-    k = F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", speech.words_of_number(k).alias("number"), speech.words_of_ordinal(k).alias("ordinal"), speech.words_of_year(1100 + k % 1000).alias("year"),
-        speech.normalise_heading(F.concat(F.lit("CHAPTER "), k.cast("string")), F.lit("en")).alias("heading"),
+_SIZED = f"""{_LINES},
+w AS (SELECT book_id, round(size * 2) / 2 AS s, sum(length(text)) AS n, min(line_no) AS at_ FROM lines GROUP BY 1, 2),
+b AS (SELECT book_id, arg_max(s, n * 1000000 - at_) AS body_size FROM w GROUP BY book_id)"""
+
+
+@query(f"""WITH {_SIZED},
+h AS (SELECT book_id, line_no AS para_no, page, trim(text) AS title, size >= body_size * 1.3 AS big FROM lines JOIN b USING (book_id)),
+c AS (SELECT * FROM h WHERE length(title) <= 110 AND NOT regexp_matches(title, '{T.CONTENTS_LINE}')
+  AND NOT (regexp_matches(title, '{T.CHAPTER}') AND regexp_matches(regexp_extract(title, '{T.CHAPTER}', 3), '(^|\\s)\\d{{1,4}}$') AND NOT big)
+  AND (regexp_matches(title, '{T.CHAPTER}') OR regexp_matches(title, '{T.HAN_HEADING}') OR (regexp_matches(title, '{T.SPECIAL.replace("'", "''")}') AND len(regexp_split_to_array(title, '\\s+')) <= 6)))
+SELECT book_id, para_no, title, regexp_matches(title, '{T.PART_TITLE}') AS is_part FROM c QUALIFY count(*) OVER (PARTITION BY book_id, page) < 3""")
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that read like headings, some lines of which are made ones; a page with several is a contents page."""
+    return D.heading_candidates(_paras(spark, sf_dir), D.body_size(_lines(spark, sf_dir))).select("book_id", "para_no", "title", "is_part")
+
+
+_NUMBERED = f"""{CHAPTERS_SQL},
+n AS (SELECT book_id, chapter_no AS para_no, chapter_no // 2 AS page, chapter_no + CASE WHEN words % 5 = 0 THEN 3 ELSE 0 END AS v, words % 4 > 0 AS stands_out FROM chapters),
+s AS (SELECT *, coalesce(v = lag(v) OVER (PARTITION BY book_id ORDER BY para_no) + 1, false) AS next FROM n WHERE stands_out)"""
+
+
+@query(f"""WITH {_NUMBERED} SELECT book_id, para_no, CAST(v AS VARCHAR) AS title FROM s
+QUALIFY count(*) OVER (PARTITION BY book_id) >= 3 AND sum(CASE WHEN next THEN 1 ELSE 0 END) OVER (PARTITION BY book_id) >= 0.7 * (count(*) OVER (PARTITION BY book_id) - 1)""")
+def numbered_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lone numbers that stand out, of books in which they mostly rise by one."""
+    k, words = F.col("chapter_no"), F.col("words")
+    out = words % 4 > 0
+    number = k + F.when(words % 5 == 0, 3).otherwise(0)
+    paras = chapters(spark, sf_dir).select(
+        "book_id", k.alias("para_no"), F.floor(k / 2).alias("page"), number.cast("string").alias("text"), F.when(out & (words % 4 == 1), 13.0).otherwise(11.0).alias("size"),
+        (words % 4 == 2).alias("bold"), F.lit(1).alias("n_lines"), (words % 4 == 3).alias("first_on_page"),
     )
+    sizes = paras.select("book_id").distinct().withColumn("body_size", F.lit(11.0))
+    return D.numeric_candidates(paras, sizes).select("book_id", "para_no", "title")
 
 
-@query("""SELECT vec_id, len(embedding) AS n, round(sqrt(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE)) / 8), 6) AS first_rms FROM embeddings""")
-def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F05."""
-    told = table(spark, sf_dir, "embeddings").withColumn("rms", A.array_rms(F.col("embedding"), 8))
-    return told.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.get("rms", 0), 6).alias("first_rms"))
+_OTHER = "[.!?;。！？]['\"”’]?$".replace("'", "''")
 
 
-@query()
-def levelled_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F06, F07, S17."""
-    x = A.level(A.trim(F.col("embedding"), rate=400), rate=400)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(x).alias("n"), A.wav_seconds(A.encode(x, rate=400)).alias("seconds"))
+@query(f"""WITH {_SIZED},
+s AS (SELECT book_id, line_no AS para_no, text AS t, size, bold, body_size, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS ws FROM lines JOIN b USING (book_id)),
+l AS (SELECT *, list_filter(ws, lambda w: length(w) > 3) AS long FROM s)
+SELECT book_id, para_no FROM l WHERE len(ws) BETWEEN 1 AND 10 AND NOT regexp_matches(t, '{_OTHER}') AND NOT regexp_matches(t, '{T.CHAPTER}') AND NOT regexp_matches(t, '{T.SPECIAL.replace("'", "''")}') AND NOT regexp_matches(t, '{T.HAN_HEADING}')
+  AND (size >= body_size * 1.08 OR bold OR (t = upper(t) AND regexp_matches(t, '\\p{{Lu}}')) OR (len(long) > 0 AND len(list_filter(long, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= 0.6 * len(long)))""")
+def subtitle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17."""
+    paras = _paras(spark, sf_dir).join(D.body_size(_lines(spark, sf_dir)), "book_id")
+    return paras.where(D.looks_like_subtitle(F.col("body_size"))).select("book_id", "para_no")
+
+
+_HEADED = f"""{CHAPTERS_SQL},
+h AS (SELECT book_id, chapter_no AS at_, part, words % 3 = 0 AS is_part, coalesce(lead(chapter_no) OVER (PARTITION BY book_id ORDER BY chapter_no), 100) AS stop FROM chapters WHERE part <> 'N' OR words % 3 = 0),
+e AS (SELECT h.book_id, at_, any_value(h.is_part) AS is_part, any_value(h.part) AS letter, count(c.chapter_no) AS n_paras, coalesce(sum(1 + c.words % 40), 0) AS words, min(c.chapter_no // 2) AS first_page, max(c.chapter_no // 2) AS last_page
+  FROM h LEFT JOIN chapters c ON c.book_id = h.book_id AND c.chapter_no > h.at_ AND c.chapter_no < h.stop GROUP BY h.book_id, at_)"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Headings, every third of which is a part's, and the paragraphs of books."""
+    laid = chapters(spark, sf_dir)
+    page = F.floor(F.col("chapter_no") / 2)
+    heads = laid.where("part != 'N' or words % 3 = 0").select("book_id", F.col("chapter_no").alias("para_no"), page.alias("page"), F.concat(F.lit("Head "), "part").alias("title"), (F.col("words") % 3 == 0).alias("is_part"), F.lit(1).alias("skip"))
+    text = F.repeat(F.lit("word "), (1 + F.col("words") % 40).cast("int"))
+    return heads, laid.select("book_id", F.col("chapter_no").alias("para_no"), page.alias("page"), F.trim(text).alias("text"))
+
+
+@query(f"""WITH {_HEADED} SELECT book_id, at_ AS para_no, n_paras, CAST(words AS BIGINT) AS words, first_page, last_page FROM e""")
+def chapter_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs from a heading up to the next, and their pages."""
+    return D.chapter_extents(*_headed(spark, sf_dir)).select("book_id", "para_no", "n_paras", F.col("words").cast("long").alias("words"), "first_page", "last_page")
 
 
+@query(f"""WITH {_HEADED},
+p AS (SELECT *, is_part AND words < 60 AS lone FROM e),
+c AS (SELECT *, last_value(CASE WHEN lone THEN 'Head ' || letter END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM p),
+k AS (SELECT * FROM c WHERE NOT lone),
+b AS (SELECT *, last_value(part IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM k)
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY at_) AS chapter_no, 'Head ' || letter AS title, part, CASE WHEN part IS NOT NULL AND part IS DISTINCT FROM known THEN part || '. Head ' || letter END AS spoken_title FROM b""")
+def announced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's page without text goes on to the chapters that follow, the first of which announces it."""
+    return D.with_parts(D.chapter_extents(*_headed(spark, sf_dir))).select("book_id", "chapter_no", "title", "part", "spoken_title")

@@ -31,9 +31,9 @@ STATS = (
 )
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """The books of a folder, newest first; documents that can't be read are left out; later fields have defaults."""
-    books = spark.read.schema(BOOK).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("id is not null")
+def read_books(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The books of a folder, newest first, of files of one document each or of one in each line; documents that can't be read are left out; later fields have defaults."""
+    books = spark.read.schema(BOOK).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path).where("id is not null")
     return books.withColumns({"pace": F.coalesce("pace", F.lit(1.0)), "page_labels": F.coalesce("page_labels", F.array().cast("array<string>"))}).orderBy(F.desc("created_at"), "id")
 
 

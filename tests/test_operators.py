@@ -257,20 +257,17 @@ def test_subtitles_follow_headings_only(spark):
 
 
 def test_stream_state(spark, tmp_path):
-    rows = [("e", datetime.datetime(2024, 1, 1, 0, k), v) for k, v in enumerate([2.0, -1.0, 4.0, 3.0])]
-    for k in range(2):
-        spark.createDataFrame(rows[2 * k : 2 * k + 2], "engine string, ts timestamp, factor double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = R.read_ticks(spark, f"{tmp_path}/in", "engine string, ts timestamp, factor double")
-    R.run_to_table(R.realtime_factor(stream), "factors", f"{tmp_path}/state", "update")
-    expected = (2.0 * 0.9 + 0.4) * 0.9 + 0.3
-    assert max(r.factor for r in spark.table("factors").collect()) == pytest.approx(expected)
+    rows = [("e", datetime.datetime(2024, 1, 1, 0, k), k, v) for k, v in enumerate([2.0, -1.0, 4.0, 3.0])]
+    stream = _in_batches(spark, tmp_path, rows, "engine string, ts timestamp, event_id long, factor double")
+    found = R.run_to_table(R.realtime_factor(stream), f"{tmp_path}/out", f"{tmp_path}/state", "update").orderBy("version").collect()
+    assert [r.factor for r in found] == pytest.approx([2.0, (2.0 * 0.9 + 0.4) * 0.9 + 0.3])
 
 
 def _in_batches(spark, path, rows, kind, parts=2):
     n = -(-len(rows) // parts)
     for k in range(parts):
         spark.createDataFrame(rows[k * n : (k + 1) * n], kind).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return R.read_ticks(spark, f"{path}/in", kind)
+    return R.read_ticks(spark, f"{path}/in", kind, files_per_batch=1)
 
 
 def test_stream_positions_never_go_back(spark, tmp_path):
@@ -278,8 +275,7 @@ def test_stream_positions_never_go_back(spark, tmp_path):
     rows = [(1, 7, at(1), 50.0, 100.0), (1, 7, at(2), 99.0, 100.0), (1, 7, at(3), 10.0, 100.0), (1, 7, at(4), 100.0, 100.0)]
     stream = _in_batches(spark, tmp_path, rows, "account long, book_id long, ts timestamp, furthest double, total double")
     told = stream.withColumns({"day": F.to_date("ts"), "ready": F.lit(True)})
-    R.run_to_table(R.positions(told), "places", f"{tmp_path}/state", "update")
-    last = max(spark.table("places").collect(), key=lambda r: r.furthest)
+    last = max(R.run_to_table(R.positions(told), f"{tmp_path}/out", f"{tmp_path}/state", "update").collect(), key=lambda r: r.version)
     assert (last.furthest, last.total, last.finished_at) == (100.0, 100.0, "2024-01-02")
 
 
@@ -287,19 +283,19 @@ def test_stream_app_time_caps_gaps(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = [(1, 0, at(0), True), (1, 1, at(5), True), (1, 2, at(30), True), (1, 3, at(31), False), (1, 4, at(40), True), (1, 5, at(42), True)]
     stream = _in_batches(spark, tmp_path, rows, "device long, event_id long, ts timestamp, visible boolean", parts=3)
-    R.run_to_table(R.app_time(stream), "app_time", f"{tmp_path}/state", "append")
-    assert {r.event_id: r.in_app for r in spark.table("app_time").collect()} == {0: 0.0, 1: 5.0, 2: 10.0, 3: 0.0, 4: 0.0, 5: 2.0}
+    found = R.run_to_table(R.app_time(stream), f"{tmp_path}/out", f"{tmp_path}/state", "append")
+    assert {r.event_id: r.in_app for r in found.collect()} == {0: 0.0, 1: 5.0, 2: 10.0, 3: 0.0, 4: 0.0, 5: 2.0}
 
 
 def test_stream_throttle_and_upsert(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = [("a", k, at(k)) for k in range(6)]
     stream = _in_batches(spark, tmp_path, rows, "key string, event_id long, ts timestamp")
-    R.run_to_table(R.throttled(stream, ["key"]), "throttled", f"{tmp_path}/state", "complete")
-    assert sorted(r.event_id for r in spark.table("throttled").collect()) == [0, 2, 4]
-    write = R.upsert_sink(f"{tmp_path}/out", ["key"], ["ts"])
+    found = R.run_to_table(R.throttled(stream, ["key"]), f"{tmp_path}/out", f"{tmp_path}/state", "complete")
+    assert sorted(r.event_id for r in found.collect()) == [0, 2, 4]
+    write = R.upsert_sink(f"{tmp_path}/latest", ["key"], ["ts"])
     first, second = (spark.createDataFrame(rows[a:b], "key string, event_id long, ts timestamp") for a, b in ((0, 3), (3, 6)))
     write(first, 0)
     write(second, 1)
     write(second, 1)
-    assert R.read_version(spark, f"{tmp_path}/out").first().event_id == 5 and R.read_version(spark, f"{tmp_path}/out", 0).first().event_id == 2
+    assert R.read_version(spark, f"{tmp_path}/latest").first().event_id == 5 and R.read_version(spark, f"{tmp_path}/latest", 0).first().event_id == 2
