@@ -111,3 +111,13 @@ def applied(df: DataFrame, *steps: Transform) -> DataFrame:
     for step in steps:
         df = df.transform(step)
     return df
+
+
+def user_aggregate(f: Callable[[pd.Series], float], kind: str = "double") -> Callable[[Column], Column]:
+    """a user's function from a group's values to one as an aggregate; a group's values are held at a time."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> float:
+        return f(values)
+
+    return run

@@ -294,16 +294,19 @@ def realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(S.smoothed(F.transform(samples, lambda x: x["q"])).alias("factor"))
 
 
-@query("""SELECT o_orderkey AS book_id, true AS has_first, CASE WHEN o_custkey % 4 IN (1, 3) THEN 2 ELSE 3 END::BIGINT AS n_done, 1.5 + CASE WHEN o_custkey % 2 = 0 THEN 2.0 ELSE 0 END::DOUBLE AS a_sum, 1::BIGINT AS n_prefixed FROM orders""")
+@query(f"""WITH {CHAPTERS_SQL},
+v AS (SELECT book_id, part || chapter_no AS k, CASE WHEN include THEN words ELSE 0 END + CASE WHEN ready THEN est_seconds ELSE 0 END AS s, CASE WHEN include OR ready THEN 1 END AS known, part FROM chapters)
+SELECT book_id, count(known) AS n_keys, coalesce(sum(CASE WHEN known = 1 THEN s END), 0)::DOUBLE AS total, count(CASE WHEN known = 1 AND starts_with(k, 'A') THEN 1 END) AS n_prefixed,
+  CAST(count(DISTINCT part) + CASE WHEN count(CASE WHEN part = 'N' THEN 1 END) = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_done FROM v GROUP BY book_id""")
 def map_and_set_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A03, A09, A10."""
-    k = F.col("o_custkey")
-    done = B.added_once(F.array(F.lit(1), F.lit(3)).cast("array<bigint>"), F.when(k % 4 == 1, F.lit(1)).when(k % 4 == 3, F.lit(3)).otherwise(F.lit(9)).cast("long"))
-    other = F.when(k % 2 == 0, F.create_map(F.lit("a"), F.lit(2.0))).otherwise(F.create_map(F.lit("b"), F.lit(1.0)))
-    total = B.merged_maps(F.create_map(F.lit("a"), F.lit(1.5)), other)
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("book_id"), F.array_contains(done, F.lit(1).cast("long")).alias("has_first"), F.size(done).cast("long").alias("n_done"),
-        total["a"].alias("a_sum"), F.size(B.with_prefix(F.create_map(F.lit("x1"), F.lit(1), F.lit("y"), F.lit(2)), "x")).cast("long").alias("n_prefixed"),
+    """Words and seconds of chapters added up by key, keys of a prefix, and a set that an element joins once."""
+    laid = chapters(spark, sf_dir).withColumn("k", F.concat("part", F.col("chapter_no").cast("string")))
+    some = lambda condition, value: F.map_from_entries(F.collect_list(F.when(F.col(condition), F.struct("k", F.col(value).cast("double")))))
+    books_ = laid.groupBy("book_id").agg(some("include", "words").alias("w"), some("ready", "est_seconds").alias("s"), F.collect_set("part").alias("parts"))
+    books_ = books_.withColumn("m", B.merged_maps(F.col("w"), F.col("s")))
+    return books_.select(
+        "book_id", F.size("m").cast("long").alias("n_keys"), F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, v: a + v).alias("total"),
+        F.size(B.with_prefix(F.col("m"), "A")).cast("long").alias("n_prefixed"), F.size(B.added_once(F.col("parts"), F.lit("N"))).cast("long").alias("n_done"),
     )
 
 

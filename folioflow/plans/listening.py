@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import listening as L
+from ..operators.sequences import user_aggregate
 from .model import TICKS_SQL, table, ticks
 from .registry import query
 
@@ -301,3 +302,10 @@ def running_listened(spark: SparkSession, sf_dir: str) -> DataFrame:
 def earliest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far back the calendar can be turned."""
     return _days(spark, sf_dir).groupBy("account").agg(F.min("day").alias("earliest"))
+
+
+@query(f"""WITH {DAYS_SQL} SELECT account, median(listen) AS usual FROM days WHERE listen >= 60 GROUP BY account""")
+def usual_by_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a user's aggregate function."""
+    median = user_aggregate(lambda v: float(v.median()))
+    return _days(spark, sf_dir).where("listen >= 60").groupBy("account").agg(median(F.col("listen")).alias("usual"))

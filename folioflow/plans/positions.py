@@ -307,18 +307,19 @@ def sections_20min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHAPTERS_SQL},
-m AS (SELECT book_id, [{{'page': 1, 't': 0.6}}, {{'page': 3, 't': 10.0}}, {{'page': 4, 't': 20.5}}, {{'page': 8, 't': 31.0}}] AS marks, words % 10 AS page, chapter_no FROM chapters)
-SELECT book_id, chapter_no, page, CASE WHEN page < 1 THEN 0.0 WHEN page < 3 THEN 0.6 WHEN page = 3 THEN 10.0 WHEN page < 8 THEN 20.5 ELSE 31.0 END::DOUBLE AS t,
-  CAST(CASE WHEN page IN (1, 2) THEN 0 WHEN page IN (3, 4) THEN 1 WHEN page < 1 THEN 0 WHEN page < 7 THEN 1 ELSE 2 END AS INT) AS part FROM m""")
+a AS (SELECT book_id, chapter_no, words % 16 AS page FROM chapters),
+p AS (SELECT book_id, chapter_no - 1 AS part, 2 * chapter_no AS low, CASE WHEN ready THEN 2 * chapter_no + 1 ELSE 2 * chapter_no END AS high, duration FROM chapters)
+SELECT a.book_id, a.chapter_no, page, coalesce(arg_max(duration, low) FILTER (low <= page), 0) AS t,
+  CAST(coalesce(min(part) FILTER (page BETWEEN low AND high), max(part) FILTER (low <= page), 0) AS INT) AS part
+FROM a JOIN p ON a.book_id = p.book_id GROUP BY a.book_id, a.chapter_no, page""")
 def time_at_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J08, J10, A05."""
-    mark = lambda p, t: F.struct(F.lit(p).cast("long").alias("page"), F.lit(t).alias("t"))
-    marks = F.array(mark(1, 0.6), mark(3, 10.0), mark(4, 20.5), mark(8, 31.0))
-    none = F.lit(None).cast("array<bigint>")
-    long = lambda n: F.lit(n).cast("long")
-    lists = F.array(P.page_list(none, long(1), long(2)), P.page_list(none, long(3), long(4)), F.array(long(7), long(8)))
-    asked = chapters(spark, sf_dir).select("book_id", "chapter_no", (F.col("words") % 10).alias("page"))
-    return asked.withColumn("t", P.time_at(marks, F.col("page"))).withColumn("part", P.part_of_page(lists, F.col("page")))
+    """Marks and parts of the book's own chapters; some parts tell their pages by a range."""
+    laid = chapters(spark, sf_dir)
+    n = F.col("chapter_no")
+    pages = P.page_list(F.when(F.col("ready"), F.array(2 * n, 2 * n + 1)), 2 * n, 2 * n)
+    rows = laid.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct((2 * n).alias("page"), F.col("duration").alias("t"), pages.alias("pages")))).alias("rows"))
+    asked = laid.select("book_id", "chapter_no", (F.col("words") % 16).alias("page")).join(rows, "book_id")
+    return asked.select("book_id", "chapter_no", "page", P.time_at(F.col("rows"), F.col("page")).alias("t"), P.part_of_page(F.transform("rows", lambda r: r["pages"]), F.col("page")).alias("part"))
 
 
 @query(f"""WITH {CHAPTERS_SQL},

@@ -10,6 +10,7 @@ from ..functions import numbers as N
 from ..functions import speech as S
 from ..functions import text as T
 from ..operators import signals as A
+from ..operators.chunking import TextChunks
 from .model import table
 from .registry import query
 
@@ -235,3 +236,13 @@ def half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact halves go to the even digit; 2.675 is less than a half in binary."""
     k = F.col("o_custkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", N.half_even(k / 8, 1).alias("tenths"), N.half_even(F.when(k % 2 == 0, 2.675).otherwise(0.205), 2).alias("binary"))
+
+
+@query(f"""SELECT p_partkey, CAST(k AS BIGINT) AS chunk_no, t AS text, strlen(t) * {S.SECONDS_PER_BYTE['en']}::DOUBLE / CASE WHEN strlen(t) < {S.SHORT_BYTES} THEN {S.SHORT_SPEED}::DOUBLE ELSE 1.0 END AS est_seconds,
+  CASE k WHEN 1 THEN 1.6 ELSE 0.75 END::DOUBLE AS pause_after FROM (SELECT p_partkey, unnest([1, 2]) AS k, unnest([p_name || ' goes on', p_brand]) AS t FROM part)""")
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a text by a lateral join with a table function; a scene break parts them."""
+    spark.udtf.register("text_chunks", TextChunks)
+    text = F.concat("p_name", F.lit(" goes on\n* * *\n"), "p_brand")
+    said = table(spark, sf_dir, "part").select("p_partkey", text.alias("said"))
+    return spark.sql("SELECT p_partkey, c.* FROM {said}, LATERAL text_chunks(said, 'fr', 18D) c", said=said)

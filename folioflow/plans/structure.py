@@ -13,6 +13,8 @@ from ..functions import speech
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import structure as D
+from ..sources.imports import imported
+from ..sources.shared import folder
 from .model import CHAPTERS_SQL, PARAGRAPHS_SQL, chapters, paragraphs, table
 from .registry import query
 
@@ -194,3 +196,9 @@ SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY at_) AS chapter
 def announced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part's page without text goes on to the chapters that follow, the first of which announces it."""
     return D.with_parts(D.chapter_extents(*_headed(spark, sf_dir))).select("book_id", "chapter_no", "title", "part", "spoken_title")
+
+
+@query()
+def imported_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S05."""
+    return imported(_lines(spark, sf_dir), folder(spark, "import"))[0]

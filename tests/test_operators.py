@@ -233,6 +233,28 @@ def test_books_without_headings_are_cut_by_time(spark):
     assert told[0].preview == text[:220]
 
 
+def test_import(spark, tmp_path):
+    """A book of lines becomes one of chapters; one without text is left out."""
+    from folioflow.sources.imports import imported
+
+    kind = "book_id long, line_no long, page long, x0 double, y0 double, y1 double, text string, size double, bold boolean, block long, page_height double"
+    rows = []
+
+    def line(book, page, y, text, size=11.0):
+        rows.append((book, len(rows), page, 50.0, y, y + 12.0, text, size, False, int(y // 100), 800.0))
+
+    for page, title in enumerate(["Chapter 1", "Chapter 2"]):
+        line(1, page, 200.0, title, 18.0)
+        for k in range(8):
+            line(1, page, 300.0 + 14 * k, "the house was on the hill and they had not been there for many years of it" + ("." if k == 7 else ""))
+    line(2, 0, 200.0, "scan 1")
+    books, chapters, paras = imported(spark.createDataFrame(rows, kind), f"file://{tmp_path}")
+    found = books.collect()
+    assert [(r.book_id, r.language, r.warning, r.method, r.n_chapters, r.pages) for r in found] == [(1, "en", None, "headings", 2, 2)]
+    assert [r.title for r in chapters.orderBy("chapter_no").collect()] == ["Chapter 1", "Chapter 2"] and found[0].words == 272
+    assert {r.book_id for r in paras.collect()} == {1}
+
+
 def test_opening_pages(spark):
     """What stands before the first heading is a chapter from 50 words on, and read from 400 on."""
     langs = spark.createDataFrame([(1, "en")], "book_id int, lang string")
