@@ -2,7 +2,8 @@
 
 Every source has a queue of its documents' ids. In every round each queue's deficit counter grows by
 its target proportion of ``window`` ids; the queue then gives as many ids as the counter holds, in
-units of ``grain``, and the rest is carried to the next round. Documents are cut wherever that falls.
+units of ``grain``, and the rest is carried to the next round (counters begin at different parts of a
+unit). Documents are cut wherever that falls.
 Rounds are laid end to end and cut into windows, so all windows but the last are full.
 
 What a queue has given after a number of rounds is a closed form of that number: its counter's sum,
@@ -120,20 +121,25 @@ class Schedule:
         self.lengths = np.array(lengths, dtype=np.float64)
         self.quantum = np.array(rates, dtype=np.float64) * window
         self.grain = grain
+        # Counters begin spread over a unit, so that queues of like rates don't give in the same rounds.
+        self.begun = grain * np.floor(np.modf(np.arange(1, len(lengths) + 1) * 0.6180339887498949)[0] * 1024) / 1024
         # Queues without a rate come one after the other, when all others are empty.
         idle = np.where(self.quantum > 0, 0, self.lengths)
         self.last = (self.lengths.sum() - idle.sum() + np.cumsum(idle) - idle).astype(np.int64)
 
     def given(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
         """What queues have given after so many rounds."""
-        return np.minimum(self.lengths[queue], self.grain * np.floor(rounds * self.quantum[queue] / self.grain))
+        return np.minimum(self.lengths[queue], self.grain * self._units(queue, rounds))
+
+    def _units(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        return np.floor((rounds * self.quantum[queue] + self.begun[queue]) / self.grain)
 
     def round_of(self, queue: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """The round in which a queue gives its unit of ``grain`` ids."""
-        r = np.ceil((unit + 1) * self.grain / self.quantum[queue]) - 1
+        r = np.maximum(np.ceil(((unit + 1) * self.grain - self.begun[queue]) / self.quantum[queue]) - 1, 0)
         for _ in range(2):  # what division rounds the other way
-            r += np.floor((r + 1) * self.quantum[queue] / self.grain) < unit + 1
-            r -= (r > 0) & (np.floor(r * self.quantum[queue] / self.grain) >= unit + 1)
+            r += self._units(queue, r + 1) < unit + 1
+            r -= (r > 0) & (self._units(queue, r) >= unit + 1)
         return r
 
     def begins(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
