@@ -16,8 +16,8 @@ differ beyond chance, the prior keeps all of them near the corpus and no host is
 Defined cases: a null text has no words, and so fails; a text of any length is read in whole; a null
 host is a host of its own; a null id and repeated rows are rows like others; further columns are
 passed on by :func:`judge_rows`; an empty table gives an empty result. With fewer than two hosts, or
-hosts of equal rates, the prior has ``most_prior`` pseudo-documents; a rate equal to a limit is
-within it.
+hosts of equal rates, the prior has ``most_prior`` pseudo-documents, and it never has fewer than
+``least_prior``, so a few documents alone don't judge a host; a rate equal to a limit is within it.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def rules(c: Column) -> dict[str, Column]:
     }
 
 
-def host_verdicts(counted: DataFrame, host_odds: float, host_least: float, strict: float, most_prior: float = 1000.0) -> DataFrame:
+def host_verdicts(counted: DataFrame, host_odds: float, host_least: float, strict: float, least_prior: float = 10.0, most_prior: float = 1000.0) -> DataFrame:
     """One row per host that is judged: _bad (the host), _all (rejected as a whole), and the soft rules it is held to. ``counted`` has _host, _c."""
     fails = {k: F.sum(v.cast("long")).alias(k) for k, v in rules(F.col("_c")).items()}
     hosts = materialise(counted.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *fails.values()), "quality-hosts")
@@ -98,7 +98,7 @@ def host_verdicts(counted: DataFrame, host_odds: float, host_least: float, stric
     whole, held = F.lit(False), {}
     for k in fails:
         mean, spread = over[k] / max(1, over["n"]), over[f"{k}_var"]
-        prior = min(max(mean * (1 - mean) / spread - 1, 1.0), most_prior) if spread > 0 else most_prior
+        prior = min(max(mean * (1 - mean) / spread - 1, least_prior), most_prior) if spread > 0 else most_prior
         rate = (F.col(k) + mean * prior) / (F.col("n") + prior)
         whole = whole | (rate > max(host_least, host_odds * mean / (1 - mean + host_odds * mean)))
         if k in SOFT:

@@ -198,7 +198,7 @@ h AS (
 m AS (
   SELECT rule, sum(k)::DOUBLE / sum(n) AS mean, var_samp(k::DOUBLE / n) AS v FROM h GROUP BY rule),
 pr AS (
-  SELECT rule, mean, least(greatest(coalesce(mean * (1 - mean) / CASE WHEN v > 0 THEN v END - 1, 1000), 1), 1000) AS s FROM m),
+  SELECT rule, mean, least(greatest(coalesce(mean * (1 - mean) / CASE WHEN v > 0 THEN v END - 1, 1000), 10), 1000) AS s FROM m),
 rates AS (
   SELECT source, rule, (k + mean * s) / (n + s) AS rate, mean FROM h JOIN pr USING (rule)),
 bad AS (
