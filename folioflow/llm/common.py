@@ -103,7 +103,7 @@ def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     scope = _NOTED.get()
     if keep and scope is not None:
         scope = scope[1]
