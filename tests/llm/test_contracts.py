@@ -85,7 +85,7 @@ def test_op3(spark, data, docs):
         if r.held_out:
             held_base += r.base_score
             held_score += r.score
-    assert held_score > 1.1 * held_base  # within a tenth of the word model, from two hundred documents
+    assert held_score > 1.12 * held_base  # from two hundred documents; above the word model from a few thousand on
 
 
 def test_op6(spark, data, docs):
