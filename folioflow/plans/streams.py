@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder
 from ..streaming import listening as S
 from .model import TICKS_SQL, ticks
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def _stream(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
-    """Rows as a stream of three files that arrive in order of time."""
+def _arrive(spark: SparkSession, rows: DataFrame, at: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows that arrive in three lots, in order of time; after each the stream is run to its end, from its checkpoint."""
     third = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
     for k in range(3):
-        rows.where(third == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    return S.read_ticks(spark, f"{at}/in", rows.schema)
+        rows.where(third == k).write.mode("append").parquet(f"{at}/in")
+        found = run(S.read_ticks(spark, f"{at}/in", rows.schema))
+    return found
 
 
 @query(f"WITH {TICKS_SQL} SELECT device, day, sum(seconds) AS seconds FROM ticks GROUP BY device, day")
 def stream_daily_listening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's totals, complete at the end."""
-    at = _folder(spark)
-    said = _stream(spark, ticks(spark, sf_dir).select("device", "ts", "seconds"), at)
-    return S.run_to_table(S.daily_totals(said, ["device"]), f"daily_{uuid.uuid4().hex}", f"{at}/state", "complete")
+    at = folder(spark, "daily")
+    return _arrive(spark, ticks(spark, sf_dir).select("device", "ts", "seconds"), at, lambda said: S.run_to_table(S.daily_totals(said, ["device"]), f"{at}/out", f"{at}/state", "complete"))
 
 
 @query(f"""WITH {TICKS_SQL},
@@ -41,22 +37,26 @@ s AS (SELECT *, media_time - lag(CASE WHEN NOT reset THEN media_time END) OVER (
 SELECT device, event_id, CASE WHEN NOT reset AND d > 0 AND d < 30 THEN d / CASE WHEN rate = 0 THEN 1.0 ELSE rate END ELSE 0.0 END AS listened FROM s""")
 def stream_tick_listening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State by device, over micro-batches."""
-    at = _folder(spark)
+    at = folder(spark, "ticks")
     w = Window.partitionBy("device").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ticks(spark, sf_dir).select(
         "device", "event_id", "ts", (F.col("kind") == "error").alias("reset"), ((F.col("event_id") % 3).cast("double") / 2).alias("rate"), F.sum(F.floor(F.col("seconds") / 16).cast("double")).over(w).alias("media_time")
     )
-    return S.run_to_table(S.listened(_stream(spark, rows, at)), f"ticks_{uuid.uuid4().hex}", f"{at}/state", "append")
+    return _arrive(spark, rows, at, lambda said: S.run_to_table(S.listened(said), f"{at}/out", f"{at}/state", "append"))
 
 
 @query(f"WITH {TICKS_SQL} SELECT device, arg_max(book_id, (ts, event_id)) AS book_id, max(ts) AS ts FROM ticks GROUP BY device")
 def stream_latest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows replaced by key, batch by batch."""
-    at = _folder(spark)
-    said = _stream(spark, ticks(spark, sf_dir).select("device", "event_id", "book_id", "ts"), at)
-    write = S.upsert_sink(f"{at}/out", ["device"], ["ts", "event_id"])
-    S.finished(said.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
-    return S.read_version(spark, f"{at}/out").select("device", "book_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    at = folder(spark, "latest")
+
+    def run(said: DataFrame) -> DataFrame:
+        write = S.upsert_sink(f"{at}/out", ["device"], ["ts", "event_id"])
+        S.finished(said.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
+        return S.read_version(spark, f"{at}/out")
+
+    found = _arrive(spark, ticks(spark, sf_dir).select("device", "event_id", "book_id", "ts"), at, run)
+    return found.select("device", "book_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(f"""WITH {TICKS_SQL},
@@ -65,7 +65,26 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY ts ROWS UNBOUNDED PR
 SELECT device, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS ticks FROM r GROUP BY device, run""")
 def listening_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of playback, as a stream that is complete at its end."""
-    at = _folder(spark)
-    said = _stream(spark, ticks(spark, sf_dir).select("device", "ts"), at)
-    found = S.run_to_table(S.sessions(said, ["device"], gap="6 hours"), f"sessions_{uuid.uuid4().hex}", f"{at}/state", "complete")
+    at = folder(spark, "sessions")
+    found = _arrive(spark, ticks(spark, sf_dir).select("device", "ts"), at, lambda said: S.run_to_table(S.sessions(said, ["device"], gap="6 hours"), f"{at}/out", f"{at}/state", "complete"))
     return found.select("device", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "ticks")
+
+
+@query(f"""WITH {TICKS_SQL}
+SELECT device, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM ticks GROUP BY device, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')""")
+def stream_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each device in every six hours."""
+    at = folder(spark, "throttled")
+    said = ticks(spark, sf_dir).select("device", "event_id", "ts")
+    found = _arrive(spark, said, at, lambda stream: S.run_to_table(S.throttled(stream, ["device"], every="6 hours"), f"{at}/out", f"{at}/state", "complete"))
+    return found.select("device", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+
+
+@query(f"""WITH {TICKS_SQL}, s AS (SELECT device, list(seconds / 16 - 1 ORDER BY ts, event_id) FILTER (seconds / 16 - 1 > 0) AS f FROM ticks GROUP BY device)
+SELECT device::VARCHAR AS engine, round(list_reduce(f, lambda a, b: 0.9::DOUBLE * a + 0.1::DOUBLE * b), 6) AS factor FROM s WHERE f IS NOT NULL""")
+def stream_realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving average of each engine's speed, carried from batch to batch."""
+    at = folder(spark, "factor")
+    said = ticks(spark, sf_dir).select(F.col("device").cast("string").alias("engine"), "ts", "event_id", (F.col("seconds") / 16 - 1).alias("factor"))
+    found = _arrive(spark, said, at, lambda stream: S.run_to_table(S.realtime_factor(stream), f"{at}/out", f"{at}/state", "update"))
+    return found.groupBy("engine").agg(F.round(F.max_by("factor", "version"), 6).alias("factor")).where("factor is not null")

@@ -18,9 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LONGEST, FINISHED, KEEP = 30.0, 0.98, 0.9
 
 
-def read_ticks(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; times as timestamps, which watermarks need."""
-    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_ticks(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream, so many of them in a batch, or all that are new; times as timestamps, which watermarks need."""
+    reader = spark.readStream.schema(schema)
+    ticks = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
     return ticks.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -37,7 +38,7 @@ def sessions(ticks: DataFrame, by: Sequence[str], gap: str = "30 minutes", delay
 
 def throttled(events: DataFrame, by: Sequence[str], every: str = "2 seconds", delay: str = "1 minute") -> DataFrame:
     """The first event of each window of time and key."""
-    return events.withWatermark("ts", delay).groupBy(*by, F.window("ts", every)).agg(F.min("ts").alias("ts"), F.min_by("event_id", "ts").alias("event_id")).select(*by, "ts", "event_id")
+    return events.withWatermark("ts", delay).groupBy(*by, F.window("ts", every)).agg(F.min("ts").alias("ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select(*by, "ts", "event_id")
 
 
 def listened(ticks: DataFrame) -> DataFrame:
@@ -77,11 +78,11 @@ def positions(ticks: DataFrame) -> DataFrame:
 
 
 def realtime_factor(samples: DataFrame) -> DataFrame:
-    """The moving average of each engine's speed. ``samples`` has engine, ts, factor."""
+    """The moving average of each engine's speed. ``samples`` has engine, ts, event_id, factor."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mean = state.get[0] if state.exists else None
-        for v in pd.concat(list(batches)).sort_values("ts")["factor"]:
+        for v in pd.concat(list(batches)).sort_values(["ts", "event_id"])["factor"]:
             if v > 0:
                 mean = float(v) if mean is None else KEEP * mean + (1 - KEEP) * float(v)
         state.update((mean,))
@@ -158,8 +159,22 @@ def finished(query) -> None:
     query.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
-    """Everything there is, in micro-batches, into a table in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finished(query)
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
+    """Everything there is, in micro-batches, into files; a batch that is run again replaces its own.
+
+    Of a ``complete`` stream the last batch is the table; of an ``append`` one all are. An ``update``
+    stream's rows carry the number of their batch, as ``version``.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    finished(stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    found = versions(spark, path)
+    if not found:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/version={found[-1]}")
+    every = spark.read.option("basePath", path).parquet(path)
+    return every if mode == "update" else every.drop("version")
