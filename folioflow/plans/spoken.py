@@ -106,12 +106,12 @@ def split_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 3 AS k FROM documents)
-SELECT doc_id, CASE WHEN trim(t) = '' AND k <> 0 THEN 0.0 ELSE (strlen(t) * {S.SECONDS_PER_BYTE['en']}::DOUBLE + CASE WHEN k = 0 THEN 9 * {S.SECONDS_PER_BYTE['zh']}::DOUBLE ELSE 0 END)
-  / CASE WHEN strlen(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) + CASE WHEN k = 0 THEN 9 ELSE 0 END < {S.SHORT_BYTES} THEN {S.SHORT_SPEED}::DOUBLE ELSE 1.0 END END AS seconds FROM d""")
+SELECT doc_id, round(CASE WHEN trim(t) = '' AND k <> 0 THEN 0.0 ELSE (strlen(t) * {S.SECONDS_PER_BYTE['en']}::DOUBLE + CASE WHEN k = 0 THEN 9 * {S.SECONDS_PER_BYTE['zh']}::DOUBLE ELSE 0 END)
+  / CASE WHEN strlen(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) + CASE WHEN k = 0 THEN 9 ELSE 0 END < {S.SHORT_BYTES} THEN {S.SHORT_SPEED}::DOUBLE ELSE 1.0 END END, 6) AS seconds FROM d""")
 def estimate_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of all languages; some end in another script."""
     text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "漢字。").otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", S.estimate_seconds(text, F.coalesce("lang", F.lit("en"))).alias("seconds"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.estimate_seconds(text, F.coalesce("lang", F.lit("en"))), 6).alias("seconds"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN '' WHEN p_size % 4 = 2 THEN p_name ELSE p_brand END AS title FROM part""")
