@@ -73,16 +73,20 @@ def mix(
     share: float = 1.5,
     cap: int = 2,
     seed: int = 7,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc (the row), size, source_size, target, copies (how often it is emitted)."""
+    """One row per row of ``docs``: doc (the columns ``keep``, or all), size, source_size, target, copies (how often it is emitted)."""
+    kept = list(keep or docs.columns)
     sized = docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        F.struct(*kept).alias("doc"),
         n_words(docs[text_col]).alias("size"),
         docs[source_col].cast("string").alias("_source"),
         docs[id_col].alias("_id"),
         _hash32(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("_h"),
     )
-    slim = materialise(sized.select("_source", "size", "_h"), "mixing-sizes")
+    if text_col not in kept:  # without texts, rows are stored once for both uses
+        sized = materialise(sized, "mixing-rows")
+    slim = sized if text_col not in kept else materialise(sized.select("_source", "size", "_h"), "mixing-sizes")
     by_size = slim.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("_n"))
     slices = max(1, int(slim.count() ** 0.5))
     sliced = F.pmod(F.col("_h"), F.lit(slices))

@@ -53,7 +53,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = mixing.mix(table(spark, sf_dir, "documents"))
+    told = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return told.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
