@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, url_rules
+from . import chat, exact_dedup, gif, langid, lexical, lm_scoring, mixing, near_dedup, packing, periodic_runs, quality, substring_dedup, url_rules
 from .common import table
 
 #: Fixed by the contract of op4: host, path, verdict.
@@ -66,6 +66,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    media = gif.stored(docs, gif.payload(F.col("text")), ["doc_id", "n_bytes"])
+    media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    told = gif.read(media, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    back = F.col("gif.samples")
+    return told.select(
+        "doc_id", "n_bytes", F.octet_length(back).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"), F.crc32(F.substring(back, -16, 16)).alias("tail_crc32"),
+        "media_bytes", "media_sha256", gif.feature(F.col("gif")).alias("feature"), F.size("gif.frames").alias("n_frames"), F.col("gif.reason").alias("reason"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    looped = docs.select("doc_id", periodic_runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(looped))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -78,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,
+        "op11_media_gif": op11_media_gif,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -214,6 +240,26 @@ FROM v
 """
 
 
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+q AS (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+p AS (
+  SELECT doc_id, row, n, t, count(*) AS tf FROM (SELECT doc_id, row, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, row, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY t),
+s AS (
+  SELECT item_id, doc_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY item_id, doc_id, row)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": _OP4,
@@ -221,4 +267,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": _OP7,
         "op8_mixing": _OP8,
         "op9_quality_rules": _OP9,
+        "op13_ranked_search": _OP13,
     }
