@@ -39,7 +39,8 @@ ADDED = 0.5
 
 
 def words_of(text: str | None) -> list[str]:
-    return _TOKENS(text.lower()) if text else []
+    """Runs of letters and numerals with a letter among them; numerals alone (as ½ or Ⅻ) are none."""
+    return [w for w in _TOKENS(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def grams(word: str, n: int) -> list[str]:
