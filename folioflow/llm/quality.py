@@ -1,23 +1,26 @@
 """Quality rules with verdicts on hosts.
 
 Rules are measured on each document, over its whole text. Failures of each rule are then added up
-by host; a host's failure rate is shrunk by a beta prior that is fitted to all hosts (moments of
-the hosts' rates), so that a host with few documents stays near the corpus. Two verdicts follow, both
-relative to the corpus' own rate of a rule:
-
-* a host is rejected with all its documents if its shrunken odds of failing a rule are over
-  ``host_odds`` times the corpus', and its shrunken rate over ``host_least``;
-* a host is held to a soft rule, and its documents that fail it go, if its shrunken rate is over
-  ``strict`` times the corpus'. Elsewhere a soft failure alone rejects nothing.
+by host, and a host's failure rate is shrunk by a beta prior that is fitted to all hosts. The fit takes
+off what the hosts' rates differ by chance alone: of the spread of the rates, weighted by documents, what
+equal hosts of these sizes would show is subtracted, and only the rest is a difference of hosts
+(the correlation within hosts, by moments). Two verdicts follow, both relative to the corpus' own rate of
+a rule, and both only where the host's rate is beyond the limit by ``sure`` standard deviations of its
+posterior, so that few documents alone judge no host, and chance no large one:
+
+* a host is rejected with all its documents if its odds of failing a rule are over ``host_odds`` times
+  the corpus', and its rate over ``host_least``;
+* a host is held to a soft rule, and its documents that fail it go, if its rate is over ``strict`` times
+  the corpus'. Elsewhere a soft failure alone rejects nothing.
 
 Documents that fail a base rule themselves are rejected wherever they come from. Where hosts don't
-differ beyond chance, the prior keeps all of them near the corpus and no host is judged.
+differ beyond chance, no host is judged, whatever their sizes.
 
 Defined cases: a null text has no words, and so fails; a text of any length is read in whole; a null
 host is a host of its own; a null id and repeated rows are rows like others; further columns are
 passed on by :func:`judge_rows`; an empty table gives an empty result. With fewer than two hosts, or
-hosts of equal rates, the prior has ``most_prior`` pseudo-documents, and it never has fewer than
-``least_prior``, so a few documents alone don't judge a host; a rate equal to a limit is within it.
+hosts that don't differ beyond chance, the prior has ``most_prior`` pseudo-documents, and it never has fewer than
+``least_prior``; a rate equal to a limit is within it.
 """
 
 from __future__ import annotations
@@ -86,23 +89,36 @@ def rules(c: Column) -> dict[str, Column]:
     }
 
 
-def host_verdicts(counted: DataFrame, host_odds: float, host_least: float, strict: float, least_prior: float = 10.0, most_prior: float = 1000.0) -> DataFrame:
+def prior_of(failed: float, n: int, hosts: int, squares: float, spread: float, least_prior: float, most_prior: float) -> float:
+    """The prior's pseudo-documents, from the failures, the documents, the hosts, the sums over hosts of squared documents and of squared failures by documents."""
+    mean = failed / max(1, n)
+    noise, room = mean * (1 - mean), n - hosts - squares / max(1, n) + 1
+    if noise <= 0 or room <= 0:
+        return most_prior
+    alike = ((spread - failed * mean) / noise - (hosts - 1)) / room  # how much more than chance rows of one host are alike
+    return min(max(1 / alike - 1, least_prior), most_prior) if alike > 0 else most_prior
+
+
+def host_verdicts(counted: DataFrame, host_odds: float, host_least: float, strict: float, sure: float, least_prior: float = 10.0, most_prior: float = 1000.0) -> DataFrame:
     """One row per host that is judged: _bad (the host), _all (rejected as a whole), and the soft rules it is held to. ``counted`` has _host, _c."""
     fails = {k: F.sum(v.cast("long")).alias(k) for k, v in rules(F.col("_c")).items()}
     hosts = materialise(counted.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *fails.values()), "quality-hosts")
     over = hosts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.count(F.lit(1)).alias("hosts"),
+        F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)).alias("squares"),
         *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in fails],
-        *[F.coalesce(F.var_samp(F.col(k) / F.col("n")), F.lit(0.0)).alias(f"{k}_var") for k in fails],
+        *[F.coalesce(F.sum(F.col(k).cast("double") * F.col(k) / F.col("n")), F.lit(0.0)).alias(f"{k}_spread") for k in fails],
     ).first()
     whole, held = F.lit(False), {}
     for k in fails:
-        mean, spread = over[k] / max(1, over["n"]), over[f"{k}_var"]
-        prior = min(max(mean * (1 - mean) / spread - 1, least_prior), most_prior) if spread > 0 else most_prior
+        mean = over[k] / max(1, over["n"])
+        prior = prior_of(over[k], over["n"], over["hosts"], over["squares"], over[f"{k}_spread"], least_prior, most_prior)
         rate = (F.col(k) + mean * prior) / (F.col("n") + prior)
-        whole = whole | (rate > max(host_least, host_odds * mean / (1 - mean + host_odds * mean)))
+        surely = rate - sure * F.sqrt(rate * (1 - rate) / (F.col("n") + prior + 1))
+        whole = whole | (surely > max(host_least, host_odds * mean / (1 - mean + host_odds * mean)))
         if k in SOFT:
-            held[k] = rate > strict * mean
+            held[k] = surely > strict * mean
     told = hosts.select(F.col("_host").alias("_bad"), whole.alias("_all"), *[v.alias(f"_{k}") for k, v in held.items()])
     return told.where(F.col("_all") | F.greatest(*[F.col(f"_{k}") for k in SOFT]))
 
@@ -114,6 +130,7 @@ def judge_rows(
     host_odds: float = 20.0,
     host_least: float = 0.25,
     strict: float = 1.25,
+    sure: float = 3.0,
     broadcast_rows: int = 50_000,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -121,7 +138,7 @@ def judge_rows(
     bounded_batches(docs.sparkSession)
     counted = docs.select(F.struct(*(keep or docs.columns)).alias("row"), docs[host_col].cast("string").alias("_host"), text_counts(docs[text_col].cast("string")).alias("_c"))
     counted = materialise(counted, "quality-counts")
-    judged = materialise(host_verdicts(counted, host_odds, host_least, strict), "quality-judged")
+    judged = materialise(host_verdicts(counted, host_odds, host_least, strict, sure), "quality-judged")
     if judged.count() <= broadcast_rows:  # checked; else Spark joins by shuffle, and splits frequent hosts
         judged = F.broadcast(judged)
     failed = rules(F.col("_c"))

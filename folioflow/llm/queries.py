@@ -222,11 +222,16 @@ h AS (
   SELECT source, rule, count(*) AS n, sum(CAST(hit AS INT)) AS k
   FROM (SELECT source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS hit FROM f) GROUP BY source, rule),
 m AS (
-  SELECT rule, sum(k)::DOUBLE / sum(n) AS mean, var_samp(k::DOUBLE / n) AS v FROM h GROUP BY rule),
+  SELECT rule, sum(k)::DOUBLE / sum(n) AS mean, sum(k * k::DOUBLE / n) - sum(k) * (sum(k)::DOUBLE / sum(n)) AS spread, count(*) AS hosts,
+    sum(n) - count(*) - sum(n * n::DOUBLE) / sum(n) + 1 AS room FROM h GROUP BY rule),
+al AS (
+  SELECT rule, mean, CASE WHEN mean * (1 - mean) > 0 AND room > 0 THEN (spread / (mean * (1 - mean)) - (hosts - 1)) / room ELSE 0 END AS alike FROM m),
 pr AS (
-  SELECT rule, mean, least(greatest(coalesce(mean * (1 - mean) / CASE WHEN v > 0 THEN v END - 1, 1000), 10), 1000) AS s FROM m),
+  SELECT rule, mean, CASE WHEN alike > 0 THEN least(greatest(1 / alike - 1, 10), 1000) ELSE 1000 END AS s FROM al),
+rt AS (
+  SELECT source, rule, (k + mean * s) / (n + s) AS rate, mean, n + s + 1 AS seen FROM h JOIN pr USING (rule)),
 rates AS (
-  SELECT source, rule, (k + mean * s) / (n + s) AS rate, mean FROM h JOIN pr USING (rule)),
+  SELECT source, rule, rate - 3.0 * sqrt(greatest(rate * (1 - rate) / seen, 0)) AS rate, mean FROM rt),
 bad AS (
   SELECT source, bool_or(rate > greatest(0.25, 20.0 * mean / (1 - mean + 20.0 * mean))) AS whole,
     bool_or(rule = 3 AND rate > 1.25 * mean) AS s3, bool_or(rule = 4 AND rate > 1.25 * mean) AS s4, bool_or(rule = 5 AND rate > 1.25 * mean) AS s5

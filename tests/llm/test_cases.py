@@ -346,6 +346,9 @@ def test_language(odd, empty):
     model = langid.Model({"en": {"the": 9, "house": 2}, "de": {"das": 8, "haus": 3}})
     said = [x[0] for x in model.predict(["the the house", "das haus", None, "hausdas", "12"])]
     assert said == ["en", "de", "und", "de", "und"]
+    for text in ("½ ² Ⅻ", "①", "²", "Ⅻ", "٣ 12", "̈ _ 🙂"):
+        assert not any(map(str.isalpha, text)) and model.predict([text]) == [("und", 0.0)]
+    assert model.predict(["½ the"])[0][0] == "en" and langid.words_of("x² ½ Ⅻ a") == ["x²", "a"]
 
 
 def test_language_by_brute_force():
@@ -430,6 +433,20 @@ def test_equal_hosts_are_spared(spark):
     assert told.where("host_rejected").count() == 0 and told.where("kept").count() == 900
 
 
+@pytest.mark.parametrize("size", [50, 300])
+def test_hosts_that_differ_by_chance_are_spared(spark, size):
+    """Whatever their sizes; and planted bad hosts among them are found."""
+    good, bad, noisy = " ".join(f"word{k}" for k in range(80)), "too few", " ".join(f"word{k}" for k in range(80)) + " " + "# " * 30
+    draw = random.Random(size)
+    one = lambda: draw.choices([good, bad, noisy], [0.9, 0.04, 0.06])[0]
+    rows = [(h * 10_000 + i, one(), f"h{h}") for h in range(20) for i in range(size)] + [(900_000 + i, one(), "large") for i in range(5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality.judge_rows(docs).where("host_rejected").count() == 0
+    planted = [(950_000 + i, draw.choices([good, bad], [0.1, 0.9])[0], "bad") for i in range(size)] + [(970_000 + i, draw.choices([good, noisy], [0.55, 0.45])[0], "noisy") for i in range(size)]
+    told = quality.judge_rows(docs.unionByName(spark.createDataFrame(planted, docs.schema))).select("row.doc_id", "row.source", "row.text", "host_rejected").collect()
+    assert {r.doc_id for r in told if r.host_rejected} == {i for i, t, h in planted if h == "bad" or t == noisy}
+
+
 URLS = [
     ("https://Example.com/en/a", "example.com", "/en/a", "example.com/en/", "block"), ("http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),
     ("http://a.www.example.com/en/x?y#z", "a.www.example.com", "/en/x", "www.example.com/en/", "allow"), ("http://notexample.com/en/", "notexample.com", "/en/", "com/", "allow"),
