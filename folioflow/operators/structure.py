@@ -7,8 +7,6 @@ pages. Everything runs by book, so a book's rows are what a task holds at most.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from .sequences import asof_join, binned, island
 
 # Margins, repeats and sizes that tell headings and running lines from text.
 MARGIN, REPEATS, BIG_LINE, BIG, NUMERIC_SIZE, SUBTITLE_SIZE, DROP_CAP = 0.16, 3, 1.25, 1.3, 1.15, 1.08, 1.5
-HEADER_PAGES, CONTENTS_NAMES, OVERPRINT_X, OVERPRINT_Y, SECTION_SECONDS = 3, 3, 0.5, 0.3, 1200.0
+HEADER_PAGES, CONTENTS_NAMES, OVERPRINT_X, OVERPRINT_Y, SECTION_SECONDS, MERGE_PAGES, MERGE_SIZE = 3, 3, 0.5, 0.3, 1200.0, 2, 1.0
 
 
 def _by(*order: str):
@@ -164,35 +162,59 @@ def drop_caps(paras: DataFrame, sizes: DataFrame) -> DataFrame:
     return told.select(*[c for c in paras.columns if c not in ("text", "first_on_page")], text.alias("text"), (F.col("first_on_page") | F.coalesce("_first", F.lit(False))).alias("first_on_page"))
 
 
+def _heads(chain: Column) -> Column:
+    """Of a chain of pages and sizes, which begin a paragraph: the first, and those too far from the last that does in page or size."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(many: pd.Series) -> pd.Series:
+        out = []
+        for rows in many:
+            page = size = None
+            told = []
+            for r in rows:
+                begins = page is None or not 0 <= r["page"] - page <= MERGE_PAGES or abs(r["size"] - size) >= MERGE_SIZE
+                if begins:
+                    page, size = r["page"], r["size"]
+                told.append(begins)
+            out.append(told)
+        return pd.Series(out)
+
+    return run(chain)
+
+
 def merged_across_pages(paras: DataFrame) -> DataFrame:
     """A sentence that a page or block cuts in two becomes one paragraph; where pages begin in it is kept.
 
-    Each test looks at what has been merged so far, so this is a fold over a book's paragraphs.
+    Whether a paragraph may go on from the one before shows in the two texts alone, which cuts books into
+    chains. Within a chain only pages and sizes are looked at one after the other, as these are
+    compared with the paragraph that began; texts are put together and offsets added up by Spark.
     """
-    terminal = re.compile(T.TERMINAL)
-    cjk = re.compile(f"[{T.HAN}豈-﫿぀-ヿ]")
-
-    def joined(a: str, b: str) -> str:
-        if a.endswith("-") and not a.endswith("--") and b[:1].isalpha() and not cjk.match(b):
-            return (a[:-1] if b[0].islower() else a) + b
-        return a + b if a and b and (cjk.match(a[-1]) or cjk.match(b[0])) else f"{a} {b}"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in rows.sort_values("para_no").to_dict("records"):
-            last = out[-1] if out else None
-            if last and 0 <= r["page"] - last["page"] <= 2 and not terminal.search(last["text"]) and r["text"][:1].islower() and abs(r["size"] - last["size"]) < 1:
-                whole = joined(last["text"], r["text"])
-                if r["page"] != last["page"]:
-                    last["breaks"].append({"offset": len(whole) - len(r["text"]), "page": r["page"]})
-                last["text"] = whole
-                last["n_lines"] += r["n_lines"]
-            else:
-                out.append(r | {"breaks": []})
-        return pd.DataFrame(out)[["book_id", "para_no", "page", "text", "size", "bold", "n_lines", "first_on_page", "breaks"]]
-
-    kind = "book_id long, para_no long, page long, text string, size double, bold boolean, n_lines int, first_on_page boolean, breaks array<struct<offset:int,page:long>>"
-    return paras.select("book_id", "para_no", F.col("page").cast("long"), "text", F.col("size").cast("double"), "bold", F.col("n_lines").cast("int"), "first_on_page").groupBy("book_id").applyInPandas(run, kind)
+    order = _by("para_no")
+    before = F.lag("text").over(order)
+    linked = F.coalesce(F.col("text").rlike(r"^\p{Ll}") & ~before.rlike(T.TERMINAL), F.lit(False))
+    rows = paras.select("book_id", "para_no", F.col("page").cast("long").alias("page"), "text", F.col("size").cast("double").alias("size"), "bold", F.col("n_lines").cast("int").alias("n_lines"), "first_on_page")
+    # What joins it to the text before: a hyphen goes, or nothing, or a space comes between.
+    cjk = f"[{T.HAN}豈-﫿぀-ヿ]"
+    hyphen = before.rlike("-$") & ~before.rlike("--$")
+    rows = rows.withColumns({"_linked": linked, "_glue": F.when(hyphen, -1).when(before.rlike(f"{cjk}$") | F.col("text").rlike(f"^{cjk}"), 0).otherwise(1)})
+    rows = rows.withColumn("_chain", island(~F.col("_linked"), ["book_id"], ["para_no"]))
+    links = rows.withColumn("_long", F.count(F.lit(1)).over(Window.partitionBy("book_id", "_chain"))).where("_long > 1")
+    folded = links.groupBy("book_id", "_chain").agg(F.sort_array(F.collect_list(F.struct("para_no", "page", "size"))).alias("_c")).withColumn("_b", _heads(F.col("_c")))
+    begins = folded.select("book_id", F.explode(F.arrays_zip("_c", "_b")).alias("_z")).select("book_id", F.col("_z._c.para_no").alias("para_no"), F.col("_z._b").alias("_begins"))
+    rows = rows.join(begins, ["book_id", "para_no"], "left")
+    rows = rows.withColumn("_head", F.max(F.when(F.coalesce("_begins", F.lit(True)), F.col("para_no"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = Window.partitionBy("book_id", "_head").orderBy("para_no")
+    begins_page = F.col("page") != F.first("page").over(inside)
+    # Offsets: the lengths before, with what joined them.
+    glue = F.when(F.col("para_no") == F.col("_head"), 0).otherwise(F.col("_glue"))
+    rows = rows.withColumn("_glue", glue).withColumn("_offset", F.sum(F.length("text") + F.col("_glue")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text"))
+    next_glue = F.coalesce(F.lead("_glue").over(inside), F.lit(0))
+    piece = F.concat(F.when(F.col("_glue") == 1, " ").otherwise(""), F.when(next_glue == -1, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text")))
+    rows = rows.withColumns({"_piece": piece, "_break": F.when(begins_page, F.struct(F.col("_offset").cast("int").alias("offset"), F.col("page").alias("page")))})
+    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", "_piece"))), lambda x: x["_piece"]), "")
+    firsts = {c: F.min_by(c, "para_no").alias(c) for c in ("page", "size", "bold", "first_on_page")}
+    told = rows.groupBy("book_id", F.col("_head").alias("para_no")).agg(firsts["page"], pieces.alias("text"), firsts["size"], firsts["bold"], F.sum("n_lines").cast("int").alias("n_lines"), firsts["first_on_page"], F.sort_array(F.collect_list("_break")).alias("breaks"))
+    return told.select("book_id", "para_no", "page", "text", "size", "bold", "n_lines", "first_on_page", "breaks")
 
 
 # ---- headings
@@ -235,21 +257,28 @@ def numeric_candidates(paras: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def large_candidates(paras: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Lines in the smallest large type that isn't too frequent. ``sizes`` also has pages."""
+    """Lines in the smallest large type that isn't too frequent. ``sizes`` also has pages.
+
+    Neighbours on a page are one heading wherever both are large enough, so at any tier there are as many
+    headings as members at or above it, less the pairs of neighbours whose lesser size is. Sums over
+    tiers give all counts; only the tier that wins is put together.
+    """
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
     p = paras.join(sizes, "book_id").where((F.col("size") >= F.col("body_size") * BIG) & (F.col("n_lines") <= 3) & words.between(1, 14) & F.col("text").rlike(r"\p{L}")).withColumn("tier", F.round("size"))
-    tiers = p.select("book_id", F.col("tier").alias("_tier")).distinct()
-    each = p.join(tiers, "book_id").where("tier >= _tier")
-    by = ["book_id", "_tier"]
-    w = Window.partitionBy(*by).orderBy("para_no")
-    new = ~((F.col("para_no") == F.lag("para_no").over(w) + 1) & (F.col("page") == F.lag("page").over(w)))
-    each = each.withColumn("_new", F.coalesce(new, F.lit(True))).withColumn("_h", island(F.col("_new"), by, ["para_no"]))
+    w = _by("para_no")
+    p = p.withColumn("_beside", F.coalesce((F.col("para_no") == F.lag("para_no").over(w) + 1) & (F.col("page") == F.lag("page").over(w)), F.lit(False)))
+    p = p.withColumn("_pair", F.when(F.col("_beside"), F.least("tier", F.lag("tier").over(w))))
+    counts = F.array(F.struct(F.col("tier").alias("tier"), F.lit(1).alias("n")), F.struct(F.col("_pair").alias("tier"), F.lit(-1).alias("n")))
+    tiers = p.select("book_id", "pages", F.inline(counts)).where("tier is not null").groupBy("book_id", "tier").agg(F.sum("n").alias("_n"), F.first("pages").alias("pages"))
+    down = Window.partitionBy("book_id").orderBy(F.desc("tier")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tiers = tiers.withColumn("_n", F.sum("_n").over(down)).withColumn("_stop", F.bool_or(F.col("_n") > F.greatest(F.lit(3.0), F.col("pages") / 2.5)).over(down))
+    best = tiers.where("not _stop and _n >= 2").groupBy("book_id").agg(F.min("tier").alias("_tier"))
+    kept = p.join(best, "book_id").where("tier >= _tier")
+    apart = ~((F.col("para_no") == F.lag("para_no").over(w) + 1) & (F.col("page") == F.lag("page").over(w)))
+    kept = kept.withColumn("_h", island(F.coalesce(apart, F.lit(True)), ["book_id"], ["para_no"]))
     title = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", "text"))), lambda t: t["text"]), " ")
-    heads = each.groupBy(*by, "_h").agg(F.min("para_no").alias("para_no"), F.min("page").alias("page"), F.max("size").alias("size"), title.alias("title"), F.count(F.lit(1)).alias("skip"), F.first("pages").alias("pages"))
-    counts = heads.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), (F.count(F.lit(1)) > F.greatest(F.lit(3.0), F.first("pages") / 2.5)).alias("_many"))
-    down = Window.partitionBy("book_id").orderBy(F.desc("_tier")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = counts.withColumn("_stop", F.bool_or("_many").over(down)).where("not _stop and _n >= 2").groupBy("book_id").agg(F.min("_tier").alias("_tier"))
-    return heads.join(best, by, "left_semi").select("book_id", "para_no", "page", "size", "title", F.lit(False).alias("is_part"), "skip")
+    heads = kept.groupBy("book_id", "_h").agg(F.min("para_no").alias("para_no"), F.min("page").alias("page"), F.max("size").alias("size"), title.alias("title"), F.count(F.lit(1)).alias("skip"))
+    return heads.select("book_id", "para_no", "page", "size", "title", F.lit(False).alias("is_part"), "skip")
 
 
 def without_running_headers(found: DataFrame) -> DataFrame:
@@ -275,31 +304,63 @@ def with_subtitles(found: DataFrame, paras: DataFrame, sizes: DataFrame) -> Data
     return joined.withColumns({"title": title, "skip": F.col("skip") + F.when(has, 1).otherwise(0)}).drop("_at", "_page", "_sub")
 
 
-def chapter_extents(heads: DataFrame, paras: DataFrame) -> DataFrame:
-    """Each heading's paragraphs: from after it up to the next heading. Adds words, first and last page, and the body as one text."""
-    last = paras.groupBy("book_id").agg((F.max("para_no") + 1).alias("_end"))
-    laid = heads.join(last, "book_id").withColumn("_stop", F.coalesce(F.lead("para_no").over(_by("para_no")), F.col("_end")))
-    body = asof_join(paras.select("book_id", "para_no", "page", "text"), laid.withColumn("_head", F.col("para_no")), ["book_id"], "para_no", "para_no", ["_head", "skip"])
-    body = body.where(F.col("_head").isNotNull() & (F.col("para_no") >= F.col("_head") + F.col("skip")))
-    sums = body.groupBy("book_id", F.col("_head").alias("para_no")).agg(F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_paras"), _joined().alias("body"))
-    return laid.join(sums, ["book_id", "para_no"], "left").withColumns({"words": F.coalesce("words", F.lit(0)), "n_paras": F.coalesce("n_paras", F.lit(0)), "body": F.coalesce("body", F.lit(""))}).drop("_end", "_stop")
+#: Characters of a chapter's beginning that are looked at.
+BEGINNING = 3000
 
 
-def _joined() -> Column:
-    """An aggregate: a chapter's paragraphs as one text."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", "text"))), lambda p: p["text"]), " ")
+def summed(body: DataFrame, by: list[str]) -> DataFrame:
+    """Paragraphs (para_no, page, text) by ``by``: words, first_page, last_page, n_paras, body (its beginning) and size, that of the paragraphs joined by spaces. Sizes add up, so no chapter's text is put together."""
+    w = Window.partitionBy(*by).orderBy("para_no")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    told = body.withColumn("_s", S.script_sizes("text"))
+    after = F.last("_s.last", ignorenulls=True).over(before)
+    told = told.withColumns({"_lead": F.col("_s.lead") + (F.row_number().over(w) > 1).cast("int"), "_after": after, "_at": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))})
+    lead = lambda script: F.sum(F.when(F.col("_after").eqNullSafe(F.lit(script)), F.col("_lead")).otherwise(0))
+    size = F.struct(
+        lead(None).alias("lead"), (F.sum("_s.en") + lead("en")).alias("en"), (F.sum("_s.zh") + lead("zh")).alias("zh"),
+        F.min_by("_s.first", F.when(F.col("_s.first").isNotNull(), F.col("para_no"))).alias("first"), F.max_by("_s.last", "para_no").alias("last"), (F.sum("_s.solid") + F.count(F.lit(1)) - 1).alias("solid"),
+    )
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_at") < BEGINNING, F.struct("para_no", "text")))), lambda p: p["text"]), " ")
+    return told.groupBy(*by).agg(
+        F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_paras"), F.substring(text, 1, BEGINNING).alias("body"), size.alias("size_")
+    )
+
+
+def _headed(heads: DataFrame) -> list[str]:
+    """The order of headings: outlines may have several at one paragraph."""
+    return ["para_no", *(["ord"] if "ord" in heads.columns else [])]
+
+
+def chapter_bodies(heads: DataFrame, paras: DataFrame) -> DataFrame:
+    """Each heading's paragraphs: from after it up to the next heading, with the heading's paragraph as ``head``. Of several headings at one paragraph the last has them."""
+    last = heads.groupBy("book_id", "para_no").agg(F.max_by("skip", F.struct(*_headed(heads)[1:], F.col("skip"))).alias("skip")).withColumn("head", F.col("para_no"))
+    body = asof_join(paras, last, ["book_id"], "para_no", "para_no", ["head", "skip"])
+    return body.where(F.col("head").isNotNull() & (F.col("para_no") >= F.col("head") + F.col("skip"))).drop("skip")
+
+
+def chapter_extents(heads: DataFrame, paras: DataFrame) -> DataFrame:
+    """What :func:`summed` tells of each heading's paragraphs."""
+    order = _headed(heads)
+    laid = heads.withColumn("_head", F.when(F.coalesce(F.lead("para_no").over(_by(*order)) != F.col("para_no"), F.lit(True)), F.col("para_no")))
+    sums = summed(chapter_bodies(heads, paras.select("book_id", "para_no", "page", "text")), ["book_id", "head"])
+    told = laid.join(sums.withColumnRenamed("head", "_head"), ["book_id", "_head"], "left").drop("_head")
+    return told.withColumns({"words": F.coalesce("words", F.lit(0)), "n_paras": F.coalesce("n_paras", F.lit(0)), "body": F.coalesce("body", F.lit(""))})
 
 
 def with_parts(chapters: DataFrame) -> DataFrame:
-    """A part's own page without text goes, and gives the following chapters their part; the first of a part announces it."""
-    w = _by("para_no").rowsBetween(Window.unboundedPreceding, -1)
+    """A part's own page without text goes, and gives the following chapters their part; the first of a part announces it. A part that an outline gives counts first."""
+    order = _by(*_headed(chapters))
+    w = order.rowsBetween(Window.unboundedPreceding, -1)
     title = T.pretty_title("title")
-    told = chapters.withColumns({"title": title, "_lone": F.col("is_part") & (F.col("words") < 60)})
-    told = told.withColumn("part", F.last(F.when(F.col("_lone"), F.col("title")), ignorenulls=True).over(w)).where("not _lone")
+    own = T.pretty_title("part") if "part" in chapters.columns else F.lit(None).cast("string")
+    told = chapters.withColumns({"title": title, "part": own, "_lone": F.col("is_part") & (F.col("words") < 60)})
+    told = told.withColumns({"part": F.coalesce("part", F.last(F.when(F.col("_lone"), F.col("title")), ignorenulls=True).over(w)), "_page": F.when(F.lag("_lone").over(order), F.lag("title").over(order))})
+    told = told.where("not _lone")
     known = F.last("part", ignorenulls=True).over(w)
     opens = F.col("part").isNotNull() & ~F.col("part").eqNullSafe(known)
-    told = told.withColumn("spoken_title", F.when(opens, F.concat("part", F.lit(". "), "title")))
-    return told.withColumn("chapter_no", F.row_number().over(_by("para_no")).cast("long")).drop("_lone")
+    said = F.coalesce("_page", F.when(opens, F.col("part")))  # the page of a part just before is announced in any case
+    told = told.withColumn("spoken_title", F.when(said.isNotNull(), F.concat(said, F.lit(". "), "title")))
+    return told.withColumn("chapter_no", F.row_number().over(order).cast("long")).drop("_lone", "_page")
 
 
 def included(title: Column, words: Column) -> Column:
@@ -315,52 +376,82 @@ def opening(words: Column, text: Column) -> Column:
 def opening_pages(found: DataFrame, paras: DataFrame) -> DataFrame:
     """What stands before a book's first heading, if it is a chapter's worth."""
     first = found.groupBy("book_id").agg(F.min("para_no").alias("_first"), F.min("method").alias("method"))
-    front = paras.join(first, "book_id").where("para_no < _first").groupBy("book_id", "method")
-    told = front.agg(F.min("para_no").alias("para_no"), F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), _joined().alias("body"))
+    front = paras.join(first, "book_id").where("para_no < _first")
+    told = summed(front, ["book_id", "method"]).join(front.groupBy("book_id", "method").agg(F.min("para_no").alias("para_no")), ["book_id", "method"])
     told = told.withColumn("_o", opening(F.col("words"), F.col("body"))).where("_o.kept")
-    return told.withColumns({"title": F.lit("Opening pages"), "include": F.col("_o.included")}).drop("_o")
+    return told.withColumns({"title": F.lit("Opening pages"), "include": F.col("_o.included"), "page": F.lit(0).cast("long")}).drop("_o")
+
+
+def _timed(paras: DataFrame, langs: DataFrame, limit: float) -> DataFrame:
+    timed = paras.join(langs, "book_id").withColumn("_seconds", S.seconds_of(S.script_sizes("text"), F.col("lang"))).select("book_id", "para_no", "page", "text", "_seconds")
+    return binned(timed, ["book_id"], ["para_no"], F.col("_seconds"), limit, close_after=True)
 
 
 def timed_sections(paras: DataFrame, langs: DataFrame, limit: float = SECTION_SECONDS) -> DataFrame:
     """Books by time alone: a section closes with the paragraph that reaches the limit. ``langs`` has book_id, lang."""
-    timed = paras.join(langs, "book_id").withColumn("_seconds", S.estimate_seconds("text", "lang")).select("book_id", "para_no", "page", "text", "_seconds")
-    binned_ = binned(timed, ["book_id"], ["para_no"], F.col("_seconds"), limit, close_after=True)
+    timed = _timed(paras, langs, limit)
     title = F.concat(F.lit("Section "), (F.col("bin") + 1).cast("string"))
-    found = binned_.groupBy("book_id", "bin").agg(F.min("para_no").alias("para_no"), F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), _joined().alias("body"))
-    return found.withColumns({"method": F.lit("sections"), "title": title, "spoken_title": title}).drop("bin")
+    found = summed(timed, ["book_id", "bin"]).join(timed.groupBy("book_id", "bin").agg(F.min("para_no").alias("para_no")), ["book_id", "bin"])
+    return found.withColumns({"method": F.lit("sections"), "title": title, "spoken_title": title, "page": F.col("first_page").cast("long")}).drop("bin")
 
 
 def chapters(found: DataFrame, paras: DataFrame, langs: DataFrame, preview: int = 220) -> DataFrame:
     """The chapters of all books: of headings, of the pages before them, and of books without headings by time.
 
-    book_id, chapter_no, method, title, part, spoken_title, words, est_seconds, first_page, last_page, preview, include.
+    book_id, chapter_no, method, title, part, spoken_title, words, est_seconds, start_page (from 1), first_page, last_page, preview,
+    include, sections (title, page from 1), para_no (of its heading).
     """
     headed = with_parts(chapter_extents(found, paras)).drop("chapter_no")
     lone = paras.join(found.select("book_id").distinct(), "book_id", "left_anti")
     told = headed.unionByName(opening_pages(found, paras), allowMissingColumns=True).unionByName(timed_sections(lone, langs), allowMissingColumns=True)
+    order = _headed(told)
     told = told.join(langs, "book_id").withColumn("_said", F.coalesce("spoken_title", "title"))
-    told = told.withColumns({"_b": S.estimate_seconds("body", "lang"), "_t": S.estimate_seconds("_said", "lang")})
+    body = F.coalesce(S.seconds_of(F.col("size_"), F.col("lang")), F.lit(0.0))
+    inner = F.transform("sections", lambda s: F.struct(T.pretty_title(s["title"]).alias("title"), s["page"].alias("page"))) if "sections" in told.columns else F.lit(None).cast(_SECTIONS)
     return told.select(
-        "book_id", F.row_number().over(_by("para_no")).cast("long").alias("chapter_no"), "method", "title", "part", "spoken_title", "words", F.round(F.col("_b") + F.col("_t"), 1).alias("est_seconds"),
-        "first_page", "last_page", F.substring("body", 1, preview).alias("preview"), F.coalesce("include", included(F.col("title"), F.col("words"))).alias("include"),
+        "book_id", F.row_number().over(_by(*order)).cast("long").alias("chapter_no"), "method", "title", "part", "spoken_title", "words", F.round(body + S.seconds_of(S.script_sizes("_said"), F.col("lang")), 1).alias("est_seconds"),
+        (F.col("page") + 1).cast("long").alias("start_page"), "first_page", "last_page", F.substring("body", 1, preview).alias("preview"), F.coalesce("include", included(F.col("title"), F.col("words"))).alias("include"),
+        F.coalesce(inner, F.array().cast(_SECTIONS)).alias("sections"), "para_no",
     )
 
 
+def chapter_texts(found: DataFrame, chapters: DataFrame, paras: DataFrame, langs: DataFrame) -> DataFrame:
+    """The paragraphs of every chapter of :func:`chapters`, as chunking takes them: book_id, chapter_no, para_no (in its chapter, from 1), text, page (from 1), breaks (offset, page from 1)."""
+    own = ["book_id", "para_no", "page", "text", *(["breaks"] if "breaks" in paras.columns else [])]
+    first = found.groupBy("book_id").agg(F.min("para_no").alias("_first"))
+    front = paras.select(*own).join(first, "book_id").where("para_no < _first").drop("_first")
+    front = front.withColumn("head", F.min("para_no").over(Window.partitionBy("book_id")))
+    lone = _timed(paras.join(first, "book_id", "left_anti"), langs, SECTION_SECONDS).withColumn("head", F.min("para_no").over(Window.partitionBy("book_id", "bin"))).select("book_id", "para_no", "head")
+    lone = lone.join(paras.select(*own), ["book_id", "para_no"])
+    body = chapter_bodies(found, paras.select(*own)).unionByName(front).unionByName(lone.select(*own, "head"))
+    # Of several chapters at one paragraph the last has the text.
+    named = chapters.groupBy("book_id", F.col("para_no").alias("head")).agg(F.max("chapter_no").alias("chapter_no"))
+    w = Window.partitionBy("book_id", "chapter_no").orderBy("para_no")
+    told = body.join(named, ["book_id", "head"]).withColumns({"page": (F.col("page") + 1).cast("long"), "_n": F.row_number().over(w).cast("long")})
+    if "breaks" in own:
+        told = told.withColumn("breaks", F.transform("breaks", lambda b: F.struct(b["offset"].alias("offset"), (b["page"] + 1).alias("page"))))
+    return told.select("book_id", "chapter_no", F.col("_n").alias("para_no"), "text", "page", *(["breaks"] if "breaks" in own else []))
+
+
 def is_textless(paras: DataFrame) -> DataFrame:
     """P10: books whose pages hold pictures of text alone."""
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
     return paras.groupBy("book_id").agg(((F.sum(words) < 20) & (F.sum(F.length("text")) < 200)).alias("textless"))
 
 
+_SECTIONS = "array<struct<title:string,page:bigint>>"
+
+
 def detect(paras: DataFrame, sizes: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """Headings by the first way that finds two or more in a book: outline, headings, numbers, large type. Adds method."""
+    """Headings by the first way that finds two or more in a book: outline, headings, numbers, large type. Adds method; ``outline`` is as :func:`outline_places` gives it, whose chapters also have part and sections."""
     ways: list[tuple[str, DataFrame]] = [] if outline is None else [("outline", outline)]
     ways += [("headings", f(paras, sizes)) for f in (heading_candidates, numeric_candidates)] + [("fontsize", large_candidates(paras, sizes))]
-    cols = ["book_id", "para_no", "page", "size", "title", "is_part", "skip"]
+    defaults = {"size": F.lit(None).cast("double"), "is_part": F.lit(False), "skip": F.lit(1).cast("long"), "part": F.lit(None).cast("string"), "sections": F.lit(None).cast(_SECTIONS), "ord": F.lit(0).cast("long")}
+    cols = ["book_id", "para_no", "page", "size", "title", "is_part", "skip", *(["part", "sections", "ord"] if outline is not None else [])]
     every: DataFrame | None = None
     for k, (method, found) in enumerate(ways):
         told = found if method == "outline" else without_running_headers(found)
-        told = told if "skip" in told.columns else told.withColumn("skip", F.lit(1).cast("long"))
+        told = told.withColumns({c: v for c, v in defaults.items() if c in cols and c not in told.columns})
         told = told.select(*cols).withColumns({"method": F.lit(method), "_k": F.lit(k)})
         every = told if every is None else every.unionByName(told)
     n = F.count(F.lit(1)).over(Window.partitionBy("book_id", "_k"))
@@ -369,66 +460,119 @@ def detect(paras: DataFrame, sizes: DataFrame, outline: DataFrame | None = None)
 
 
 def outline_levels(toc: DataFrame) -> DataFrame:
-    """The outline's chapters with part and sections (title, page of each). ``toc`` has book_id, ord, level, title, page, pages.
+    """The outline's chapters with part and sections (title, page of each). ``toc`` has book_id, ord, level, title, page (from 1), pages.
 
-    Lone roots are taken off level by level, for which an outline's few rows are folded by book.
+    A level that has one entry alone, below no other such level's, is a wrapper around the rest and goes, as long as two entries
+    stay. Chapters are the level on top, or the one below it where the top names parts. What lies above and
+    below a chapter is found by intervals of ``ord``: its part is the last entry above it, its sections are the deeper ones up to the next.
     """
-    part = re.compile(T.PART_TITLE)
-    numeral = re.compile(T.ROMAN)
-
-    def named(title: str) -> bool:
-        core = title.strip(". ")
-        return bool(part.match(title)) or bool(core and numeral.match(core))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[(rows["title"].fillna("") != "") & rows["page"].between(1, rows["pages"])].sort_values("ord")
-        toc = rows[["level", "title", "page"]].values.tolist()
-        while len(toc) > 2 and sum(e[0] == min(x[0] for x in toc) for e in toc) == 1:
-            toc.remove(min(toc, key=lambda e: e[0]))
-        out: list[dict] = []
-        if len(toc) >= 2:
-            top = min(e[0] for e in toc)
-            tops = [e for e in toc if e[0] == top]
-            children = any(a[0] == top and b[0] > top for a, b in zip(toc, toc[1:]))
-            parts = children and 2 * sum(named(e[1]) for e in tops) >= len(tops) and any(e[0] == top + 1 for e in toc)
-            at = top + 1 if parts else top
-            above = None
-            for k, (level, title, page) in enumerate(toc):
-                childless = k + 1 == len(toc) or toc[k + 1][0] <= level
-                if level < at:
-                    above = title
-                if level == at or (parts and level == at - 1 and childless):
-                    out.append({"title": title, "page": page, "part": above if parts and level == at else None, "sections": []})
-                elif level > at and out:
-                    out[-1]["sections"].append({"title": title, "page": page})
-        book = rows["book_id"].iloc[0] if len(rows) else 0
-        frame = pd.DataFrame(out if len(out) >= 2 else [], columns=["title", "page", "part", "sections"])
-        frame.insert(0, "book_id", book)
-        frame.insert(1, "ord", range(1, len(frame) + 1))
-        return frame
-
-    return toc.groupBy("book_id").applyInPandas(run, "book_id long, ord long, title string, page long, part string, sections array<struct<title:string,page:long>>")
-
-
-def outline_places(entries: DataFrame, paras: DataFrame) -> DataFrame:
-    """The paragraph of each outline entry: the first on its page whose key begins with the title's or the other way round, else the first on that page or the next two."""
-    key = F.substring(T.title_key("title"), 1, 40)
+    rows = toc.where((F.coalesce("title", F.lit("")) != "") & F.col("page").between(1, F.col("pages")))
+    book = Window.partitionBy("book_id")
+    levels = rows.groupBy("book_id", "level").agg(F.count(F.lit(1)).alias("_n"))
+    by_level = book.orderBy("level")
+    # The k-th level from the top is a wrapper if it and all above have one entry, and more than two are left with it.
+    left = F.sum("_n").over(book) - (F.row_number().over(by_level) - 1)
+    wrapper = F.bool_and((F.col("_n") == 1) & (left > 2)).over(by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    levels = levels.withColumn("_wrapper", wrapper)
+    rows = rows.join(levels.where("not _wrapper").select("book_id", "level"), ["book_id", "level"])
+    core = F.regexp_replace("title", "^[. ]+|[. ]+$", "")
+    named = F.col("title").rlike(T.PART_TITLE) | ((core != "") & core.rlike(T.ROMAN))
+    order = book.orderBy("ord")
+    rows = rows.withColumns({"_top": F.min("level").over(book), "_next": F.lead("level").over(order), "_many": F.count(F.lit(1)).over(book)})
+    on_top = F.col("level") == F.col("_top")
+    tops, parts_named = F.count_if(on_top).over(book), F.count_if(on_top & named).over(book)
+    children = F.bool_or(on_top & F.coalesce(F.col("_next") > F.col("_top"), F.lit(False))).over(book)
+    rows = rows.withColumn("_parts", children & (2 * parts_named >= tops) & F.bool_or(F.col("level") == F.col("_top") + 1).over(book))
+    rows = rows.withColumn("_at", F.col("_top") + F.col("_parts").cast("int"))
+    childless = F.coalesce(F.col("_next") <= F.col("level"), F.lit(True))
+    wanted = (F.col("level") == F.col("_at")) | (F.col("_parts") & (F.col("level") == F.col("_at") - 1) & childless)
+    above = F.last(F.when(F.col("level") == F.col("_at") - 1, F.col("title")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"_wanted": wanted & (F.col("_many") >= 2), "part": F.when(F.col("_parts") & (F.col("level") == F.col("_at")), above)})
+    rows = rows.withColumn("_chapter", F.last(F.when(F.col("_wanted"), F.col("ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    deeper = F.col("level") > F.col("_at")
+    inner = F.transform(F.sort_array(F.collect_list(F.when(deeper, F.struct("ord", F.col("title").alias("title"), F.col("page").cast("long").alias("page"))))), lambda e: F.struct(e["title"].alias("title"), e["page"].alias("page")))
+    mine = rows.where("_chapter is not null and (_wanted or level > _at)").groupBy("book_id", F.col("_chapter").alias("ord")).agg(
+        F.max_by("title", F.col("_wanted")).alias("title"), F.max_by("page", F.col("_wanted")).cast("long").alias("page"), F.max_by("part", F.col("_wanted")).alias("part"), inner.alias("sections")
+    )
+    mine = mine.withColumn("_n", F.count(F.lit(1)).over(book)).where("_n >= 2").drop("_n")
+    return mine.select("book_id", F.row_number().over(order).cast("long").alias("ord"), "title", "page", "part", "sections")
+
+
+def outline_places(entries: DataFrame, paras: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The paragraph of each outline entry: the first on its page whose key begins with the title's or the other way round, else the first on that page or the next two.
+
+    ``entries`` have pages from 0, as paragraphs have. With ``sizes`` (book_id, body_size) up to two paragraphs after an exact one are
+    skipped with it, if they look like subtitles and the title holds them.
+    """
+    key = T.title_key("title")
     text = F.col("_key")
-    keyed = paras.where(F.length("text") <= 200).select("book_id", F.col("page").alias("_page"), F.col("para_no").alias("_no"), T.title_key("text").alias("_key"))
-    e = entries.withColumn("_title", key)
+    w = _by("para_no")
+    keyed = paras.withColumns({"_key": T.title_key("text"), "_page": F.col("page")})
+    sub = F.lit(False)
+    if sizes is not None:
+        keyed = keyed.join(sizes.select("book_id", "body_size"), "book_id")
+        sub = looks_like_subtitle(F.col("body_size")) & (F.length("_key") >= 3)
+    keyed = keyed.withColumn("_sub", F.when(sub, F.col("_key")))
+    after = [F.when(F.lead("_page", k).over(w) == F.col("_page"), F.lead("_sub", k).over(w)) for k in (1, 2)]
+    keyed = keyed.withColumns({"_sub1": after[0], "_sub2": after[1]}).where(F.length("text") <= 200).select("book_id", "_page", F.col("para_no").alias("_no"), "_key", "_sub1", "_sub2")
+    e = entries.withColumns({"_whole": key, "_title": F.substring(key, 1, 40)})
     hit = (F.col("_title") != "") & (F.startswith(text, F.col("_title")) | ((F.length(text) >= 3) & F.startswith(F.col("_title"), text)))
-    exact = e.join(keyed.withColumnRenamed("_page", "page"), ["book_id", "page"]).where(hit).groupBy("book_id", "ord").agg(F.min("_no").alias("_exact"))
+    first = F.coalesce(F.contains("_whole", F.col("_sub1")), F.lit(False))
+    skip = 1 + first.cast("long") + (first & F.coalesce(F.contains("_whole", F.col("_sub2")), F.lit(False))).cast("long")
+    exact = e.join(keyed.withColumnRenamed("_page", "page"), ["book_id", "page"]).where(hit)
+    exact = exact.groupBy("book_id", "ord").agg(F.min(F.struct(F.col("_no").alias("no"), skip.alias("skip"))).alias("_exact"))
     firsts = paras.groupBy("book_id", F.col("page").alias("_page")).agg(F.min("para_no").alias("_no"))
-    near = e.select("book_id", "ord", F.explode(F.sequence(F.col("page"), F.col("page") + 2)).alias("_page")).join(firsts, ["book_id", "_page"]).groupBy("book_id", "ord").agg(F.min_by("_no", "_page").alias("_near"))
+    near = e.select("book_id", "ord", F.explode(F.sequence(F.col("page"), F.col("page") + 2)).alias("_page")).join(firsts, ["book_id", "_page"]).groupBy("book_id", "ord").agg(F.min(F.struct("_page", "_no")).alias("_near"))
     placed = entries.join(exact, ["book_id", "ord"], "left").join(near, ["book_id", "ord"], "left")
-    return placed.withColumns({"para_no": F.coalesce("_exact", "_near"), "skip": F.when(F.col("_exact").isNotNull(), 1).otherwise(0).cast("long")}).drop("_exact", "_near").where("para_no is not null")
+    page = F.when(F.col("_exact").isNotNull(), F.col("page")).otherwise(F.col("_near._page"))
+    return placed.withColumns({"para_no": F.coalesce("_exact.no", "_near._no"), "page": page, "skip": F.coalesce("_exact.skip", F.lit(0).cast("long"))}).drop("_exact", "_near").where("para_no is not null")
+
+
+GRAM = 8
+
+
+def _grams(keys: DataFrame, n: Column) -> DataFrame:
+    """Every different run of ``n`` characters of every key, as a hash."""
+    places = F.sequence(F.lit(1), F.length("_k") - n + 1)
+    return keys.where(F.length("_k") >= n).select("book_id", "_k", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr("_k", i, n))))).alias("_g"))
+
+
+def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs book_id, _in, _out of keys (book_id, _k) the first of which is in the second.
+
+    A key that is in another has all its grams there, so it is looked up under its gram that the
+    fewest have; others are never met. Keys shorter than a gram are looked up among runs of their length.
+    """
+    long, short = inner.where(F.length("_k") >= GRAM), inner.where(F.length("_k").between(1, GRAM - 1))
+    index = _grams(outer, F.lit(GRAM))
+    many = index.groupBy("book_id", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    # A gram that no key has is the rarest.
+    probe = _grams(long, F.lit(GRAM)).join(many, ["book_id", "_g"], "left").groupBy("book_id", "_k").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    found = probe.withColumnRenamed("_k", "_in").join(index.withColumnRenamed("_k", "_out"), ["book_id", "_g"]).where(F.contains("_out", F.col("_in")))
+    runs = _grams(outer.join(short.select("book_id", F.length("_k").alias("_l")).distinct(), "book_id"), F.col("_l"))
+    equal = short.withColumn("_g", F.xxhash64("_k")).withColumnRenamed("_k", "_in").join(runs.withColumnRenamed("_k", "_out"), ["book_id", "_g"]).where(F.contains("_out", F.col("_in")))
+    return found.unionByName(equal).select("book_id", "_in", "_out")
+
+
+#: Titles of a book on either side up to which all are compared; beyond, they are looked up by grams.
+FEW_TITLES = 64
 
 
 def audit(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Titles of the truth that aren't found, by equal or contained keys; only titles of one book are compared."""
-    a = truth.select("book_id", F.col("title").alias("missing"), T.title_key("title").alias("_a")).distinct()
-    b = found.select("book_id", T.title_key("title").alias("_b")).distinct()
-    return a.join(b, (a.book_id == b.book_id) & ((a["_a"] == b["_b"]) | F.contains(b["_b"], a["_a"]) | F.contains(a["_a"], b["_b"])), "left_anti").select("book_id", "missing")
+    """Titles of the truth that aren't found, by equal or contained keys of a book; an empty key is in every other."""
+    a = truth.select("book_id", F.col("title").alias("missing"), T.title_key("title").alias("_k")).distinct()
+    b = found.select("book_id", T.title_key("title").alias("_k")).distinct()
+    keys = a.select("book_id", "_k").distinct()
+    sides = keys.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1))).groupBy("book_id").agg(F.greatest(F.count_if(F.col("_side") == 0), F.count_if(F.col("_side") == 1)).alias("_n"))
+    small, large = sides.where(F.col("_n") <= FEW_TITLES).select("book_id"), sides.where(F.col("_n") > FEW_TITLES).select("book_id")
+    either = F.contains("_b", F.col("_k")) | F.contains("_k", F.col("_b"))
+    met = keys.join(small, "book_id", "left_semi").join(b.withColumnRenamed("_k", "_b"), "book_id").where(either).select("book_id", "_k")
+    many, held = keys.join(large, "book_id", "left_semi"), b.join(large, "book_id", "left_semi")
+    met = met.unionByName(_within(many, held).select("book_id", F.col("_in").alias("_k"))).unionByName(_within(held, many).select("book_id", F.col("_out").alias("_k")))
+    empty = F.lit("")
+    any_, none = held.select("book_id").distinct(), held.where(F.col("_k") == empty).select("book_id")
+    missing = a.join(met, ["book_id", "_k"], "left_anti").join(none, "book_id", "left_anti")
+    return missing.join(any_.withColumn("_k", empty), ["book_id", "_k"], "left_anti").select("book_id", "missing")
 
 
 def coverage(chapters: DataFrame, totals: DataFrame) -> DataFrame:

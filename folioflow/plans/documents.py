@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import positions as P
 from ..operators import structure as D
 from ..sources import documents as J
@@ -118,20 +119,68 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.page_labels(pages.select("book_id", "page", F.lit(None).cast("string").alias("label")), printed)
 
 
-@query()
-def outline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines of three levels, and the paragraphs of their entries."""
+def _outline_sql(title: str) -> str:
+    """Tables of an outline made of paragraphs: toc, and e with its chapters, their parts and how many sections they have; ``said`` are the paragraphs."""
+    return f"""{PARAGRAPHS_SQL},
+said AS (SELECT book_id, para_no, text, (para_no - 1) // 3 AS page, regexp_replace(lower(text), '[^0-9a-z㐀-鿿]+', '', 'g') AS key FROM paragraphs WHERE trim(text) <> ''),
+toc AS (SELECT book_id, para_no AS ord, CASE WHEN para_no % 9 = 1 THEN 1 WHEN para_no % 3 = 1 THEN 2 ELSE 3 END AS level, CASE WHEN para_no % 9 = 1 THEN 'Part ' || para_no ELSE {title} END AS title, page FROM said),
+lv AS (SELECT book_id, level, count(*) AS n FROM toc GROUP BY 1, 2),
+lw AS (SELECT *, sum(n) OVER (PARTITION BY book_id) - (row_number() OVER (PARTITION BY book_id ORDER BY level) - 1) AS remain FROM lv),
+wr AS (SELECT book_id, level, bool_and(n = 1 AND remain > 2) OVER (PARTITION BY book_id ORDER BY level) AS wrapper FROM lw),
+r AS (SELECT t.* FROM toc t JOIN wr ON wr.book_id = t.book_id AND wr.level = t.level WHERE NOT wrapper),
+a AS (SELECT *, min(level) OVER (PARTITION BY book_id) AS top, lead(level) OVER (PARTITION BY book_id ORDER BY ord) AS nxt, count(*) OVER (PARTITION BY book_id) AS many,
+  regexp_matches(title, '{T.PART_TITLE}') OR (trim(title, '. ') <> '' AND regexp_matches(trim(title, '. '), '{T.ROMAN}')) AS named FROM r),
+b AS (SELECT book_id, bool_or(level = top AND coalesce(nxt > top, false)) AND 2 * count(*) FILTER (level = top AND named) >= count(*) FILTER (level = top) AND bool_or(level = top + 1) AS parts FROM a GROUP BY book_id),
+c AS (SELECT a.*, parts, top + CASE WHEN parts THEN 1 ELSE 0 END AS at_ FROM a JOIN b ON a.book_id = b.book_id),
+d AS (SELECT *, (level = at_ OR (parts AND level = at_ - 1 AND coalesce(nxt <= level, true))) AND many >= 2 AS wanted,
+  CASE WHEN parts AND level = at_ THEN last_value(CASE WHEN level = at_ - 1 THEN title END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS part FROM c),
+f AS (SELECT *, last_value(CASE WHEN wanted THEN ord END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS chapter FROM d),
+g AS (SELECT book_id, chapter, max(title) FILTER (wanted) AS title, max(part) FILTER (wanted) AS part, max(page) FILTER (wanted) AS page, count(*) FILTER (level > at_) AS n_sections FROM f WHERE chapter IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS m, row_number() OVER (PARTITION BY book_id ORDER BY chapter) AS ord FROM g) WHERE m >= 2),
+first_ AS (SELECT e.book_id, e.ord, min(para_no) AS near, arg_min(s.page, para_no) AS near_page FROM e JOIN said s ON s.book_id = e.book_id AND s.page BETWEEN e.page AND e.page + 2 GROUP BY 1, 2)"""
+
+
+def _outline(spark: SparkSession, sf_dir: str, title: Column) -> tuple[DataFrame, DataFrame]:
+    """An outline of three levels made of paragraphs, three to a page, and these."""
     said = paragraphs(spark, sf_dir).where(F.trim("text") != "").withColumn("page", F.floor((F.col("para_no") - 1) / 3).cast("long"))
     n = F.col("para_no")
     level = F.when(n % 9 == 1, 1).when(n % 3 == 1, 2).otherwise(3).cast("long")
-    title = F.when(level == 1, F.concat(F.lit("Part "), n.cast("string"))).otherwise(F.substring("text", 1, 60))
+    named = F.when(level == 1, F.concat(F.lit("Part "), n.cast("string"))).otherwise(title)
     pages = F.lit(10_000).cast("long")
-    toc = said.select("book_id", n.alias("ord"), level.alias("level"), title.alias("title"), (F.col("page") + 1).alias("page"), pages.alias("pages"))
-    found = D.outline_levels(toc)
-    placed = D.outline_places(found.withColumn("page", F.col("page") - 1), said)
+    return said.select("book_id", n.alias("ord"), level.alias("level"), named.alias("title"), (F.col("page") + 1).alias("page"), pages.alias("pages")), said
+
+
+@query(f"""WITH {_outline_sql("substr(text, 1, 60)")},
+x AS (SELECT e.book_id, e.ord, min(s.para_no) AS exact FROM e JOIN said s ON s.book_id = e.book_id AND s.page = e.page AND length(s.text) <= 200
+  AND substr(regexp_replace(lower(e.title), '[^0-9a-z㐀-鿿]+', '', 'g'), 1, 40) <> ''
+  AND (starts_with(s.key, substr(regexp_replace(lower(e.title), '[^0-9a-z㐀-鿿]+', '', 'g'), 1, 40)) OR (length(s.key) >= 3 AND starts_with(substr(regexp_replace(lower(e.title), '[^0-9a-z㐀-鿿]+', '', 'g'), 1, 40), s.key))) GROUP BY 1, 2)
+SELECT e.book_id, e.ord, e.title, e.part, e.n_sections, coalesce(exact, near) AS para_no, CASE WHEN exact IS NULL THEN 0 ELSE 1 END AS skip
+FROM e LEFT JOIN x ON x.book_id = e.book_id AND x.ord = e.ord LEFT JOIN first_ n ON n.book_id = e.book_id AND n.ord = e.ord WHERE coalesce(exact, near) IS NOT NULL""")
+def outline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of three levels, and the paragraphs of their entries."""
+    toc, said = _outline(spark, sf_dir, F.substring("text", 1, 60))
+    placed = D.outline_places(D.outline_levels(toc).withColumn("page", F.col("page") - 1), said)
     return placed.select("book_id", "ord", "title", "part", F.size("sections").cast("long").alias("n_sections"), "para_no", "skip")
 
 
+@query(f"""WITH {_outline_sql("'Head ' || para_no")},
+o AS (SELECT e.* EXCLUDE (page), near_page AS page, near AS at_, count(*) OVER (PARTITION BY e.book_id) AS k, lead(near) OVER (PARTITION BY e.book_id ORDER BY near, e.ord) AS nxt FROM e JOIN first_ n ON n.book_id = e.book_id AND n.ord = e.ord),
+q AS (SELECT *, last_value(part IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY at_, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM o WHERE k >= 2),
+z AS (SELECT q.book_id, q.ord, count(s.para_no) AS n_paras, CAST(coalesce(sum(len(regexp_extract_all(s.text, '[㐀-鿿]')) + len(regexp_extract_all(s.text, '[A-Za-zÀ-ÿ0-9'']+'))), 0) AS BIGINT) AS words, max(s.page) AS last_page
+  FROM q LEFT JOIN said s ON s.book_id = q.book_id AND s.para_no >= q.at_ AND (q.nxt IS NULL OR s.para_no < q.nxt) AND q.at_ IS DISTINCT FROM q.nxt GROUP BY 1, 2)
+SELECT q.book_id, q.title, q.part, CASE WHEN part IS NOT NULL AND part IS DISTINCT FROM known THEN part || '. ' || title END AS spoken_title, n_sections, words, q.page + 1 AS start_page, last_page, q.at_ AS para_no, words >= 40 AS include
+FROM q JOIN z ON z.book_id = q.book_id AND z.ord = q.ord""")
+def outlined_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books cut by their outlines, with the parts that chapters are of, how they are announced, and sections."""
+    toc, said = _outline(spark, sf_dir, F.concat(F.lit("Head "), F.col("para_no").cast("string")))
+    paras = said.select("book_id", "para_no", "page", "text", F.lit(11.0).alias("size"), F.lit(False).alias("bold"), F.lit(1).alias("n_lines"), F.lit(False).alias("first_on_page"))
+    sizes = paras.groupBy("book_id").agg((F.max("page") + 1).alias("pages")).withColumn("body_size", F.lit(11.0))
+    placed = D.outline_places(D.outline_levels(toc).withColumn("page", F.col("page") - 1), paras, sizes)
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.lit("en").alias("lang"))
+    told = D.chapters(D.detect(paras, sizes, placed), paras, langs).where("method = 'outline' and title != 'Opening pages'")
+    return told.select("book_id", "title", "part", "spoken_title", F.size("sections").cast("long").alias("n_sections"), F.col("words").cast("long").alias("words"), "start_page", "last_page", "para_no", "include")
+
+
 @query(f"""WITH {PARAGRAPHS_SQL},
 k AS (SELECT book_id, para_no, trim(text) AS title, regexp_replace(lower(text), '[^0-9a-z㐀-鿿]+', '', 'g') AS key FROM paragraphs WHERE text <> ''),
 t AS (SELECT DISTINCT book_id, title AS missing, key AS a FROM k WHERE para_no % 2 = 0), f AS (SELECT DISTINCT book_id, key AS b FROM k WHERE para_no % 2 = 1)

@@ -188,16 +188,93 @@ def chapter_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_HEADED},
-p AS (SELECT *, is_part AND words < 60 AS lone FROM e),
+l AS (SELECT *, is_part AND words < 60 AS lone FROM e),
+p AS (SELECT *, CASE WHEN lag(lone) OVER w THEN 'Head ' || lag(letter) OVER w END AS page FROM l WINDOW w AS (PARTITION BY book_id ORDER BY at_)),
 c AS (SELECT *, last_value(CASE WHEN lone THEN 'Head ' || letter END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM p),
 k AS (SELECT * FROM c WHERE NOT lone),
 b AS (SELECT *, last_value(part IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM k)
-SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY at_) AS chapter_no, 'Head ' || letter AS title, part, CASE WHEN part IS NOT NULL AND part IS DISTINCT FROM known THEN part || '. Head ' || letter END AS spoken_title FROM b""")
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY at_) AS chapter_no, 'Head ' || letter AS title, part, coalesce(page, CASE WHEN part IS NOT NULL AND part IS DISTINCT FROM known THEN part END) || '. Head ' || letter AS spoken_title FROM b""")
 def announced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part's page without text goes on to the chapters that follow, the first of which announces it."""
+    """A part's page without text goes on to the chapters that follow, the first of which announces it, also if the part before had the same name."""
     return D.with_parts(D.chapter_extents(*_headed(spark, sf_dir))).select("book_id", "chapter_no", "title", "part", "spoken_title")
 
 
+_TYPE = f"""{PARAGRAPHS_SQL},
+laid AS (SELECT book_id, para_no, (para_no - 1) // 5 AS page, text, CASE WHEN length(text) < 12 THEN 26.0 WHEN length(text) < 30 THEN 20.4 WHEN length(text) < 60 THEN 16.0 ELSE 11.0 END AS size FROM paragraphs WHERE trim(text) <> ''),
+n AS (SELECT book_id, max(page) + 1 AS pages FROM laid GROUP BY book_id),
+m AS (SELECT *, round(size) AS tier FROM laid WHERE size >= 14.3 AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) BETWEEN 1 AND 14 AND regexp_matches(text, '\\p{{L}}')),
+t AS (SELECT DISTINCT book_id, tier AS at_ FROM m),
+e AS (SELECT m.*, at_, CASE WHEN para_no = lag(para_no) OVER w + 1 AND page = lag(page) OVER w THEN 0 ELSE 1 END AS new FROM m JOIN t ON m.book_id = t.book_id AND tier >= at_ WINDOW w AS (PARTITION BY m.book_id, at_ ORDER BY para_no)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY book_id, at_ ORDER BY para_no) AS run FROM e),
+c AS (SELECT r.book_id, at_, count(DISTINCT run) AS heads, count(DISTINCT run) > greatest(3.0, any_value(pages) / 2.5) AS many FROM r JOIN n ON n.book_id = r.book_id GROUP BY r.book_id, at_),
+b AS (SELECT book_id, min(at_) AS at_ FROM (SELECT *, bool_or(many) OVER (PARTITION BY book_id ORDER BY at_ DESC) AS stop FROM c) WHERE NOT stop AND heads >= 2 GROUP BY book_id)"""
+
+
+@query(f"""WITH {_TYPE} SELECT r.book_id, min(para_no) AS para_no, string_agg(text, ' ' ORDER BY para_no) AS title, max(size) AS size, count(*) AS skip FROM r JOIN b ON r.book_id = b.book_id AND r.at_ = b.at_ GROUP BY r.book_id, run""")
+def large_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of the smallest large type that isn't too frequent; the SQL makes the headings of every tier."""
+    n = F.length("text")
+    paras = paragraphs(spark, sf_dir).where(F.trim("text") != "").select(
+        "book_id", "para_no", F.floor((F.col("para_no") - 1) / 5).cast("long").alias("page"), "text", F.when(n < 12, 26.0).when(n < 30, 20.4).when(n < 60, 16.0).otherwise(11.0).alias("size"), F.lit(1).alias("n_lines")
+    )
+    sizes = paras.groupBy("book_id").agg((F.max("page") + 1).alias("pages")).withColumn("body_size", F.lit(11.0))
+    return D.large_candidates(paras, sizes).select("book_id", "para_no", "title", "size", "skip")
+
+
+_PIECES = f"""w AS (SELECT doc_id AS book_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), 1) AS i FROM documents WHERE text IS NOT NULL),
+g AS (SELECT book_id, (i - 1) // 25 + 1 AS para_no, string_agg(word, ' ' ORDER BY i) AS text FROM w GROUP BY 1, 2),
+p AS (SELECT *, (para_no - 1) // 2 + CASE WHEN length(text) % 9 = 0 THEN 1 ELSE 0 END AS page, CASE WHEN length(text) % 4 = 0 THEN 12.0 WHEN length(text) % 4 = 1 THEN 11.4 ELSE 11.0 END AS size, lag(text) OVER (PARTITION BY book_id ORDER BY para_no) AS before FROM g)"""
+_TERMINAL_SQL = T.TERMINAL.replace("'", "''")
+
+
+@query(f"""WITH RECURSIVE {_PIECES},
+l AS (SELECT *, coalesce(regexp_matches(text, '^\\p{{Ll}}') AND NOT regexp_matches(before, '{_TERMINAL_SQL}'), false) AS linked FROM p),
+h AS (SELECT book_id, para_no, para_no AS head, page AS head_page, size AS head_size FROM l WHERE para_no = 1 UNION ALL
+  SELECT book_id, para_no, CASE WHEN m THEN head ELSE para_no END, CASE WHEN m THEN head_page ELSE page END, CASE WHEN m THEN head_size ELSE size END
+  FROM (SELECT l.book_id, l.para_no, l.page, l.size, head, head_page, head_size, linked AND l.page - head_page BETWEEN 0 AND 2 AND abs(l.size - head_size) < 1 AS m FROM h JOIN l ON l.book_id = h.book_id AND l.para_no = h.para_no + 1))
+SELECT h.book_id, head AS para_no, any_value(head_page) AS page, count(*) AS n_lines, string_agg(text, ' ' ORDER BY h.para_no) AS text, count(*) FILTER (page <> head_page) AS n_breaks, any_value(head_size) AS size
+FROM (SELECT h.*, l.page, l.text FROM h JOIN l ON h.book_id = l.book_id AND h.para_no = l.para_no) h GROUP BY h.book_id, head""")
+def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 25 words of every document, put together again where they go on; the SQL goes from one to the next."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 25).cast("int")), lambda k: F.array_join(F.slice(words, k * 25 + 1, 25), " "))
+    said = table(spark, sf_dir, "documents").where(F.size(words) > 0).select(F.col("doc_id").alias("book_id"), F.posexplode(pieces).alias("k", "text"))
+    n = F.length("text")
+    page = F.floor(F.col("k") / 2) + F.when(n % 9 == 0, 1).otherwise(0)
+    paras = said.select("book_id", (F.col("k") + 1).cast("long").alias("para_no"), page.alias("page"), "text", F.when(n % 4 == 0, 12.0).when(n % 4 == 1, 11.4).otherwise(11.0).alias("size"), F.lit(False).alias("bold"), F.lit(1).alias("n_lines"), F.lit(False).alias("first_on_page"))
+    return D.merged_across_pages(paras).select("book_id", "para_no", "page", F.col("n_lines").cast("long").alias("n_lines"), "text", F.size("breaks").cast("long").alias("n_breaks"), "size")
+
+
+_PRINT = f"""{PARAGRAPHS_SQL},
+o AS (SELECT book_id, para_no AS line_no, (para_no - 1) // 12 AS page, (para_no - 1) % 12 AS row, text, length(text) AS n FROM paragraphs WHERE trim(text) <> ''),
+lines AS (SELECT book_id, line_no, page, row // 6 AS block, 50.0 + CASE WHEN n % 5 = 0 THEN 20 ELSE 0 END + CASE WHEN n % 6 = 1 THEN 200 ELSE 0 END AS x0,
+  row * 12.0 - CASE WHEN n % 6 = 1 THEN 12 ELSE 0 END + CASE WHEN n % 7 = 0 THEN 6 ELSE 0 END AS y0, text || CASE WHEN n % 8 = 2 THEN ' end-' ELSE '' END AS text, CASE WHEN n % 11 = 0 THEN 16.0 ELSE 11.0 END AS size, n % 3 = 0 AS bold FROM o),
+s AS (SELECT *, y0 + 10 AS y1, CASE WHEN abs(y0 - lag(y0) OVER w) < 2 AND x0 > lag(x0) OVER w THEN 0 ELSE 1 END AS new FROM lines WINDOW w AS (PARTITION BY book_id, page, block ORDER BY round(y0), x0, line_no)),
+f AS (SELECT *, sum(new) OVER (PARTITION BY book_id, page, block ORDER BY round(y0), x0, line_no) AS l FROM s),
+whole AS (SELECT book_id, page, block, l, min(x0) AS x0, arg_min(y0, x0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, line_no) AS text, max(size) AS size, bool_and(bold) AS bold FROM f GROUP BY 1, 2, 3, 4),
+d AS (SELECT *, median(x0) OVER (PARTITION BY book_id, page, block) AS left_ FROM whole),
+c AS (SELECT *, CASE WHEN abs(size - lag(size) OVER v) > greatest(1.0, 0.15 * 11) OR y0 - lag(y1) OVER v > 1.1 * size
+  OR (x0 - left_ > greatest(6.0, 0.8 * size) AND regexp_matches(lag(text) OVER v, '{_TERMINAL_SQL}')) OR lag(l) OVER v IS NULL THEN 1 ELSE 0 END AS cut FROM d WINDOW v AS (PARTITION BY book_id, page, block ORDER BY l)),
+q AS (SELECT *, sum(cut) OVER (PARTITION BY book_id, page, block ORDER BY l) AS p FROM c),
+a AS (SELECT book_id, page, block, p, max(size) AS size, bool_and(bold) AS bold, count(*) AS n_lines, list(text ORDER BY l) AS ts FROM q GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {_PRINT}
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY page, block, p) AS para_no, page, size, bold, n_lines, row_number() OVER (PARTITION BY book_id, page ORDER BY block, p) = 1 AS first_on_page,
+  list_reduce(ts, lambda a, b: CASE WHEN a LIKE '%-' AND a NOT LIKE '%--' AND regexp_matches(b, '^\\p{{Ll}}') THEN substr(a, 1, length(a) - 1) || b
+    WHEN a LIKE '%-' AND a NOT LIKE '%--' AND regexp_matches(b, '^\\p{{Lu}}') THEN a || b ELSE a || ' ' || b END) AS text FROM a""")
+def printed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of blocks to paragraphs: fragments side by side, sizes, gaps and indents, words cut at lines' ends."""
+    n, row = F.length("text"), (F.col("para_no") - 1) % 12
+    beside = F.when(n % 6 == 1, 1).otherwise(0)
+    lines = paragraphs(spark, sf_dir).where(F.trim("text") != "").select(
+        "book_id", F.col("para_no").alias("line_no"), F.floor((F.col("para_no") - 1) / 12).cast("long").alias("page"), F.floor(row / 6).cast("long").alias("block"), (50.0 + F.when(n % 5 == 0, 20).otherwise(0) + beside * 200).alias("x0"),
+        (row * 12.0 - beside * 12 + F.when(n % 7 == 0, 6).otherwise(0)).alias("y0"), F.concat("text", F.when(n % 8 == 2, " end-").otherwise("")).alias("text"), F.when(n % 11 == 0, 16.0).otherwise(11.0).alias("size"), (n % 3 == 0).alias("bold"),
+    ).withColumn("y1", F.col("y0") + 10)
+    sizes = lines.select("book_id").distinct().withColumn("body_size", F.lit(11.0))
+    return D.paragraphs(lines, sizes).select("book_id", "para_no", "page", "size", "bold", F.col("n_lines").cast("long").alias("n_lines"), "first_on_page", "text")
+
+
 @query()
 def imported_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S05."""
