@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import listening as L
-from ..operators.sequences import user_aggregate
+from ..operators.sequences import Aggregate, aggregated, user_aggregate
 from .model import TICKS_SQL, table, ticks
 from .registry import query
 
@@ -309,3 +310,18 @@ def usual_by_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a user's aggregate function."""
     median = user_aggregate(lambda v: float(v.median()))
     return _days(spark, sf_dir).where("listen >= 60").groupBy("account").agg(median(F.col("listen")).alias("usual"))
+
+
+#: How many values, the sum of their logarithms, and the greatest.
+_GEOMETRIC = Aggregate(
+    "n long, logs double, most double", (0, 0.0, 0.0), lambda b, v: (b[0] + len(v), b[1] + float(np.log(v).sum()), max(b[2], float(v.max()))), lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])),
+    lambda b: {"n": b[0], "mean": float(np.exp(b[1] / b[0])), "most": b[2]}, "struct<n:bigint,mean:double,most:double>",
+)
+
+
+@query(f"""WITH {DAYS_SQL} SELECT account > 20 AS many, count(*) AS n, round(exp(avg(ln(listen))), 6) AS mean, max(listen) AS most FROM days WHERE listen >= 60 GROUP BY 1""")
+def geometric_by_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a user's aggregate of partial results, of two groups one of which has most of the rows."""
+    days = _days(spark, sf_dir).where("listen >= 60").withColumn("many", F.col("account") > 20)
+    found = aggregated(days, ["many"], F.col("listen"), _GEOMETRIC)
+    return found.select("many", "value.n", F.round("value.mean", 6).alias("mean"), "value.most")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sequences import throttled
 from ..sources.shared import folder
 from ..streaming import listening as S
 from .model import TICKS_SQL, ticks
-from .registry import query
+from .registry import ORACLES, query
 
 
 def _arrive(spark: SparkSession, rows: DataFrame, at: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -88,3 +89,48 @@ def stream_realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = ticks(spark, sf_dir).select(F.col("device").cast("string").alias("engine"), "ts", "event_id", (F.col("seconds") / 16 - 1).alias("factor"))
     found = _arrive(spark, said, at, lambda stream: S.run_to_table(S.realtime_factor(stream), f"{at}/out", f"{at}/state", "update"))
     return found.groupBy("engine").agg(F.round(F.max_by("factor", "version"), 6).alias("factor")).where("factor is not null")
+
+
+_SIX = 6 * 3600 * 1_000_000
+
+
+@query(f"""WITH RECURSIVE {TICKS_SQL},
+e AS (SELECT device, event_id, epoch_us(ts) AS at_, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) AS i FROM ticks),
+s AS (SELECT device, event_id, at_, i, at_ AS last_, true AS due FROM e WHERE i = 1 UNION ALL
+  SELECT e.device, e.event_id, e.at_, e.i, CASE WHEN e.at_ - last_ >= {_SIX} THEN e.at_ ELSE last_ END, e.at_ - last_ >= {_SIX} FROM s JOIN e ON e.device = s.device AND e.i = s.i + 1)
+SELECT device, event_id FROM s WHERE due""")
+def stream_throttled_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each device, and then the next that is six hours or more after the last that went through."""
+    at = folder(spark, "exactly")
+    said = ticks(spark, sf_dir).select("device", "event_id", "ts")
+    return _arrive(spark, said, at, lambda stream: S.run_to_table(S.throttled_exactly(stream, "device", 6 * 3600), f"{at}/out", f"{at}/state", "append"))
+
+
+@query(ORACLES["stream_throttled_exactly"])
+def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a table, in one pass over sorted events."""
+    return throttled(ticks(spark, sf_dir).select("device", "event_id", "ts"), ["device"], "ts", ["event_id"], 6 * 3600).select("device", "event_id")
+
+
+def _server(device: int, at: int, doc: int) -> bool:
+    """A server that is down in every third hour of each device's own."""
+    return (at // 3_600_000_000 + device) % 3 != 0
+
+
+@query(f"""WITH RECURSIVE {TICKS_SQL},
+e AS (SELECT device, event_id, epoch_us(ts) AS at_, kind IN ('click', 'purchase') AS changed, kind = 'error' AS forced, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) AS i FROM ticks),
+w AS (SELECT max(at_) // 1000 * 1000 - 60000000 AS mark FROM e),
+s AS (
+  SELECT DISTINCT device, CAST(0 AS BIGINT) AS i, false AS pending, CAST(-{_SIX} AS BIGINT) AS last_, CAST(-1 AS BIGINT) AS doc, false AS sent, false AS ok FROM e
+  UNION ALL
+  SELECT device, CASE WHEN timer THEN i ELSE i + 1 END, CASE WHEN send THEN NOT ok_ ELSE wants END, CASE WHEN send THEN now_ ELSE last_ END, doc_, send, ok_
+  FROM (SELECT *, (now_ // 3600000000 + device) % 3 <> 0 AS ok_, timer OR (wants AND (forced OR now_ - last_ >= {_SIX})) AS send FROM (
+    SELECT s.device, s.i, s.last_, e.forced, s.pending AND s.last_ + {_SIX} < coalesce(e.at_, 9000000000000000000) AS timer, CASE WHEN timer THEN s.last_ + {_SIX} ELSE e.at_ END AS now_,
+      CASE WHEN timer THEN s.doc WHEN e.changed THEN e.event_id ELSE s.doc END AS doc_, s.pending OR (NOT timer AND e.changed) AS wants
+    FROM s LEFT JOIN e ON e.device = s.device AND e.i = s.i + 1, w WHERE e.i IS NOT NULL OR (s.pending AND s.last_ + {_SIX} <= mark))))
+SELECT device, last_ AS at, doc, ok FROM s WHERE sent""")
+def stream_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are put at most once in six hours unless forced, again where the server said no, and by a timer where no more is heard."""
+    at = folder(spark, "synced")
+    said = ticks(spark, sf_dir).select("device", "ts", "event_id", F.col("kind").isin("click", "purchase").alias("changed"), (F.col("kind") == "error").alias("forced"))
+    return _arrive(spark, said, at, lambda stream: S.run_to_table(S.synced(stream, _server, every=6 * 3600), f"{at}/out", f"{at}/state", "append"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import delete, names
+
 LONGEST, FINISHED, KEEP = 30.0, 0.98, 0.9
 
 
@@ -41,6 +43,65 @@ def throttled(events: DataFrame, by: Sequence[str], every: str = "2 seconds", de
     return events.withWatermark("ts", delay).groupBy(*by, F.window("ts", every)).agg(F.min("ts").alias("ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select(*by, "ts", "event_id")
 
 
+def throttled_exactly(events: DataFrame, by: str, every: float) -> DataFrame:
+    """The events that a leading-edge throttle lets through, which no windows' edges cut: state is when the last of a key went through. ``events`` has ``by`` (long), ts, event_id."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for e, at in zip(rows["event_id"], rows["at"]):
+            if last is None or at - last >= every * 1_000_000:
+                out.append((key[0], e))
+                last = int(at)
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[by, "event_id"])
+
+    slim = events.select(by, F.unix_micros("ts").alias("at"), "event_id")
+    return slim.groupBy(by).applyInPandasWithState(run, f"{by} long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def synced(changes: DataFrame, put: Callable[[int, int, int], bool], every: float = 60.0, delay: str = "1 minute") -> DataFrame:
+    """What a device's changes send to the server: device, at (microseconds), doc (the change that its document is as of), ok.
+
+    ``changes`` has device, ts, event_id, changed, forced: every row is a moment at which a device may send, and
+    some change its document or must be sent at once. A document that isn't sent yet goes whole, at most
+    once in ``every`` seconds unless forced; where ``put(device, at, doc)`` says no it is still to be sent. If
+    nothing more is heard of a device, a timer sends at the end of the time: state is whether anything is to be
+    sent, when the last was, and the document. Whole documents are replaced, so one that is sent twice does no harm.
+    """
+    wait = round(every * 1_000_000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, last, doc = state.get if state.exists else (False, -wait, -1)
+        out: list[tuple] = []
+
+        def send(at: int) -> None:
+            nonlocal pending, last
+            last, pending = at, not put(key[0], at, doc)
+            out.append((key[0], at, doc, not pending))
+
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+            for at, event, changed, forced in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["changed"], rows["forced"]):
+                while pending and last + wait < at:
+                    send(last + wait)
+                if changed:
+                    pending, doc = True, event
+                if pending and (forced or at - last >= wait):
+                    send(at)
+        now = state.getCurrentWatermarkMs() * 1000
+        while pending and last + wait <= now:
+            send(last + wait)
+        state.update((pending, last, doc))
+        if pending:
+            state.setTimeoutTimestamp(-(-(last + wait) // 1000))
+        yield pd.DataFrame(out, columns=["device", "at", "doc", "ok"])
+
+    slim = changes.withWatermark("ts", delay).select("device", "ts", F.unix_micros("ts").alias("at"), "event_id", "changed", "forced")
+    return slim.groupBy("device").applyInPandasWithState(run, "device long, at long, doc long, ok boolean", "pending boolean, last long, doc long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def listened(ticks: DataFrame) -> DataFrame:
     """Seconds listened at each tick. ``ticks`` has device, event_id, ts, media_time, rate, reset; state is the last media time."""
 
@@ -114,38 +175,50 @@ def latest_by_key(batch: DataFrame, key: Sequence[str], order: Sequence[str]) ->
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert_sink(path: str, key: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: versions of a table under ``path``, each with the rows of the one before replaced by key.
+def upsert_sink(path: str, key: Sequence[str], order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a table below ``path`` whose rows are replaced by key.
 
-    A batch writes the version of its number from the greatest version below it, so running it again
-    writes the same version again.
+    Rows lie in buckets by their key. A batch writes the buckets of its own keys anew, as its version, each
+    from its greatest version below the batch's number; so its cost goes with what changes, and running it again writes the
+    same again. Of a bucket the versions before the last two are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # as many as there are buckets at most
+        held = versions(spark, path)
+        below = {b: [v for v in held.get(b, []) if v < number] for b in touched}
+        old = [f"{path}/version={found[-1]}/bucket={b}" for b, found in below.items() if found]
         now = latest_by_key(batch, key, order)
-        old = read_version(spark, path, number - 1)
-        if old is not None:
-            now = latest_by_key(old.unionByName(now), key, order)
-        now.write.mode("overwrite").parquet(f"{path}/version={number}")
+        if old:
+            now = latest_by_key(spark.read.schema(batch.schema).parquet(*old).unionByName(now), key, order)
+        now.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        for b, found in below.items():
+            for v in found[:-1]:
+                delete(spark, f"{path}/version={v}/bucket={b}")
 
     return write
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    if not fs.exists(at):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    return sorted(int(n.removeprefix(prefix)) for n in names(spark, path) if n.startswith(prefix))
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of every bucket of a table."""
+    found: dict[int, list[int]] = {}
+    for v in _numbers(spark, path, "version="):
+        for b in _numbers(spark, f"{path}/version={v}", "bucket="):
+            found.setdefault(b, []).append(v)
+    return found
 
 
 def read_version(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
-    """The greatest version of a table, or the greatest up to a number."""
-    found = [v for v in versions(spark, path) if upto is None or v <= upto]
-    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+    """A table as of its last batch, or of one not more than one change before: of each bucket the greatest version."""
+    latest = {b: [v for v in found if upto is None or v <= upto] for b, found in versions(spark, path).items()}
+    paths = [f"{path}/version={found[-1]}/bucket={b}" for b, found in latest.items() if found]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def work_queue(events: DataFrame) -> DataFrame:
@@ -171,7 +244,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str) -> Da
         batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     finished(stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    found = versions(spark, path)
+    found = _numbers(spark, path, "version=")
     if not found:
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
