@@ -87,11 +87,8 @@ def is_scene_break(c: Column | str) -> Column:
 
 
 def _share(text: Column, ranges: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{ranges}]", ""))
-
-
-def _stops(words: Column, stops: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*stops.split())))
+    """Characters of some scripts."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{ranges}]+", ""))
 
 
 def _once(value: Column, then) -> Column:
@@ -125,28 +122,25 @@ def _voted(n: Column, votes: list[Column]) -> Column:
     return F.when(n == 0, "other").otherwise(_once(F.array_max(F.array(*each)), lambda best: F.when(best["n"] > 0, best["lang"]).otherwise("en")))
 
 
-def _sample_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
+#: Letters of the words that are looked at.
+_LETTERS = "a-zà-ÿ"
 
 
 def detect_language(c: Column | str, sample: int = 300_000) -> Column:
-    """By script, else by stop words, of one text."""
+    """By script, else by stop words, of one text; all are counted in place, and no word becomes a row."""
     text = F.substring(_s(c), 1, sample)
-    voted = _once(_sample_words(text), lambda ws: _voted(F.size(ws), [_stops(ws, stops) for stops in STOP_WORDS.values()]))
+
+    def counts(said: Column) -> Column:
+        whole = {lang: f"(?<![{_LETTERS}])(?:{'|'.join(stops.split())})(?![{_LETTERS}])" for lang, stops in STOP_WORDS.items()}
+        return F.struct(F.regexp_count(said, F.lit(f"[{_LETTERS}]+")).alias("n"), *[F.regexp_count(said, F.lit(p)).alias(lang) for lang, p in whole.items()])
+
+    voted = _once(_once(F.lower(text), counts), lambda s: _voted(s["n"], [s[lang] for lang in STOP_WORDS]))
     return F.coalesce(_scripts(text), voted)
 
 
 def detect_languages(docs: DataFrame, keep: list[str], text: str, sample: int = 300_000) -> DataFrame:
-    """T09 for tables: ``keep`` and detected, of every row. Words are looked up by one hash join with the fixed list of stop words."""
-    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample)
-    numbered = docs.select(*keep, F.monotonically_increasing_id().alias("_at"), _scripts(head).alias("_script"), _sample_words(head).alias("_words"))
-    rows = numbered.select(*keep, "_at", "_script", F.explode_outer("_words").alias("_word"))
-    lists = {lang: set(stops.split()) for lang, stops in STOP_WORDS.items()}
-    listed = [(w, *[int(w in ws) for ws in lists.values()]) for w in sorted(set().union(*lists.values()))]
-    stops = docs.sparkSession.createDataFrame(listed, "_stop string, " + ", ".join(f"_{lang} int" for lang in lists))
-    votes = [F.coalesce(F.sum(f"_{lang}"), F.lit(0)).alias(f"_{lang}") for lang in lists]
-    counted = rows.join(F.broadcast(stops), F.col("_word") == F.col("_stop"), "left").groupBy(*keep, "_at", "_script").agg(F.count("_word").alias("_n"), *votes)
-    return counted.select(*keep, F.coalesce("_script", _voted(F.col("_n"), [F.col(f"_{lang}") for lang in lists])).alias("detected"))
+    """T09 for tables: ``keep`` and detected, of every row."""
+    return docs.select(*keep, detect_language(F.coalesce(F.col(text), F.lit("")), sample).alias("detected"))
 
 
 def language_name(c: Column | str) -> Column:

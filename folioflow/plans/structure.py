@@ -275,6 +275,44 @@ def printed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.paragraphs(lines, sizes).select("book_id", "para_no", "page", "size", "bold", F.col("n_lines").cast("long").alias("n_lines"), "first_on_page", "text")
 
 
+@query(f"""WITH {_SIZED},
+s AS (SELECT book_id, line_no AS para_no, page, text AS t, size, bold, body_size, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS ws FROM lines JOIN b USING (book_id)),
+l AS (SELECT *, list_filter(ws, lambda w: length(w) > 3) AS long FROM s),
+u AS (SELECT book_id, para_no, page, trim(t) AS sub FROM l WHERE para_no % 4 <> 1 AND len(ws) BETWEEN 1 AND 10 AND NOT regexp_matches(t, '{_OTHER}') AND NOT regexp_matches(t, '{T.CHAPTER}') AND NOT regexp_matches(t, '{T.SPECIAL.replace("'", "''")}') AND NOT regexp_matches(t, '{T.HAN_HEADING}')
+  AND (size >= body_size * 1.08 OR bold OR (t = upper(t) AND regexp_matches(t, '\\p{{Lu}}')) OR (len(long) > 0 AND len(list_filter(long, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= 0.6 * len(long))))
+SELECT l.book_id, l.para_no, CASE WHEN sub IS NULL THEN trim(t) ELSE regexp_replace(trim(t), '[ .:]+$', '') || CASE WHEN regexp_matches(t, '[㐀-鿿]') THEN ' ' ELSE ': ' END || sub END AS title, CASE WHEN sub IS NULL THEN 1 ELSE 2 END AS skip
+FROM l LEFT JOIN u ON u.book_id = l.book_id AND u.para_no = l.para_no + 1 AND u.page = l.page WHERE l.para_no % 4 = 1""")
+def titled_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line after a heading joins its title if it looks like a subtitle; every fourth line is a heading here."""
+    paras = _paras(spark, sf_dir)
+    heads = paras.where("para_no % 4 = 1").select("book_id", "para_no", "page", F.trim("text").alias("title"))
+    return D.with_subtitles(heads, paras, D.body_size(_lines(spark, sf_dir))).select("book_id", "para_no", "title", F.col("skip").cast("long").alias("skip"))
+
+
+_CAPS = f"""{PARAGRAPHS_SQL},
+t AS (SELECT book_id, para_no, text, length(text) % 3 AS k FROM paragraphs WHERE regexp_matches(text, '^[A-Z][a-z][a-z]')),
+r AS (SELECT book_id, 2 * para_no - 1 AS no, substr(text, 1, 1) AS text FROM t WHERE k = 0 UNION ALL
+  SELECT book_id, 2 * para_no, CASE k WHEN 0 THEN substr(text, 2) WHEN 1 THEN substr(text, 1, 1) || ' ' || substr(text, 2) ELSE text END FROM t),
+v AS (SELECT book_id, word, count(*) AS n FROM (SELECT book_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ’'']+')) AS word FROM r) GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN k = 0 THEN lower(regexp_extract(substr(text, 2), '^[A-Za-zÀ-ÿ’'']+')) ELSE regexp_extract(substr(text, 2), '^[a-z’'']+') END AS piece FROM t),
+n AS (SELECT f.*, coalesce(a.n, 0) AS np, coalesce(b.n, 0) AS nj FROM f LEFT JOIN v a ON a.book_id = f.book_id AND a.word = piece LEFT JOIN v b ON b.book_id = f.book_id AND b.word = lower(substr(text, 1, 1)) || piece)"""
+
+
+@query(f"""WITH {_CAPS} SELECT book_id, 2 * para_no AS para_no, k = 0 AS first_on_page, CASE WHEN k = 0 THEN substr(text, 1, 1) || CASE WHEN nj >= np THEN '' ELSE ' ' END || substr(text, 2)
+  WHEN k = 1 AND nj <= 2 * np THEN substr(text, 1, 1) || ' ' || substr(text, 2) ELSE text END AS text FROM n""")
+def drop_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Big first letters that stand alone or apart go to their words, if the book knows these better; lines are taken apart for it."""
+    said = paragraphs(spark, sf_dir).where(F.col("text").rlike("^[A-Z][a-z][a-z]")).withColumn("k", F.length("text") % 3)
+    one, rest, k = F.substring("text", 1, 1), F.expr("substring(text, 2)"), F.col("k")
+    parts = F.array(
+        F.struct((2 * F.col("para_no") - 1).alias("para_no"), F.when(k == 0, one).alias("text"), F.lit(30.0).alias("size"), F.lit(True).alias("first_on_page")),
+        F.struct((2 * F.col("para_no")).alias("para_no"), F.when(k == 0, rest).when(k == 1, F.concat(one, F.lit(" "), rest)).otherwise(F.col("text")).alias("text"), F.lit(11.0).alias("size"), F.lit(False).alias("first_on_page")),
+    )
+    paras = said.select("book_id", F.col("para_no").alias("page"), F.inline(parts)).where("text is not null").select("book_id", "para_no", "page", "text", "size", F.lit(False).alias("bold"), F.lit(1).alias("n_lines"), "first_on_page")
+    sizes = paras.select("book_id").distinct().withColumn("body_size", F.lit(11.0))
+    return D.drop_caps(paras, sizes).select("book_id", "para_no", "first_on_page", "text")
+
+
 @query()
 def imported_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S05."""
