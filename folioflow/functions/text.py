@@ -30,6 +30,7 @@ WIDE_BLANKS = "   "
 # Character ranges and patterns of headings.
 CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ"
 HAN = "㐀-鿿"
+ARABIC, CYRILLIC, LATIN, HINDI = "؀-ۿݐ-ݿ", "Ѐ-ӿ", "A-Za-zÀ-ɏ", "ऀ-ॿ"
 _NUMBER_NAMES = (
     "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
     "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|last|final"
@@ -99,8 +100,8 @@ def _once(value: Column, then) -> Column:
 def _scripts(text: Column) -> Column:
     """The language that a text's script alone tells, or null."""
     shares = F.struct(
-        _share(text, CJK).alias("cjk"), _share(text, "぀-ヿ").alias("kana"), _share(text, "؀-ۿݐ-ݿ").alias("arabic"),
-        _share(text, "Ѐ-ӿ").alias("cyrillic"), _share(text, "A-Za-zÀ-ɏ").alias("latin"), _share(text, "ऀ-ॿ").alias("hindi"),
+        _share(text, CJK).alias("cjk"), _share(text, "぀-ヿ").alias("kana"), _share(text, ARABIC).alias("arabic"),
+        _share(text, CYRILLIC).alias("cyrillic"), _share(text, LATIN).alias("latin"), _share(text, HINDI).alias("hindi"),
     )
 
     def told(s: Column) -> Column:
@@ -113,7 +114,8 @@ def _scripts(text: Column) -> Column:
             .when(s["cyrillic"] > 0.3 * letters, "ru")
         )
 
-    return _once(shares, told)
+    # Most texts are in Latin letters alone, which one look tells.
+    return F.when(text.rlike(f"[{CJK}{ARABIC}{CYRILLIC}{HINDI}]"), _once(shares, told)).when(~text.rlike(f"[{LATIN}]"), "other")
 
 
 def _voted(n: Column, votes: list[Column]) -> Column:
@@ -130,11 +132,16 @@ def detect_language(c: Column | str, sample: int = 300_000) -> Column:
     """By script, else by stop words, of one text; all are counted in place, and no word becomes a row."""
     text = F.substring(_s(c), 1, sample)
 
+    every = sorted({w for stops in STOP_WORDS.values() for w in stops.split()})
+
     def counts(said: Column) -> Column:
-        whole = {lang: f"(?<![{_LETTERS}])(?:{'|'.join(stops.split())})(?![{_LETTERS}])" for lang, stops in STOP_WORDS.items()}
-        return F.struct(F.regexp_count(said, F.lit(f"[{_LETTERS}]+")).alias("n"), *[F.regexp_count(said, F.lit(p)).alias(lang) for lang, p in whole.items()])
+        """How often each language's stop words occur, and whether there is any word."""
+        known = F.filter(F.split(said, f"[^{_LETTERS}]+"), lambda w: w.isin(*every))
+        among = lambda stops: lambda w: w.isin(*stops.split())
+        votes = lambda ws: F.struct(*[F.size(F.filter(ws, among(stops))).alias(lang) for lang, stops in STOP_WORDS.items()])
+        return F.struct(said.rlike(f"[{_LETTERS}]").cast("int").alias("n"), _once(known, votes).alias("votes"))
 
-    voted = _once(_once(F.lower(text), counts), lambda s: _voted(s["n"], [s[lang] for lang in STOP_WORDS]))
+    voted = _once(_once(F.lower(text), counts), lambda s: _voted(s["n"], [s["votes"][lang] for lang in STOP_WORDS]))
     return F.coalesce(_scripts(text), voted)
 
 

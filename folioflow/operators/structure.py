@@ -264,7 +264,9 @@ def large_candidates(paras: DataFrame, sizes: DataFrame) -> DataFrame:
     tiers give all counts; only the tier that wins is put together.
     """
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    p = paras.join(sizes, "book_id").where((F.col("size") >= F.col("body_size") * BIG) & (F.col("n_lines") <= 3) & words.between(1, 14) & F.col("text").rlike(r"\p{L}")).withColumn("tier", F.round("size"))
+    # Words are counted of what is large alone.
+    named = F.when((F.col("size") >= F.col("body_size") * BIG) & (F.col("n_lines") <= 3), words.between(1, 14) & F.col("text").rlike(r"\p{L}"))
+    p = paras.join(sizes, "book_id").where(named).withColumn("tier", F.round("size"))
     w = _by("para_no")
     p = p.withColumn("_beside", F.coalesce((F.col("para_no") == F.lag("para_no").over(w) + 1) & (F.col("page") == F.lag("page").over(w)), F.lit(False)))
     p = p.withColumn("_pair", F.when(F.col("_beside"), F.least("tier", F.lag("tier").over(w))))
@@ -294,7 +296,9 @@ def without_running_headers(found: DataFrame) -> DataFrame:
 def with_subtitles(found: DataFrame, paras: DataFrame, sizes: DataFrame) -> DataFrame:
     """The paragraph after a heading joins its title if it looks like a subtitle; other ways than headings have none. ``found`` may have skip and method."""
     heads = found if "skip" in found.columns else found.withColumn("skip", F.lit(1).cast("long"))
-    subs = paras.join(sizes, "book_id").where(looks_like_subtitle(F.col("body_size"))).join(heads.select("book_id", "para_no"), ["book_id", "para_no"], "left_anti")
+    after = heads.select("book_id", (F.col("para_no") + F.col("skip")).alias("para_no"))
+    next_ = paras.join(after, ["book_id", "para_no"], "left_semi").join(heads.select("book_id", "para_no"), ["book_id", "para_no"], "left_anti")
+    subs = next_.join(sizes, "book_id").where(looks_like_subtitle(F.col("body_size")))
     subs = subs.select("book_id", F.col("para_no").alias("_at"), F.col("page").alias("_page"), F.trim("text").alias("_sub"))
     joined = heads.withColumn("_at", F.col("para_no") + F.col("skip")).join(subs, ["book_id", "_at"], "left")
     has = F.col("_sub").isNotNull() & (F.col("_page") == F.col("page"))
@@ -309,7 +313,7 @@ BEGINNING = 3000
 
 
 def summed(body: DataFrame, by: list[str]) -> DataFrame:
-    """Paragraphs (para_no, page, text) by ``by``: words, first_page, last_page, n_paras, body (its beginning) and size, that of the paragraphs joined by spaces. Sizes add up, so no chapter's text is put together."""
+    """Paragraphs (para_no, page, text) by ``by``: words, first_page, last_page, n_paras, first_para, body (its beginning) and size, that of the paragraphs joined by spaces. Sizes add up, so no chapter's text is put together."""
     w = Window.partitionBy(*by).orderBy("para_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     told = body.withColumn("_s", S.script_sizes("text"))
@@ -322,7 +326,7 @@ def summed(body: DataFrame, by: list[str]) -> DataFrame:
     )
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_at") < BEGINNING, F.struct("para_no", "text")))), lambda p: p["text"]), " ")
     return told.groupBy(*by).agg(
-        F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_paras"), F.substring(text, 1, BEGINNING).alias("body"), size.alias("size_")
+        F.sum(T.word_count("text")).alias("words"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_paras"), F.min("para_no").alias("first_para"), F.substring(text, 1, BEGINNING).alias("body"), size.alias("size_")
     )
 
 
@@ -343,7 +347,7 @@ def chapter_extents(heads: DataFrame, paras: DataFrame) -> DataFrame:
     order = _headed(heads)
     laid = heads.withColumn("_head", F.when(F.coalesce(F.lead("para_no").over(_by(*order)) != F.col("para_no"), F.lit(True)), F.col("para_no")))
     sums = summed(chapter_bodies(heads, paras.select("book_id", "para_no", "page", "text")), ["book_id", "head"])
-    told = laid.join(sums.withColumnRenamed("head", "_head"), ["book_id", "_head"], "left").drop("_head")
+    told = laid.join(sums.withColumnRenamed("head", "_head").drop("first_para"), ["book_id", "_head"], "left").drop("_head")
     return told.withColumns({"words": F.coalesce("words", F.lit(0)), "n_paras": F.coalesce("n_paras", F.lit(0)), "body": F.coalesce("body", F.lit(""))})
 
 
@@ -377,7 +381,7 @@ def opening_pages(found: DataFrame, paras: DataFrame) -> DataFrame:
     """What stands before a book's first heading, if it is a chapter's worth."""
     first = found.groupBy("book_id").agg(F.min("para_no").alias("_first"), F.min("method").alias("method"))
     front = paras.join(first, "book_id").where("para_no < _first")
-    told = summed(front, ["book_id", "method"]).join(front.groupBy("book_id", "method").agg(F.min("para_no").alias("para_no")), ["book_id", "method"])
+    told = summed(front, ["book_id", "method"]).withColumnRenamed("first_para", "para_no")
     told = told.withColumn("_o", opening(F.col("words"), F.col("body"))).where("_o.kept")
     return told.withColumns({"title": F.lit("Opening pages"), "include": F.col("_o.included"), "page": F.lit(0).cast("long")}).drop("_o")
 
@@ -391,7 +395,7 @@ def timed_sections(paras: DataFrame, langs: DataFrame, limit: float = SECTION_SE
     """Books by time alone: a section closes with the paragraph that reaches the limit. ``langs`` has book_id, lang."""
     timed = _timed(paras, langs, limit)
     title = F.concat(F.lit("Section "), (F.col("bin") + 1).cast("string"))
-    found = summed(timed, ["book_id", "bin"]).join(timed.groupBy("book_id", "bin").agg(F.min("para_no").alias("para_no")), ["book_id", "bin"])
+    found = summed(timed, ["book_id", "bin"]).withColumnRenamed("first_para", "para_no")
     return found.withColumns({"method": F.lit("sections"), "title": title, "spoken_title": title, "page": F.col("first_page").cast("long")}).drop("bin")
 
 

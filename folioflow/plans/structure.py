@@ -90,9 +90,12 @@ def _paras(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def detected_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs to chapters."""
-    paras = _paras(spark, sf_dir)
+    paras = _paras(spark, sf_dir).repartition("book_id")  # before it is looked at, and as all that follows needs it
     sizes = D.body_size(_lines(spark, sf_dir)).join(paras.groupBy("book_id").agg((F.max("page") + 1).alias("pages")), "book_id")
     found = D.with_subtitles(D.detect(paras, sizes), paras, sizes.drop("pages"))
+    at = folder(spark, "headings")  # they are looked at three times
+    found.write.parquet(at)
+    found = spark.read.schema(found.schema).parquet(at)
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.coalesce("lang", F.lit("en")).alias("lang"))
     return D.chapters(found, paras, langs)
 
