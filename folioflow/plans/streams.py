@@ -134,3 +134,30 @@ def stream_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark, "synced")
     said = ticks(spark, sf_dir).select("device", "ts", "event_id", F.col("kind").isin("click", "purchase").alias("changed"), (F.col("kind") == "error").alias("forced"))
     return _arrive(spark, said, at, lambda stream: S.run_to_table(S.synced(stream, _server, every=6 * 3600), f"{at}/out", f"{at}/state", "append"))
+
+
+@query(f"""WITH {TICKS_SQL},
+p AS (SELECT account, book_id, day, max(seconds) AS furthest, max(60 + event_id % 400) AS total, bool_and(kind <> 'error') AS ready FROM ticks GROUP BY 1, 2, 3),
+r AS (SELECT *, max(furthest) OVER w AS f, max(total) OVER w AS t FROM p WINDOW w AS (PARTITION BY account, book_id ORDER BY day ROWS UNBOUNDED PRECEDING))
+SELECT account, book_id, max(furthest) AS furthest, max(total)::DOUBLE AS total, CAST(min(CASE WHEN ready AND t > 0 AND f >= 0.98::DOUBLE * t THEN day END) AS VARCHAR) AS finished_at FROM r GROUP BY account, book_id""")
+def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that only grow, and the day that a book was finished, which stays, over micro-batches."""
+    at = folder(spark, "positions")
+    days = ticks(spark, sf_dir).groupBy("account", "book_id", "day").agg(
+        F.max("seconds").alias("furthest"), F.max(60 + F.col("event_id") % 400).cast("double").alias("total"), F.bool_and(F.col("kind") != "error").alias("ready"), F.min("ts").alias("ts")
+    )
+    found = _arrive(spark, days, at, lambda stream: S.run_to_table(S.positions(stream), f"{at}/out", f"{at}/state", "update"))
+    last = F.max_by(F.struct("furthest", "total", "finished_at"), "version")
+    return found.groupBy("account", "book_id").agg(last.alias("r")).select("account", "book_id", "r.*")
+
+
+@query(f"""WITH {TICKS_SQL},
+s AS (SELECT device, event_id, kind <> 'signup' AS visible,
+  (epoch_us(ts) - lag(CASE WHEN kind <> 'signup' THEN epoch_us(ts) END) OVER (PARTITION BY device ORDER BY ts, event_id)) / 1e6::DOUBLE AS gap FROM ticks)
+SELECT device, event_id, round(CASE WHEN visible THEN least(coalesce(gap, 0), 3600.0) ELSE 0.0 END, 3) AS in_app FROM s""")
+def stream_app_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time in the app between visible ticks, an hour at most, over micro-batches."""
+    at = folder(spark, "app")
+    said = ticks(spark, sf_dir).select("device", "event_id", "ts", (F.col("kind") != "signup").alias("visible"))
+    found = _arrive(spark, said, at, lambda stream: S.run_to_table(S.app_time(stream, 3600.0), f"{at}/out", f"{at}/state", "append"))
+    return found.select("device", "event_id", F.round("in_app", 3).alias("in_app"))
