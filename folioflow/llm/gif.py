@@ -14,7 +14,7 @@ Files are independent, so nothing is shuffled: a batch of files of bounded bytes
 
 Defined cases: null bytes store as null media, empty ones as a file without frames; a null medium gives
 a null, and a medium that is no GIF, ends early, or has an impossible code gives ``reason`` (``not a gif``,
-``truncated``, ``bad code``, ``no palette``) with the frames before it; samples that a code stream lacks
+``truncated``, ``bad code``, ``no palette``, ``too large``) with the frames before it; samples that a code stream lacks
 end the reading, surplus ones are left out; colours beyond the palette are black; a file of any length is
 read in whole; equal bytes give equal files and equal columns; repeated rows are rows of their own;
 an empty table gives an empty result; further columns go unless they are in ``keep``.
@@ -41,6 +41,8 @@ WIDTH, ROWS, DELAY = 192, 128, 10
 FULL = 4096
 #: Two bits of red, green and blue each.
 BINS = 64
+#: Pixels of a screen or frame that is read; what a file claims to be larger can't be held, and isn't made.
+MOST_PIXELS = 1 << 26
 
 # ---- files of samples
 
@@ -268,6 +270,8 @@ class File:
             raise Broken("not a gif")
         self.at = 6
         self.width, self.height, flags, _, _ = struct.unpack("<HHBBB", self.take(7))
+        if self.width * self.height > MOST_PIXELS:
+            raise Broken("too large")
         shared = self.palette(flags)
         disposal, delay, clear, now = 0, 0, None, 0
         while (kind := self.take(1)) != b"\x3b":
@@ -285,6 +289,8 @@ class File:
             colours = own if own is not None else shared
             if colours is None:
                 raise Broken("no palette")
+            if wide * high > MOST_PIXELS:
+                raise Broken("too large")
             least = self.take(1)[0] + 1
             if not 2 <= least <= 9:
                 raise Broken("bad code")

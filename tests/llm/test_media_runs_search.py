@@ -197,6 +197,9 @@ def test_broken_files():
     assert seen[0] and seen[many]  # only the last byte is missing
     no_palette = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x08\x01\0\0\x3b"
     assert gif.opened([no_palette])[0].reason == "no palette"
+    for at in (6, whole.index(b"\x2c", 781) + 5):  # the screen, and the first frame
+        huge = gif.opened([whole[:at] + b"\xff\xff\xff\xff" + whole[at + 4 :]])[0]
+        assert huge.reason == "too large" and not huge.frames
     assert gif.taken_apart([None, b""])[0] is None and gif.taken_apart([None, b""])[1]["reason"] == "not a gif"
 
 
