@@ -119,23 +119,41 @@ def listened(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("device").applyInPandasWithState(run, "device long, event_id long, listened double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Groups that keys of :func:`positions` are held in: few enough that a group is worth a call, many enough that one is small.
+HELD_IN = 512
+
+
 def positions(ticks: DataFrame) -> DataFrame:
     """Per account and book the greatest position and total, and the day it was finished, which never changes again.
 
-    ``ticks`` has account, book_id, day, furthest, total, ready.
+    ``ticks`` has account, book_id, day, furthest, total, ready. Keys are held together by a hash: a call handles all of a
+    group's keys that a batch has, and its state is their columns.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        furthest, total, finished = state.get if state.exists else (0.0, 0.0, None)
-        for r in pd.concat(list(batches)).sort_values("day").itertuples():
-            furthest, total = max(furthest, r.furthest), max(total, r.total)
-            if finished is None and r.ready and total > 0 and furthest >= FINISHED * total:
-                finished = str(r.day)
-        state.update((furthest, total, finished))
-        yield pd.DataFrame([(*key, furthest, total, finished)], columns=["account", "book_id", "furthest", "total", "finished_at"])
-
-    kind = "furthest double, total double, finished_at string"
-    return ticks.groupBy("account", "book_id").applyInPandasWithState(run, f"account long, book_id long, {kind}", kind, "update", GroupStateTimeout.NoTimeout)
+    key = ["_account", "_book", "_no_account", "_no_book"]
+    values = ["furthest", "total", "finished_at"]
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip([*key, *values], state.get if state.exists else [[] for _ in range(7)])))
+        new = pd.concat(list(batches)).sort_values("day", kind="stable")
+        rows = pd.concat([held.assign(ready=False, day=None, _new=False), new.assign(finished_at=None, _new=True)] if len(held) else [new.assign(finished_at=None, _new=True)], ignore_index=True)
+        rows[["furthest", "total"]] = rows[["furthest", "total"]].astype(float).fillna(0.0).clip(lower=0.0)
+        keys = rows.groupby(key, sort=False)
+        rows["furthest"], rows["total"] = keys["furthest"].cummax(), keys["total"].cummax()
+        done = (rows["ready"] == True) & (rows["total"] > 0) & (rows["furthest"] >= FINISHED * rows["total"])  # noqa: E712
+        rows.loc[done, "finished_at"] = rows.loc[done, "day"].map(str)
+        # The first day that is known stays; "first" and "last" pass over nulls.
+        last = rows.groupby(key, sort=False).agg(furthest=("furthest", "last"), total=("total", "last"), finished_at=("finished_at", "first"), changed=("_new", "last")).reset_index()
+        last["finished_at"] = last["finished_at"].astype(object).where(last["finished_at"].notna(), None)
+        state.update(tuple(last[c].tolist() for c in [*key, *values]))
+        yield last.loc[last["changed"], [*key, *values]]
+
+    whole = ticks.select(
+        F.coalesce("account", F.lit(0)).cast("long").alias("_account"), F.coalesce("book_id", F.lit(0)).cast("long").alias("_book"), F.isnull("account").alias("_no_account"), F.isnull("book_id").alias("_no_book"),
+        "day", "furthest", "total", "ready", F.pmod(F.xxhash64("account", "book_id"), F.lit(HELD_IN)).alias("_held"),
+    )
+    row = "_account long, _book long, _no_account boolean, _no_book boolean, furthest double, total double, finished_at string"
+    told = whole.groupBy("_held").applyInPandasWithState(run, row, "_account array<long>, _book array<long>, _no_account array<boolean>, _no_book array<boolean>, furthest array<double>, total array<double>, finished_at array<string>", "update", GroupStateTimeout.NoTimeout)
+    return told.select(F.when(~F.col("_no_account"), F.col("_account")).alias("account"), F.when(~F.col("_no_book"), F.col("_book")).alias("book_id"), *values)
 
 
 def realtime_factor(samples: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Queries on small tables that the given ones don't hold: odd texts, large clips."""
 
+import datetime
+import random
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import signals as A
 from folioflow.plans import ORACLES, QUERIES
+from folioflow.streaming import listening as R
 
 from .conftest import rows_of
 
@@ -52,3 +56,25 @@ def test_lines_that_begin_as_titles_do(spark, tmp_path):
     last = ["par", "Head", "hea", "Part 1", "para", "x"]
     rows = [(k, "\n".join(["one two three four"] * n + [t]), "fr", "s") for k, (n, t) in enumerate((n, t) for n in range(8, 29) for t in last)]
     assert _agrees(spark, tmp_path, "outlined_books", documents=(rows, DOCS))
+
+
+def test_positions_are_held_by_groups_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "HELD_IN", 3)
+    kind = "account long, book_id long, day date, furthest double, total double, ready boolean"
+    day = lambda d: datetime.date(2024, 1, d)
+    rnd = random.Random(5)
+    big = 2**53 + 1
+    rows = [(rnd.choice([1, 2, big, big + 1, None]), rnd.choice([7, 8, None]), day(d), float(rnd.randrange(100)), float(rnd.randrange(80, 110)), rnd.random() < 0.7) for d in range(1, 29) for _ in range(6)]
+    rows = list({r[:3]: r for r in rows}.values())
+    for k in range(4):
+        spark.createDataFrame([r for r in rows if (r[2].day - 1) // 7 == k], kind).withColumn("ts", F.col("day").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        found = R.run_to_table(R.positions(R.read_ticks(spark, f"{tmp_path}/in", f"{kind}, ts timestamp")), f"{tmp_path}/out", f"{tmp_path}/state", "update")
+    plain = {}
+    for a, b, d, f, t, ready in sorted(rows, key=lambda r: r[2]):
+        furthest, total, done = plain.get((a, b), (0.0, 0.0, None))
+        furthest, total = max(furthest, f), max(total, t)
+        plain[a, b] = (furthest, total, done or (str(d) if ready and furthest >= R.FINISHED * total else None))
+    last = {}
+    for r in sorted(found.collect(), key=lambda r: r.version):
+        last[r.account, r.book_id] = (r.furthest, r.total, r.finished_at)
+    assert last == plain and any(v[2] for v in plain.values())
