@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import signals as A
 from folioflow.plans import ORACLES, QUERIES
+from folioflow.plans import pdf as Q
 from folioflow.streaming import listening as R
 
 from .conftest import rows_of
@@ -78,3 +79,12 @@ def test_positions_are_held_by_groups_of_keys(spark, tmp_path, monkeypatch):
     for r in sorted(found.collect(), key=lambda r: r.version):
         last[r.account, r.book_id] = (r.furthest, r.total, r.finished_at)
     assert last == plain and any(v[2] for v in plain.values())
+
+
+def test_files_in_a_table_are_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "folder", lambda spark, label: f"{tmp_path}/{label}")
+    rows = [(k, f"Heading {k}\n\nA line of print that is longer than a heading.", "en", "s") for k in range(40)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    told = QUERIES["pdf_books"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.pages, r.n_entries) for r in told) == [(k, 1, 1) for k in range(40)]
+    assert len(list((tmp_path / "pdf").glob("part-*"))) < 10
