@@ -162,24 +162,23 @@ def drop_caps(paras: DataFrame, sizes: DataFrame) -> DataFrame:
     return told.select(*[c for c in paras.columns if c not in ("text", "first_on_page")], text.alias("text"), (F.col("first_on_page") | F.coalesce("_first", F.lit(False))).alias("first_on_page"))
 
 
-def _heads(chain: Column) -> Column:
-    """Of a chain of pages and sizes, which begin a paragraph: the first, and those too far from the last that does in page or size."""
+def _starts(pages: Column, sizes: Column) -> Column:
+    """Of a chain's pages and sizes, the places (from 1) where a paragraph begins: the first, and those too far from the last that does in page or size."""
 
-    @F.pandas_udf("array<boolean>")
-    def run(many: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def run(pages: pd.Series, sizes: pd.Series) -> pd.Series:
         out = []
-        for rows in many:
+        for chain in zip(pages, sizes):
             page = size = None
             told = []
-            for r in rows:
-                begins = page is None or not 0 <= r["page"] - page <= MERGE_PAGES or abs(r["size"] - size) >= MERGE_SIZE
-                if begins:
-                    page, size = r["page"], r["size"]
-                told.append(begins)
+            for k, (p, s) in enumerate(zip(*(c.tolist() for c in chain)), 1):
+                if page is None or not 0 <= p - page <= MERGE_PAGES or abs(s - size) >= MERGE_SIZE:
+                    page, size = p, s
+                    told.append(k)
             out.append(told)
         return pd.Series(out)
 
-    return run(chain)
+    return run(pages, sizes)
 
 
 def merged_across_pages(paras: DataFrame) -> DataFrame:
@@ -188,6 +187,7 @@ def merged_across_pages(paras: DataFrame) -> DataFrame:
     Whether a paragraph may go on from the one before shows in the two texts alone, which cuts books into
     chains. Within a chain only pages and sizes are looked at one after the other, as these are
     compared with the paragraph that began; texts are put together and offsets added up by Spark.
+    Paragraphs are dealt by book once, and nothing is joined.
     """
     order = _by("para_no")
     before = F.lag("text").over(order)
@@ -198,23 +198,28 @@ def merged_across_pages(paras: DataFrame) -> DataFrame:
     hyphen = before.rlike("-$") & ~before.rlike("--$")
     rows = rows.withColumns({"_linked": linked, "_glue": F.when(hyphen, -1).when(before.rlike(f"{cjk}$") | F.col("text").rlike(f"^{cjk}"), 0).otherwise(1)})
     rows = rows.withColumn("_chain", island(~F.col("_linked"), ["book_id"], ["para_no"]))
-    links = rows.withColumn("_long", F.count(F.lit(1)).over(Window.partitionBy("book_id", "_chain"))).where("_long > 1")
-    folded = links.groupBy("book_id", "_chain").agg(F.sort_array(F.collect_list(F.struct("para_no", "page", "size"))).alias("_c")).withColumn("_b", _heads(F.col("_c")))
-    begins = folded.select("book_id", F.explode(F.arrays_zip("_c", "_b")).alias("_z")).select("book_id", F.col("_z._c.para_no").alias("para_no"), F.col("_z._b").alias("_begins"))
-    rows = rows.join(begins, ["book_id", "para_no"], "left")
-    rows = rows.withColumn("_head", F.max(F.when(F.coalesce("_begins", F.lit(True)), F.col("para_no"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = Window.partitionBy("book_id", "_head").orderBy("para_no")
-    begins_page = F.col("page") != F.first("page").over(inside)
-    # Offsets: the lengths before, with what joined them.
-    glue = F.when(F.col("para_no") == F.col("_head"), 0).otherwise(F.col("_glue"))
-    rows = rows.withColumn("_glue", glue).withColumn("_offset", F.sum(F.length("text") + F.col("_glue")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text"))
-    next_glue = F.coalesce(F.lead("_glue").over(inside), F.lit(0))
-    piece = F.concat(F.when(F.col("_glue") == 1, " ").otherwise(""), F.when(next_glue == -1, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text")))
-    rows = rows.withColumns({"_piece": piece, "_break": F.when(begins_page, F.struct(F.col("_offset").cast("int").alias("offset"), F.col("page").alias("page")))})
-    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", "_piece"))), lambda x: x["_piece"]), "")
-    firsts = {c: F.min_by(c, "para_no").alias(c) for c in ("page", "size", "bold", "first_on_page")}
-    told = rows.groupBy("book_id", F.col("_head").alias("para_no")).agg(firsts["page"], pieces.alias("text"), firsts["size"], firsts["bold"], F.sum("n_lines").cast("int").alias("n_lines"), firsts["first_on_page"], F.sort_array(F.collect_list("_break")).alias("breaks"))
-    return told.select("book_id", "para_no", "page", "text", "size", "bold", "n_lines", "first_on_page", "breaks")
+    row = F.struct("para_no", "page", "text", "size", "bold", "n_lines", "first_on_page", "_glue")
+    chains = rows.groupBy("book_id", "_chain").agg(F.sort_array(F.collect_list(row)).alias("_c"))
+    chains = chains.withColumn("_s", _starts(F.col("_c.page"), F.col("_c.size")))
+    stop = lambda k: F.coalesce(F.get("_s", k + 1), F.size("_c") + 1)
+    told = chains.select("book_id", F.explode(F.transform("_s", lambda s, k: F.slice("_c", s, stop(k) - s))).alias("_p"))
+    p, head = F.col("_p"), F.col("_p")[0]
+
+    def piece(x: Column, k: Column) -> Column:
+        text = F.when(F.get(p, k + 1)["_glue"] == -1, F.substring(x["text"], F.lit(1), F.length(x["text"]) - 1)).otherwise(x["text"])
+        return F.when((k > 0) & (x["_glue"] == 1), F.concat(F.lit(" "), text)).otherwise(text)
+
+    def step(told: Column, x: Column) -> Column:
+        # Offsets: the lengths before, with what joined them.
+        at = told["at"] + x["_glue"]
+        found = F.when(x["page"] != head["page"], F.concat(told["breaks"], F.array(F.struct(at.alias("offset"), x["page"].alias("page"))))).otherwise(told["breaks"])
+        return F.struct((at + F.length(x["text"])).alias("at"), found.alias("breaks"))
+
+    none = F.struct((-head["_glue"]).alias("at"), F.array().cast("array<struct<offset:int,page:bigint>>").alias("breaks"))
+    return told.select(
+        "book_id", head["para_no"].alias("para_no"), head["page"].alias("page"), F.array_join(F.transform(p, piece), "").alias("text"), head["size"].alias("size"), head["bold"].alias("bold"),
+        F.aggregate(p, F.lit(0), lambda n, x: n + x["n_lines"]).alias("n_lines"), head["first_on_page"].alias("first_on_page"), F.aggregate(p, none, step, lambda told: told["breaks"]).alias("breaks"),
+    )
 
 
 # ---- headings

@@ -240,8 +240,9 @@ FROM (SELECT h.*, l.page, l.text FROM h JOIN l ON h.book_id = l.book_id AND h.pa
 def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of 25 words of every document, put together again where they go on; the SQL goes from one to the next."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 25).cast("int")), lambda k: F.array_join(F.slice(words, k * 25 + 1, 25), " "))
-    said = table(spark, sf_dir, "documents").where(F.size(words) > 0).select(F.col("doc_id").alias("book_id"), F.posexplode(pieces).alias("k", "text"))
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), words.alias("words"))  # once a document, not for every piece
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 25).cast("int")), lambda k: F.array_join(F.slice("words", k * 25 + 1, 25), " "))
+    said = said.select("book_id", F.posexplode(F.when(F.size("words") > 0, pieces)).alias("k", "text"))
     n = F.length("text")
     page = F.floor(F.col("k") / 2) + F.when(n % 9 == 0, 1).otherwise(0)
     paras = said.select("book_id", (F.col("k") + 1).cast("long").alias("para_no"), page.alias("page"), "text", F.when(n % 4 == 0, 12.0).when(n % 4 == 1, 11.4).otherwise(11.0).alias("size"), F.lit(False).alias("bold"), F.lit(1).alias("n_lines"), F.lit(False).alias("first_on_page"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import speech as S
 from folioflow.functions import text as T
 from folioflow.operators import structure as D
+from folioflow.plans import QUERIES
 from folioflow.plans import pdf as Q
 from folioflow.sources import imports as I
 from folioflow.sources import pdf as P
@@ -147,6 +148,19 @@ def test_merged_paragraphs_equal_the_plain_fold(spark):
     assert sorted(found) == sorted(r for b in range(40) for r in plain_merge([x for x in rows if x["book_id"] == b]))
 
 
+def plan_of(df):
+    """The nodes of a query's plan as it is made."""
+    return re.findall(r"Exchange hashpartitioning|\w*Join\b|\w*Window\b", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_merged_paragraphs_are_dealt_once(spark, data):
+    """Texts go over the network once, and no text meets itself in a join; words are cut once a document."""
+    df = QUERIES["merged_paragraphs"](spark, data)
+    plan = plan_of(df)
+    assert plan.count("Exchange hashpartitioning") == 1 and not any(n.endswith("Join") for n in plan)
+    assert df._jdf.queryExecution().executedPlan().toString().count("split(text") <= 2  # the words, and whether there are any
+
+
 @pytest.mark.parametrize("few", [0, 64])
 def test_audit_equals_all_pairs(spark, monkeypatch, few):
     """By grams and by pairs; keys of every length, empty ones, and many that share their beginning."""
