@@ -7,6 +7,8 @@ pages. Everything runs by book, so a book's rows are what a task holds at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -541,9 +543,9 @@ GRAM = 8
 
 
 def _grams(keys: DataFrame, n: Column) -> DataFrame:
-    """Every different run of ``n`` characters of every key, as a hash."""
+    """Every different run of ``n`` characters of every key, as a hash; of the key there is a hash too, so that a row is small however long the key."""
     places = F.sequence(F.lit(1), F.length("_k") - n + 1)
-    return keys.where(F.length("_k") >= n).select("book_id", "_k", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr("_k", i, n))))).alias("_g"))
+    return keys.where(F.length("_k") >= n).select("book_id", F.xxhash64("_k").alias("_h"), F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr("_k", i, n))))).alias("_g"))
 
 
 def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -551,33 +553,50 @@ def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
     A key that is in another has all its grams there, so it is looked up under its gram that the
     fewest have; others are never met. Keys shorter than a gram are looked up among runs of their length.
+    What hashes meet is compared as text.
     """
     long, short = inner.where(F.length("_k") >= GRAM), inner.where(F.length("_k").between(1, GRAM - 1))
     index = _grams(outer, F.lit(GRAM))
     many = index.groupBy("book_id", "_g").agg(F.count(F.lit(1)).alias("_n"))
     # A gram that no key has is the rarest.
-    probe = _grams(long, F.lit(GRAM)).join(many, ["book_id", "_g"], "left").groupBy("book_id", "_k").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
-    found = probe.withColumnRenamed("_k", "_in").join(index.withColumnRenamed("_k", "_out"), ["book_id", "_g"]).where(F.contains("_out", F.col("_in")))
+    probe = _grams(long, F.lit(GRAM)).join(many, ["book_id", "_g"], "left").groupBy("book_id", F.col("_h").alias("_a")).agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
     runs = _grams(outer.join(short.select("book_id", F.length("_k").alias("_l")).distinct(), "book_id"), F.col("_l"))
-    equal = short.withColumn("_g", F.xxhash64("_k")).withColumnRenamed("_k", "_in").join(runs.withColumnRenamed("_k", "_out"), ["book_id", "_g"]).where(F.contains("_out", F.col("_in")))
-    return found.unionByName(equal).select("book_id", "_in", "_out")
+    equal = short.select("book_id", F.xxhash64("_k").alias("_a"), F.xxhash64("_k").alias("_g"))
+    met = probe.join(index, ["book_id", "_g"]).unionByName(equal.join(runs, ["book_id", "_g"])).select("book_id", "_a", F.col("_h").alias("_b")).distinct()
+    named = lambda keys, h, k: keys.select("book_id", F.xxhash64("_k").alias(h), F.col("_k").alias(k))
+    return met.join(named(inner, "_a", "_in"), ["book_id", "_a"]).join(named(outer, "_b", "_out"), ["book_id", "_b"]).where(F.contains("_out", F.col("_in"))).select("book_id", "_in", "_out")
+
 
+#: Titles of a book on either side, of 1,024 characters, up to which all are compared; beyond, they are looked up by grams.
+FEW_TITLES = 512
 
-#: Titles of a book on either side up to which all are compared; beyond, they are looked up by grams.
-FEW_TITLES = 64
 
+def audit(found: DataFrame, truth: DataFrame, stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Titles of the truth that aren't found, by equal or contained keys of a book; an empty key is in every other.
 
-def audit(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Titles of the truth that aren't found, by equal or contained keys of a book; an empty key is in every other."""
-    a = truth.select("book_id", F.col("title").alias("missing"), T.title_key("title").alias("_k")).distinct()
-    b = found.select("book_id", T.title_key("title").alias("_k")).distinct()
-    keys = a.select("book_id", "_k").distinct()
-    sides = keys.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1))).groupBy("book_id").agg(F.greatest(F.count_if(F.col("_side") == 0), F.count_if(F.col("_side") == 1)).alias("_n"))
-    small, large = sides.where(F.col("_n") <= FEW_TITLES).select("book_id"), sides.where(F.col("_n") > FEW_TITLES).select("book_id")
-    either = F.contains("_b", F.col("_k")) | F.contains("_k", F.col("_b"))
-    met = keys.join(small, "book_id", "left_semi").join(b.withColumnRenamed("_k", "_b"), "book_id").where(either).select("book_id", "_k")
-    many, held = keys.join(large, "book_id", "left_semi"), b.join(large, "book_id", "left_semi")
-    met = met.unionByName(_within(many, held).select("book_id", F.col("_in").alias("_k"))).unionByName(_within(held, many).select("book_id", F.col("_out").alias("_k")))
+    A book's titles meet in its own row, so titles are dealt by book once. ``stored`` writes a table and reads it back: the
+    numbers of the books with too many titles for that, and these titles, are used several times.
+    """
+    sides = truth.select("book_id", "title", F.lit(0).alias("_side")).unionByName(found.select("book_id", "title", F.lit(1).alias("_side")))
+    size = lambda side: F.struct(F.count_if(F.col("_side") == side).alias("n"), F.coalesce(F.sum(F.when(F.col("_side") == side, F.length("title"))), F.lit(0)).alias("c"))
+    sized = sides.groupBy("book_id").agg(size(0).alias("_t"), size(1).alias("_f"))
+    # What all pairs read of each other.
+    work = F.col("_t.n") * F.col("_f.c") + F.col("_f.n") * F.col("_t.c")
+    many = stored(sized.where(work > 1024 * FEW_TITLES * FEW_TITLES).select("book_id"))
+    titles = lambda side: F.collect_set(F.when(F.col("_side") == side, F.struct("title")))
+    books = sides.join(many, "book_id", "left_anti").groupBy("book_id").agg(titles(0).alias("_t"), titles(1).alias("_f"))
+    keyed = F.transform("_t", lambda t: F.struct(t["title"].alias("missing"), T.title_key(t["title"]).alias("k")))
+    books = books.select("book_id", keyed.alias("_t"), F.array_distinct(F.transform("_f", lambda f: T.title_key(f["title"]))).alias("_f"))
+    lacks = F.filter("_t", lambda t: ~F.coalesce(F.exists("_f", lambda k: F.contains(k, t["k"]) | F.contains(t["k"], k)), F.lit(False)))
+    missing = books.select("book_id", F.explode(lacks).alias("_m")).select("book_id", "_m.missing")
+    return missing.unionByName(_looked_up(stored(sides.join(many, "book_id", "left_semi").withColumn("_k", T.title_key("title")))))
+
+
+def _looked_up(sides: DataFrame) -> DataFrame:
+    """The missing titles of books with many (book_id, title, _k, _side)."""
+    a = sides.where("_side = 0").select("book_id", F.col("title").alias("missing"), "_k").distinct()
+    held, keys = sides.where("_side = 1").select("book_id", "_k").distinct(), a.select("book_id", "_k").distinct()
+    met = _within(keys, held).select("book_id", F.col("_in").alias("_k")).unionByName(_within(held, keys).select("book_id", F.col("_out").alias("_k")))
     empty = F.lit("")
     any_, none = held.select("book_id").distinct(), held.where(F.col("_k") == empty).select("book_id")
     missing = a.join(met, ["book_id", "_k"], "left_anti").join(none, "book_id", "left_anti")

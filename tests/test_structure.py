@@ -174,6 +174,25 @@ def test_audit_equals_all_pairs(spark, monkeypatch, few):
     assert {tuple(r) for r in D.audit(*frames).collect()} == want and want
 
 
+def test_audit_meets_titles_in_their_book(spark, data, monkeypatch):
+    """Documents are read once for either side; a book of many titles is looked up by grams, without its keys beside every gram."""
+    plan = QUERIES["audit_titles"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [doc_id") <= 2
+    title = lambda k: f"On the road {k} to the {k * k} hills"
+    rows = [(b, title(k)) for b, n in ((1, 5), (2, 300)) for k in range(n)]
+    frames = [spark.createDataFrame([(b, t[s:e]) for b, t in rows if (len(t) + int(t.split()[3])) % m], "book_id long, title string") for s, e, m in ((0, 22, 3), (0, 40, 2))]
+    monkeypatch.setattr(D, "FEW_TITLES", 20)
+    kept = []
+    stored = lambda df: kept.append(df) or df
+    found = {tuple(r) for r in D.audit(*frames, stored).collect()}
+    assert {r.book_id for r in kept[0].collect()} == {2} and {r.book_id for r in kept[1].collect()} == {2}
+    key = lambda t: re.sub("[^0-9a-z]+", "", t.lower())
+    sides = [{(r.book_id, r.title) for r in f.collect()} for f in frames]
+    assert found == {(b, t) for b, t in sides[1] if not any(c == b and (key(t) in key(x) or key(x) in key(t)) for c, x in sides[0])} and {b for b, _ in found} == {1, 2}
+    grams = D._grams(spark.createDataFrame([(1, "a" * 20 + "b")], "book_id long, _k string"), F.lit(8))
+    assert grams.columns == ["book_id", "_h", "_g"] and grams.count() == 2
+
+
 def _pages(rows):
     """Pages of lines (text, size, bold) for a file, one list for each."""
     return [[(k, t, s, b) for k, (t, s, b) in enumerate(page)] for page in rows]
