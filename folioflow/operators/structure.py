@@ -58,25 +58,37 @@ def body_size(lines: DataFrame) -> DataFrame:
     return sized.groupBy("book_id").agg(F.coalesce(F.max_by("_s", F.struct("_n", -F.col("_at"))), F.lit(11.0)).alias("body_size"))
 
 
-def edge_lines(lines: DataFrame) -> DataFrame:
-    """The lines at the pages' edges with their keys and how often these occur in the book."""
+def _edges(lines: DataFrame) -> DataFrame:
+    """``lines`` with whether each is at its page's edge."""
     w = Window.partitionBy("book_id", "page")
     ranked = lines.withColumns({"_up": F.row_number().over(w.orderBy("y0", "line_no")), "_down": F.row_number().over(w.orderBy(F.desc("y0"), F.desc("line_no")))})
     zone = F.col("page_height") * MARGIN
-    edge = ranked.where(((F.col("_up") <= 2) | (F.col("_down") <= 2)) & ((F.col("y1") < zone) | (F.col("y0") > F.col("page_height") - zone))).drop("_up", "_down")
-    keyed = edge.withColumn("key", T.edge_key("text"))
+    edge = ((F.col("_up") <= 2) | (F.col("_down") <= 2)) & ((F.col("y1") < zone) | (F.col("y0") > F.col("page_height") - zone))
+    return ranked.withColumn("_edge", F.coalesce(edge, F.lit(False))).drop("_up", "_down")
+
+
+def edge_lines(lines: DataFrame) -> DataFrame:
+    """The lines at the pages' edges with their keys and how often these occur in the book."""
+    keyed = _edges(lines).where("_edge").drop("_edge").withColumn("key", T.edge_key("text"))
     return keyed.withColumns({"times": F.count(F.lit(1)).over(Window.partitionBy("book_id", "key")), "is_number": F.col("text").rlike(T.PAGE_NUMBER)})
 
 
+def _repeated() -> Column:
+    return (F.col("key") != "") & (F.col("times") >= REPEATS) & (F.col("size") < F.col("body_size") * BIG_LINE)
+
+
 def running_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """Page numbers and repeated lines in the margins; big lines are headings."""
     edge = edge_lines(lines).join(sizes, "book_id")
-    repeated = (F.col("key") != "") & (F.col("times") >= REPEATS) & (F.col("size") < F.col("body_size") * BIG_LINE)
-    return edge.where(F.col("is_number") | repeated).select("book_id", "page", "line_no", "text", "key", "is_number")
+    return edge.where(F.col("is_number") | _repeated()).select("book_id", "page", "line_no", "text", "key", "is_number")
 
 
 def without_running_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    return lines.join(running_lines(lines, sizes).select("book_id", "page", "line_no"), ["book_id", "page", "line_no"], "left_anti")
+    """``lines`` but for those of :func:`running_lines`, which are marked where they are: lines dealt by book aren't dealt again."""
+    told = _edges(lines).withColumn("key", F.when(F.col("_edge"), T.edge_key("text")))
+    told = told.withColumn("times", F.count_if("_edge").over(Window.partitionBy("book_id", "key"))).join(sizes.select("book_id", "body_size"), "book_id", "left")
+    running = F.col("_edge") & F.col("body_size").isNotNull() & (F.col("text").rlike(T.PAGE_NUMBER) | _repeated())
+    return told.where(~F.coalesce(running, F.lit(False))).select(*lines.columns)
 
 
 def printed_numbers(lines: DataFrame) -> DataFrame:
@@ -111,8 +123,7 @@ def paragraphs(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     whole = pieces.groupBy(*block, "_l").agg(
         F.min("line_no").alias("line_no"), F.min_by("x0", "x0").alias("x0"), F.min_by("y0", "x0").alias("y0"), F.max("y1").alias("y1"), text.alias("text"), F.max("size").alias("size"), F.bool_and("bold").alias("bold")
     )
-    left = whole.groupBy(*block).agg(F.median("x0").alias("_left"))
-    placed = whole.join(left, block).join(sizes, "book_id")
+    placed = whole.withColumn("_left", F.median("x0").over(Window.partitionBy(*block))).join(sizes, "book_id")
     v = Window.partitionBy(*block).orderBy("_l")
     jump = F.abs(F.col("size") - F.lag("size").over(v)) > F.greatest(F.lit(1.0), 0.15 * F.col("body_size"))
     gap = F.col("y0") - F.lag("y1").over(v) > 1.1 * F.col("size")
@@ -130,22 +141,29 @@ def paragraphs(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ’']+"), F.lit(0))
+
+
 def vocabulary(rows: DataFrame, by: list[str]) -> DataFrame:
     """How often each word occurs, in small letters."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ’']+"), F.lit(0))
-    return rows.select(*by, F.explode(words).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(*by, F.explode(words_of(F.col("text"))).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def drop_caps(paras: DataFrame, sizes: DataFrame) -> DataFrame:
-    """A lone big capital goes to the next paragraph, glued if the book knows the joined word better."""
+    """A lone big capital goes to the next paragraph, glued if the book knows the joined word better.
+
+    Words are counted in the book's row, and only those that a capital asks for, so paragraphs dealt by book aren't dealt again.
+    """
     w = _by("para_no")
     letter = F.regexp_replace(F.trim("text"), "^[‘“'\"]+", "")
     lone = (F.length(letter) == 1) & (F.length(F.trim("text")) <= 2) & letter.rlike(r"^\p{Lu}$") & (F.col("size") >= DROP_CAP * F.col("body_size"))
     same = (F.lead("page").over(w) == F.col("page")) & (F.lead("size").over(w) < F.col("size"))
-    told = paras.join(sizes, "book_id").withColumn("_cap", F.coalesce(lone & same, F.lit(False)))
+    told = paras.join(sizes.select("book_id", "body_size"), "book_id").withColumn("_cap", F.coalesce(lone & same, F.lit(False)))
     # Of two such capitals in a row the first takes the second along, which then is a paragraph's text.
     told = told.withColumn("_cap", F.col("_cap") & ~F.coalesce(F.lag("_cap").over(w), F.lit(False)))
-    told = told.withColumns({"_from": F.when(F.lag("_cap").over(w), F.trim(F.lag("text").over(w))), "_first": F.lag("first_on_page").over(w)}).where("not _cap")
+    told = told.withColumns({"_from": F.when(F.lag("_cap").over(w), F.trim(F.lag("text").over(w))), "_first": F.lag("first_on_page").over(w)})
     rest = F.ltrim("text")
     fragment = F.lower(F.regexp_extract(rest, "^[A-Za-zÀ-ÿ’']+", 0))
     inline = r"^([‘“'\"]?)([A-Z]) ([a-z’']+)"
@@ -153,10 +171,16 @@ def drop_caps(paras: DataFrame, sizes: DataFrame) -> DataFrame:
         "_fragment": F.when(F.col("_from").isNotNull(), fragment).otherwise(F.regexp_extract(F.trim("text"), inline, 3)),
         "_joined": F.lower(F.when(F.col("_from").isNotNull(), F.concat(F.regexp_replace("_from", "^[‘“'\"]+", ""), fragment)).otherwise(F.concat(F.regexp_extract(F.trim("text"), inline, 2), F.regexp_extract(F.trim("text"), inline, 3)))),
     })
-    words = vocabulary(paras, ["book_id"])
-    for name, column in (("_nf", "_fragment"), ("_nj", "_joined")):
-        told = told.join(words.select("book_id", F.col("word").alias(column), F.col("n").alias(name)), ["book_id", column], "left")
-    nf, nj = F.coalesce("_nf", F.lit(0)), F.coalesce("_nj", F.lit(0))
+    asks = ~F.col("_cap") & (F.col("_fragment") != "")
+    own = [c for c in paras.columns if c != "book_id"] + ["_cap", "_from", "_first", "_fragment", "_joined"]
+    books = told.groupBy("book_id").agg(F.collect_list(F.struct(*own)).alias("_rows"), F.array_distinct(F.flatten(F.collect_list(F.when(asks, F.array("_fragment", "_joined"))))).alias("_asked"))
+    none = F.array().cast("array<string>")
+    known = F.transform("_rows", lambda r: F.coalesce(F.filter(words_of(r["text"]), lambda x: F.array_contains("_asked", x)), none))
+    books = books.withColumn("_known", F.when(F.size("_asked") > 0, F.flatten(known)).otherwise(none))
+    times = lambda r, c: F.when(r["_fragment"] != "", F.size(F.filter("_known", lambda x: x == r[c]))).otherwise(0)
+    counted = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in own], times(r, "_fragment").alias("_nf"), times(r, "_joined").alias("_nj")))
+    told = books.select("book_id", F.inline(counted)).where("not _cap")
+    nf, nj = F.col("_nf"), F.col("_nj")
     glued = (F.col("_fragment") != "") & (nj >= nf)
     text = F.when(F.col("_from").isNotNull(), F.concat("_from", F.when(glued, "").otherwise(" "), rest)).when(
         (F.col("_fragment") != "") & (nj > 2 * nf), F.regexp_replace(F.trim("text"), inline, "$1$2$3")
@@ -224,6 +248,12 @@ def merged_across_pages(paras: DataFrame) -> DataFrame:
     )
 
 
+def structured(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Paragraphs of lines as printed. Lines are dealt by book once, to which all steps keep."""
+    kept = without_running_lines(lines.repartition("book_id"), sizes)
+    return merged_across_pages(drop_caps(paragraphs(kept, sizes).drop("y", "lines"), sizes))
+
+
 # ---- headings
 
 

@@ -64,10 +64,7 @@ def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structured_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines to paragraphs."""
     lines = _lines(spark, sf_dir)
-    sizes = D.body_size(lines)
-    paras = D.paragraphs(D.without_running_lines(lines, sizes), sizes)
-    merged = D.merged_across_pages(D.drop_caps(paras, sizes))
-    return merged.select("book_id", "para_no", "page", "text", "size", "bold", "n_lines", "first_on_page", F.size("breaks").alias("n_breaks"))
+    return D.structured(lines, D.body_size(lines)).select("book_id", "para_no", "page", "text", "size", "bold", "n_lines", "first_on_page", F.size("breaks").alias("n_breaks"))
 
 
 _HEADS = f"""{_LINES},

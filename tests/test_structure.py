@@ -11,6 +11,7 @@ from folioflow.functions import text as T
 from folioflow.operators import structure as D
 from folioflow.plans import QUERIES
 from folioflow.plans import pdf as Q
+from folioflow.plans import structure as SP
 from folioflow.sources import imports as I
 from folioflow.sources import pdf as P
 
@@ -153,6 +154,25 @@ def plan_of(df):
     return re.findall(r"Exchange hashpartitioning|\w*Join\b|\w*Window\b", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_lines_are_dealt_by_book_once(spark, data):
+    """From lines to merged paragraphs all runs by book: besides the lines only their sizes are shuffled, and lines are joined by book alone."""
+    lines = SP._lines(spark, data)
+    row = (F.col("line_no") - 1) % 4  # short pages with a line at the head of each
+    lines = lines.withColumns({"page": F.floor((F.col("line_no") - 1) / 4), "y0": row * 20.0 + 10, "y1": row * 20.0 + 22, "text": F.when(row == 0, F.concat(F.lit("A book, page "), "page")).otherwise(F.col("text"))})
+    sizes = D.body_size(lines)
+    kept = D.without_running_lines(lines, sizes)
+    gone = D.running_lines(lines, sizes)
+    want = lines.join(gone, ["book_id", "page", "line_no"], "left_anti").select(*lines.columns)
+    assert kept.columns == lines.columns and gone.count() > 0 and sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+    # Sizes are ready-made here, so any other exchange would be of lines.
+    ready = spark.createDataFrame(sizes.collect(), sizes.schema)
+    plan = D.structured(lines, ready)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("REPARTITION_BY_COL" in x for x in dealt) == 1, dealt
+    assert all(re.search(r"hashpartitioning\(book_id#\d+L, \d+\)", x) for x in dealt), dealt
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_merged_paragraphs_are_dealt_once(spark, data):
     """Texts go over the network once, and no text meets itself in a join; words are cut once a document."""
     df = QUERIES["merged_paragraphs"](spark, data)
