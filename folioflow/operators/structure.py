@@ -301,9 +301,9 @@ def large_candidates(paras: DataFrame, sizes: DataFrame) -> DataFrame:
     tiers give all counts; only the tier that wins is put together.
     """
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    # Words are counted of what is large alone.
-    named = F.when((F.col("size") >= F.col("body_size") * BIG) & (F.col("n_lines") <= 3), words.between(1, 14) & F.col("text").rlike(r"\p{L}"))
-    p = paras.join(sizes, "book_id").where(named).withColumn("tier", F.round("size"))
+    # What shows in a paragraph alone comes first, so long ones aren't shuffled.
+    named = paras.where((F.col("n_lines") <= 3) & words.between(1, 14) & F.col("text").rlike(r"\p{L}"))
+    p = named.join(sizes, "book_id").where(F.col("size") >= F.col("body_size") * BIG).withColumn("tier", F.round("size"))
     w = _by("para_no")
     p = p.withColumn("_beside", F.coalesce((F.col("para_no") == F.lag("para_no").over(w) + 1) & (F.col("page") == F.lag("page").over(w)), F.lit(False)))
     p = p.withColumn("_pair", F.when(F.col("_beside"), F.least("tier", F.lag("tier").over(w))))
@@ -476,8 +476,19 @@ def chapter_texts(found: DataFrame, chapters: DataFrame, paras: DataFrame, langs
 
 def is_textless(paras: DataFrame) -> DataFrame:
     """P10: books whose pages hold pictures of text alone."""
+    return paras.groupBy("book_id").agg(_textless(F.sum).alias("textless"))
+
+
+def _textless(total: Callable[[Column], Column]) -> Column:
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    return paras.groupBy("book_id").agg(((F.sum(words) < 20) & (F.sum(F.length("text")) < 200)).alias("textless"))
+    return (total(words) < 20) & (total(F.length("text")) < 200)
+
+
+def with_text(paras: DataFrame) -> DataFrame:
+    """The paragraphs of books that aren't :func:`is_textless`, told where they are, so that paragraphs dealt by book aren't dealt again."""
+    book = Window.partitionBy("book_id")
+    told = paras.withColumn("_textless", _textless(lambda c: F.sum(c).over(book)))
+    return told.where(~F.coalesce("_textless", F.lit(False))).drop("_textless")
 
 
 _SECTIONS = "array<struct<title:string,page:bigint>>"

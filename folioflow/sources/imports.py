@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,24 +13,32 @@ from . import pdf
 from .shared import exists
 
 
-def imported(lines: DataFrame, at: str | Callable[[str], str], toc: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def imported(lines: DataFrame, at: str | Callable[[str], str], toc: DataFrame | None = None, lots: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Books, their chapters and their paragraphs, of lines as in :mod:`structure`, written below ``at``, or where it says for a table's name.
 
     Each table is written before the next is made of it, so no step is planned or run twice. Books whose pages hold pictures of text alone are left out. ``toc`` is as
     :func:`structure.outline_levels` takes it; a book whose outline gives two chapters or more is cut by it. ``books`` has book_id, language (that
     of the narration), warning, method, pages, n_chapters, words, est_seconds of what is read; the table ``texts`` has the paragraphs of every chapter.
+    Books are imported in so many ``lots`` one after the other, dealt by their numbers, so that shuffles of one lot alone lie on disks at a time.
     """
-    spark = lines.sparkSession
     place = at if callable(at) else lambda name: f"{at}/{name}"
+    told: tuple[DataFrame, ...] = ()
+    for k in range(lots):
+        mine = F.pmod(F.xxhash64("book_id"), F.lit(lots)) == k if lots > 1 else F.lit(True)
+        told = _lot(lines.where(mine), place, None if toc is None else toc.where(mine), mine, "append" if k else "overwrite")
+    books, chapters, paras = (lines.sparkSession.read.schema(df.schema).parquet(place(name)) for df, name in zip(told, ("books", "chapters", "paragraphs")))
+    return books, chapters, paras
+
+
+def _lot(lines: DataFrame, place: Callable[[str], str], toc: DataFrame | None, mine: Column, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spark = lines.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(place(name))
-        return spark.read.schema(df.schema).parquet(place(name))
+        df.write.mode(mode).parquet(place(name))
+        return spark.read.schema(df.schema).parquet(place(name)).where(mine)
 
     sizes = stored(D.body_size(lines), "sizes")
-    paras = D.merged_across_pages(D.drop_caps(D.paragraphs(D.without_running_lines(lines, sizes), sizes), sizes))
-    paras = stored(paras, "lines")
-    paras = stored(paras.join(D.is_textless(paras).where("textless").select("book_id"), "book_id", "left_anti"), "paragraphs")
+    paras = stored(D.with_text(D.structured(lines, sizes)), "paragraphs")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_no", "text"))), lambda p: p["text"]), " ")
     texts = paras.groupBy("book_id").agg(whole.alias("text"), (F.max("page") + 1).alias("pages"))
     told = stored(T.detect_languages(texts, ["book_id", "pages"], "text").select("book_id", "pages", T.narration_language("detected").alias("n")), "languages")

@@ -251,6 +251,15 @@ def test_import_of_files(spark, tmp_path):
     assert I.library(spark, at, "books").count() == 2 and I.library(spark, at, "books").groupBy("lot").count().count() == 2
 
 
+def test_lots_give_the_same_books(spark, data, tmp_path):
+    """Books in lots: the same tables; no table of paragraphs beside the one that is read."""
+    lines = SP._lines(spark, data).where("book_id < 40")
+    one, many = ([sorted(map(str, df.collect())) for df in I.imported(lines, f"file://{tmp_path}/{n}", lots=n)] for n in (1, 3))
+    assert one == many and all(one)
+    texts = [sorted(map(str, spark.read.parquet(f"{tmp_path}/{n}/texts").collect())) for n in (1, 3)]
+    assert texts[0] == texts[1] and texts[0] and not (tmp_path / "1" / "lines").exists()
+
+
 def test_changed_chapters(spark):
     kind = "book_id long, chapter_no long, para_no long, text string"
     old = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 1, "b"), (1, 3, 1, "c"), (2, 1, 1, "x")], kind)
