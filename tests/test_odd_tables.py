@@ -88,3 +88,13 @@ def test_files_in_a_table_are_few(spark, tmp_path, monkeypatch):
     told = QUERIES["pdf_books"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.pages, r.n_entries) for r in told) == [(k, 1, 1) for k in range(40)]
     assert len(list((tmp_path / "pdf").glob("part-*"))) < 10
+
+
+def test_lines_of_print_keep_odd_texts(spark, tmp_path):
+    odd = ["C H A P T E R   O N E", "a b c d", "one\ttwo", "\ttab first", "a\x01b\x1fc", "\x1c", "x\x1d", "\x0b", "\x0bvt\x0b", "\xa0", "\xa0nbsp\xa0", "soft\xadhyphen", "\xad", "zero\u200bwidth", "\u200b", "\ufb01ne"]
+    odd += ["private \ue000 use", "\ue000", "thin\u2009blank", "\u3000wide\u3000", "\x85", "next\x85", "line\u2028", "\u4e2d\u6587 text", "\U0001f600 here", "\xe9", "1 2", "* *", "end\r", " \r ", "form\ffeed", "(a\\b)", "~>", "del\x7f", "\x00nul", "a  b   c"]
+    rows = [(0, "\n".join(odd), "fr", "s"), (1, "\n".join(reversed(odd)), "fr", "s"), (-7, "\n".join(odd[:5]), "fr", "s"), (3, None, "fr", "s"), (4, "", "fr", "s")]
+    rows += [(10 + k, "\n".join([t] * 13), "fr", "s") for k, t in enumerate(odd)]
+    rng = random.Random(4)
+    rows += [(100 + k, "\n".join("".join(rng.choice("ab. \t\r\f\x0b\x1e\x85\xa0\xad\u2009\u4e2d\ufb02") for _ in range(rng.randrange(40))) for _ in range(70)), "fr", "s") for k in range(10)]
+    assert len(_agrees(spark, tmp_path, "pdf_lines", documents=(rows, DOCS))) > 800
